@@ -15,17 +15,21 @@ from __future__ import annotations
 
 import heapq
 import json
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 
-#: Code points handled at a time and distinct pre-tokens remembered; both bound memory and don't change results.
+#: Code points handled at a time, pre-tokens gathered before encoding, distinct ones remembered: they bound memory and
+#: don't change results.
 BLOCK_CHARS = 1_000_000
-CACHE_WORDS = 1_000_000
+GATHER_TOKENS = 6_000_000
+CACHE_WORDS = 500_000
 
+T = TypeVar("T")
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _CODES = 0x110000
 _APOSTROPHE, _BLANK = 0x27, 0x20
@@ -67,14 +71,15 @@ def token_starts(codes: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.
     start = np.where(space, ~after_space | next_visible, np.where(after_space, ~after_blank, k != before))
     start |= first
     # a contraction counts only where its apostrophe begins a pre-token of its own
-    for i in np.flatnonzero((codes == _APOSTROPHE) & start).tolist():
-        for form in _CONTRACTIONS:
-            end = i + 1 + len(form)
-            if end <= n and not first[i + 1 : end].any() and all(codes[i + 1 + j] == ord(c) for j, c in enumerate(form)):
-                start[i + 1 : end] = False
-                if end < n:
-                    start[end] = True
-                break
+    at = np.flatnonzero((codes == _APOSTROPHE) & start)
+    for form in _CONTRACTIONS:
+        here = at[at + len(form) < n]
+        for j, letter in enumerate(form, 1):
+            here = here[(codes[here + j] == ord(letter)) & ~first[here + j]]
+        for j in range(1, len(form) + 1):
+            start[here + j] = False
+        behind = here + len(form) + 1
+        start[behind[behind < n]] = True
     return start
 
 
@@ -93,67 +98,120 @@ class Vocabulary:
             a, b, c = ids[left], ids[right], ids[left + right]
             self.merges.append((a, b, c))
             self.ranks.setdefault(a << 20 | b, rank)
+        keys = np.array(list(self.ranks), dtype=np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), dtype=np.int64)[order]
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, -1 for pairs that are never merged."""
+        keys = (left.astype(np.int64) << 20) | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and the number of ids of each word."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        n = len(raw)
-        if not n:
+        if not len(raw):
             return np.zeros(0, dtype=np.int32), sizes
-        symbols = self.byte_ids[raw]
         ends = np.cumsum(sizes)
-        closes = np.zeros(n, dtype=bool)
-        closes[ends[sizes > 0] - 1] = True
-        opens = np.zeros(n, dtype=bool)
-        opens[(ends - sizes)[sizes > 0]] = True
-        following = np.where(closes, -1, np.arange(1, n + 1)).tolist()
-        preceding = np.where(opens, -1, np.arange(-1, n - 1)).tolist()
-        at = np.flatnonzero(~closes)
-        pairs = (symbols[at] << 20) | symbols[at + 1]
-        distinct, which = np.unique(pairs, return_inverse=True)
-        rank_of = self.ranks.get
-        ranked = np.array([rank_of(p, -1) for p in distinct.tolist()], dtype=np.int64)[which] if len(at) else np.zeros(0, dtype=np.int64)
-        order = np.argsort(ranked, kind="stable")
-        found, begin = np.unique(ranked[order], return_index=True)
-        places: dict[int, list[int]] = {}
-        for r, piece in zip(found.tolist(), np.split(at[order], begin[1:])):
-            if r >= 0:
-                places[r] = piece.tolist()
-        active = list(places)
-        heapq.heapify(active)
-        s = symbols.tolist()
-        while active:
-            rank = heapq.heappop(active)
-            left, right, joined = self.merges[rank]
-            for p in sorted(places.pop(rank)):
-                q = following[p]
-                if s[p] != left or q < 0 or s[q] != right:
-                    continue
-                s[p], s[q] = joined, -1
-                after = following[p] = following[q]
-                if after >= 0:
-                    preceding[after] = p
-                    r = rank_of(joined << 20 | s[after])
-                    if r is not None:
-                        if r in places:
-                            places[r].append(p)
-                        else:
-                            places[r] = [p]
-                            heapq.heappush(active, r)
-                prior = preceding[p]
-                if prior >= 0:
-                    r = rank_of(s[prior] << 20 | joined)
-                    if r is not None:
-                        if r in places:
-                            places[r].append(prior)
-                        else:
-                            places[r] = [prior]
-                            heapq.heappush(active, r)
-        out = np.array(s, dtype=np.int32)
-        kept = out >= 0
+        index = PairIndex(self, self.byte_ids[raw], ends[sizes > 0])
+        index.merge_all()
+        kept = index.symbols >= 0
         total = np.concatenate([[0], np.cumsum(kept)])
-        return out[kept], total[ends] - total[ends - sizes]
+        return index.symbols[kept].astype(np.int32), total[ends] - total[ends - sizes]
+
+
+class PairIndex:
+    """All positions of each mergeable pair in a sequence of words, kept up to date while the ranks are applied.
+
+    Words are linked lists of symbols over shared arrays. A rank with many positions is applied by array operations; one
+    with few, or whose pair may overlap itself, position by position through views of the same arrays.
+    """
+
+    MANY = 48
+
+    def __init__(self, vocabulary: Vocabulary, symbols: np.ndarray, ends: np.ndarray):
+        n = len(symbols)
+        self.vocabulary, self.symbols = vocabulary, symbols.astype(np.int64)
+        self.following, self.preceding = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.following[ends - 1] = -1
+        self.preceding[ends[:-1]] = -1
+        self.places: dict[int, list[int]] = {}
+        self.active: list[int] = []
+        at = np.flatnonzero(self.following >= 0)
+        self._note(at, self.vocabulary.ranks_of(self.symbols[at], self.symbols[at + 1]))
+
+    def _note(self, at: np.ndarray, ranks: np.ndarray) -> None:
+        """Adds positions under their ranks."""
+        at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+        if not len(at):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        begin = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])).tolist()
+        ranked, listed, places = ranks[begin].tolist(), at.tolist(), self.places
+        for rank, i, j in zip(ranked, begin, [*begin[1:], len(listed)]):
+            if rank in places:
+                places[rank] += listed[i:j]
+            else:
+                places[rank] = listed[i:j]
+                heapq.heappush(self.active, rank)
+
+    def merge_all(self) -> None:
+        while self.active:
+            rank = heapq.heappop(self.active)
+            positions = self.places.pop(rank)
+            left, right, joined = self.vocabulary.merges[rank]
+            if len(positions) < self.MANY or left == right:
+                self._merge_each(sorted(positions), left, right, joined)
+            else:
+                self._merge_together(np.unique(np.array(positions)), left, right, joined)
+
+    def _merge_together(self, p: np.ndarray, left: int, right: int, joined: int) -> None:
+        symbols, following, preceding = self.symbols, self.following, self.preceding
+        p = p[(symbols[p] == left) & (following[p] >= 0)]
+        p = p[symbols[following[p]] == right]
+        q = following[p]
+        symbols[p], symbols[q] = joined, -1
+        after = following[q]
+        following[p] = after
+        linked = after >= 0
+        preceding[after[linked]] = p[linked]
+        prior = preceding[p]
+        prior = prior[prior >= 0]
+        first = np.concatenate([p[linked], prior])
+        self._note(first, self.vocabulary.ranks_of(symbols[first], symbols[following[first]]))
+
+    def _merge_each(self, positions: list[int], left: int, right: int, joined: int) -> None:
+        s, following, preceding = memoryview(self.symbols), memoryview(self.following), memoryview(self.preceding)
+        rank_of, places, active = self.vocabulary.ranks.get, self.places, self.active
+        for p in positions:
+            if s[p] != left:
+                continue
+            q = following[p]
+            if q < 0 or s[q] != right:
+                continue
+            s[p], s[q] = joined, -1
+            after = following[p] = following[q]
+            if after >= 0:
+                preceding[after] = p
+                r = rank_of(joined << 20 | s[after])
+                if r is not None:
+                    if r in places:
+                        places[r].append(p)
+                    else:
+                        places[r] = [p]
+                        heapq.heappush(active, r)
+            prior = preceding[p]
+            if prior >= 0:
+                r = rank_of(s[prior] << 20 | joined)
+                if r is not None:
+                    if r in places:
+                        places[r].append(prior)
+                    else:
+                        places[r] = [prior]
+                        heapq.heappush(active, r)
 
 
 def _byte_alphabet() -> list[str]:
@@ -164,7 +222,7 @@ def _byte_alphabet() -> list[str]:
 
 
 class Encoder:
-    """Encodes many texts and remembers the ids of the pre-tokens it has met."""
+    """Numbers the distinct pre-tokens of many texts and encodes those that are new together."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -172,72 +230,104 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.fresh: list[str] = []
         self.pool = np.zeros(0, dtype=np.int32)
         self.begin = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        ids, counts = self.vocabulary.merge_words([w.encode("utf-8") for w in words])
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.pool = np.concatenate([self.pool, ids])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-
-    def block(self, texts: list[str], with_ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
-        """Ids of all texts one after another (or None) and their number for each text."""
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pre-tokens of the texts one after another, and how many each text has."""
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         joined = "".join(texts)
-        if not joined:
-            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         offsets = np.cumsum(sizes) - sizes
         first = np.zeros(len(codes), dtype=bool)
-        first[offsets[sizes > 0]] = True
+        first[offsets] = True
         begins = np.flatnonzero(token_starts(codes, first, self.vocabulary.kinds))
-        bounds = [*begins.tolist(), len(codes)]
+        bounds = begins.tolist()
+        bounds.append(len(joined))
         words = np.empty(len(begins), dtype=object)
         words[:] = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
         local, distinct = pd.factorize(words)
-        if len(self.known) > CACHE_WORDS:
-            self._forget()
-        fresh = [w for w in distinct if w not in self.known]
-        if fresh:
-            self._learn(fresh)
-        known = self.known
-        which = np.fromiter((known[w] for w in distinct), dtype=np.int64, count=len(distinct))[local]
-        counts = self.count[which]
-        running = np.concatenate([[0], np.cumsum(counts)])
-        upto = np.searchsorted(begins, offsets + sizes)
-        per_text = running[upto] - running[np.searchsorted(begins, offsets)]
-        if not with_ids:
-            return None, per_text
-        shift = np.repeat(self.begin[which] - running[:-1], counts)
-        return self.pool[np.arange(running[-1]) + shift], per_text
-
-    def texts(self, texts: list[str | None], with_ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
-        """As ``block``, for any number of texts of any length; null counts as empty."""
+        known, numbers = self.known, np.empty(len(distinct), dtype=np.int32)
+        for i, w in enumerate(distinct):
+            number = known.get(w)
+            if number is None:
+                number = known[w] = len(known)
+                self.fresh.append(w)
+            numbers[i] = number
+        upto = np.searchsorted(begins, np.concatenate([offsets, [len(codes)]]))
+        return numbers[local], np.diff(upto)
+
+    def number(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_block``, for any number of texts of any length; null counts as empty."""
         pieces, owner, waiting = [], [], 0
-        ids: list[np.ndarray] = []
+        found: list[np.ndarray] = []
         totals = np.zeros(len(texts), dtype=np.int64)
 
         def flush() -> None:
             nonlocal pieces, owner, waiting
             if pieces:
-                got, counts = self.block(pieces, with_ids)
+                numbers, counts = self._block(pieces)
                 np.add.at(totals, owner, counts)
-                if with_ids:
-                    ids.append(got)
+                found.append(numbers)
             pieces, owner, waiting = [], [], 0
 
         for i, text in enumerate(texts):
-            for part in chain(_segments(text)) if text else ():
+            for part in _segments(text) if text else ():
                 if waiting and waiting + len(part) > BLOCK_CHARS:
                     flush()
                 pieces.append(part)
                 owner.append(i)
                 waiting += len(part)
         flush()
-        return (np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)) if with_ids else None, totals
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int32), totals
+
+    def settle(self) -> None:
+        """Encodes the pre-tokens met since the last call."""
+        if self.fresh:
+            ids, counts = self.vocabulary.merge_words([w.encode("utf-8") for w in self.fresh])
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(counts) - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.pool = np.concatenate([self.pool, ids])
+            self.fresh = []
+
+    def sizes(self, numbers: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+        """How many ids each text has."""
+        running = np.concatenate([[0], np.cumsum(self.count[numbers])])
+        bounds = np.concatenate([[0], np.cumsum(per_text)])
+        return np.diff(running[bounds])
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        counts = self.count[numbers]
+        begin = np.cumsum(counts) - counts
+        shift = np.repeat(self.begin[numbers] - begin, counts)
+        return self.pool[np.arange(len(shift)) + shift]
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their number for each text."""
+        numbers, per_text = self.number(texts)
+        self.settle()
+        return self.ids(numbers), self.sizes(numbers, per_text)
+
+    def partition(self, batches: Iterable[tuple[T, list[str | None]]]) -> Iterator[tuple[T, np.ndarray, np.ndarray]]:
+        """Each batch's companion with its pre-tokens' numbers and their count by text; all of them can be encoded then.
+
+        Batches wait, as four bytes a pre-token, until GATHER_TOKENS have come, so that one index serves many texts.
+        """
+        waiting, gathered = [], 0
+        for companion, texts in batches:
+            if not waiting and len(self.known) > CACHE_WORDS:
+                self._forget()
+            numbers, per_text = self.number(texts)
+            waiting.append((companion, numbers, per_text))
+            gathered += len(numbers)
+            if gathered > GATHER_TOKENS:
+                self.settle()
+                yield from waiting
+                waiting, gathered = [], 0
+        self.settle()
+        yield from waiting
 
 
 def _segments(text: str):

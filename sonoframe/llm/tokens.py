@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +21,15 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _map_texts(df: DataFrame, text: str, tokenizer_path: str, out: T.StructField, to_column: Callable) -> DataFrame:
-    """The rows of df with its text column replaced by ``out``, which ``to_column`` makes of an encoder and the texts."""
+    """The rows of df with its text column replaced by ``out``, which ``to_column`` makes of an encoder and the pre-tokens."""
     kept = [f for f in df.schema.fields if f.name != text]
     vocabulary = df.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches):
         encoder = bpe.encoder_for(vocabulary.value)
-        for batch in batches:
-            column = to_column(encoder, batch.column(len(kept)).to_pylist())
+        texts = ((batch.select(range(len(kept))), batch.column(len(kept)).to_pylist()) for batch in batches)
+        for batch, numbers, per_text in encoder.partition(texts):
+            column = to_column(encoder, numbers, per_text)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), column], [*(f.name for f in kept), out.name])
 
     return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text")).mapInArrow(run, T.StructType([*kept, out]))
@@ -40,8 +42,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "i
     twice come out twice, null keys stay null, other columns are not read. An empty table gives an empty result.
     """
 
-    def ids(encoder: bpe.Encoder, texts: list[str | None]) -> pa.Array:
-        return bpe.ids_array(*encoder.texts(texts))
+    def ids(encoder: bpe.Encoder, numbers: np.ndarray, per_text: np.ndarray) -> pa.Array:
+        return bpe.ids_array(encoder.ids(numbers), encoder.sizes(numbers, per_text))
 
     narrow = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
     field = T.StructField("__ids", T.ArrayType(T.IntegerType(), True), True)
@@ -51,7 +53,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "i
 def with_token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer_path: str = TOKENIZER) -> DataFrame:
     """df with its text column replaced by the number of its tokens (0 for null and empty texts)."""
 
-    def count(encoder: bpe.Encoder, texts: list[str | None]) -> pa.Array:
-        return pa.array(encoder.texts(texts, with_ids=False)[1], pa.int64())
+    def count(encoder: bpe.Encoder, numbers: np.ndarray, per_text: np.ndarray) -> pa.Array:
+        return pa.array(encoder.sizes(numbers, per_text), pa.int64())
 
     return _map_texts(df, text, tokenizer_path, T.StructField(out, T.LongType(), True), count)
