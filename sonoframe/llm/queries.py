@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.llm import tokens
+from sonoframe.llm import spans, tokens
 from sonoframe.session import table
 
 
@@ -14,8 +14,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_parts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p6_ids]
+    found = [p6_ids, p8_found, p8_shared]
     return {f.__name__: f for f in found}
 
 
