@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.llm import mixing, spans, tokens
+from sonoframe.llm import lookalikes, mixing, spans, tokens
 from sonoframe.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = table(spark, sf_dir, "text_comparisons").select("comparison_id", "normalized_reference", "normalized_hypothesis")
+    return lookalikes.differing_only_in_characters(compared, "normalized_reference", "normalized_hypothesis").select("comparison_id").distinct()
+
+
+def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.normalize(table(spark, sf_dir, "text_comparisons"), ["normalized_reference", "normalized_hypothesis"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -31,7 +40,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
+    found = [p1_found, p1_normalized, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
     return {f.__name__: f for f in found}
 
 
