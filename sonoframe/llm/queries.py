@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.llm import lookalikes, mixing, spans, tokens
+from sonoframe.llm import lookalikes, mixing, spans, tokens, truncation
+from sonoframe.llm.records import text_records
 from sonoframe.session import table
 
 
@@ -19,6 +20,18 @@ def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normalize(table(spark, sf_dir, "text_comparisons"), ["normalized_reference", "normalized_hypothesis"])
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_records(table(spark, sf_dir, "transcribe_results"), table(spark, sf_dir, "samples"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.assess(_records(spark, sf_dir)).filter("truncated").select("origin", "record_key")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(truncation.assess(_records(spark, sf_dir)))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -40,7 +53,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_normalized, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
+    found = [p1_found, p1_normalized, p2_found, p2_rates, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
     return {f.__name__: f for f in found}
 
 
