@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.llm import lookalikes, mixing, spans, tokens, truncation
+from sonoframe.llm import lookalikes, mixing, repetition, spans, tokens, truncation
 from sonoframe.llm.records import text_records
 from sonoframe.session import table
 
@@ -32,6 +32,14 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(truncation.assess(_records(spark, sf_dir)))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.cases(repetition.assess(_records(spark, sf_dir))).select("origin", "record_key").distinct()
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.assess(_records(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_normalized, p2_found, p2_rates, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
+    found = [p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_shares, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
     return {f.__name__: f for f in found}
 
 
