@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sonoframe.llm import lookalikes, mixing, repetition, spans, tokens, truncation
+from sonoframe.llm import lookalikes, mixing, quantiles, repetition, spans, tokens, truncation
 from sonoframe.llm.records import text_records
 from sonoframe.session import table
 
@@ -40,6 +41,26 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.assess(_records(spark, sf_dir))
 
 
+_RUN_KEY = ["runId", "modelId", "decoding", "sampleId", "repetition"]
+_CONFIGURATION = ["modelId", "decoding", "metric"]
+
+
+def _runs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.deliveries_once(table(spark, sf_dir, "runs"), _RUN_KEY, ["timestampMs", "rtf", "inferenceMs"], ["modelId", "decoding"])
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = quantiles.long_form(_runs_once(spark, sf_dir), ["rtf", "inferenceMs"], "modelId", "decoding")
+    return quantiles.percentiles(quantiles.sketches(values, _CONFIGURATION), _CONFIGURATION)
+
+
+def p4_weekly_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from sketches of single weeks, which could have been stored, added up."""
+    week = F.to_date(F.date_trunc("week", F.timestamp_millis("timestampMs"))).alias("week")
+    weekly = quantiles.sketches(quantiles.long_form(_runs_once(spark, sf_dir), ["rtf", "inferenceMs"], "modelId", "decoding", week), ["week", *_CONFIGURATION])
+    return quantiles.percentiles(quantiles.add_sketches(weekly, _CONFIGURATION), _CONFIGURATION)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -61,7 +82,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_shares, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
+    found = [p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_shares, p4_percentiles, p4_weekly_merged, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
     return {f.__name__: f for f in found}
 
 
