@@ -1,0 +1 @@
+"""Pure functions on text, without Spark; functions/ wraps them for DataFrames."""
