@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.plans import replica
+from sonoframe.plans import aggregates, replica
 
-_PARTS = [replica]
+_PARTS = [aggregates, replica]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
