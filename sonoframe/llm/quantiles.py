@@ -7,6 +7,9 @@ its sign to one cell. All cells are plain sums, so that the sketches of days, ru
 a deletion adds -1. A percentile descends the levels from the coarsest, going right past a left child whose estimated count
 is smaller than the rank that is left.
 
+A group of few distinct codes is kept as these codes and their counts, which add up in the same way, until a percentile is
+asked for; the sketch is then made of them.
+
 Error: a decoded value is within 2 ** -(MANTISSA_BITS + 1) of a value of its code, relatively. A level's estimate of n values
 is off by about sqrt(F2 / WIDTH) (F2: the sum of squared counts of that level's prefixes) with a probability that falls
 exponentially in DEPTH; with the counters of the first levels exact, ranks were off by less than 1 % in all tests.
@@ -30,6 +33,10 @@ MANTISSA_BITS = 8
 CODE_BITS = 12 + MANTISSA_BITS
 DEPTH, WIDTH = 5, 4096
 PERCENTILES = (5, 25, 50, 75, 90, 95, 99)
+#: Distinct codes of a group up to which a task hands on codes (as cells below zero) instead of a sketch.
+SPARSE = 512
+#: Distinct codes that a task holds before it hands on what it has.
+HELD_CODES = 400_000
 
 _SHIFT = 52 - MANTISSA_BITS
 _EXACT = WIDTH.bit_length() - 1
@@ -64,8 +71,15 @@ def _place(level: int, prefix: np.ndarray, row: int) -> tuple[np.ndarray, np.nda
 
 def add(sketch: np.ndarray, values: np.ndarray, counts: np.ndarray | int = 1) -> None:
     """Adds the values to a sketch of CELLS cells; a count of -1 takes one out again."""
-    codes, which = np.unique(encode(values), return_inverse=True)
-    n = np.bincount(which, weights=np.broadcast_to(counts, which.shape), minlength=len(codes)).astype(np.int64)
+    add_codes(sketch, *_counted(encode(values), np.broadcast_to(counts, np.shape(values))))
+
+
+def _counted(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, which = np.unique(codes, return_inverse=True)
+    return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+
+
+def add_codes(sketch: np.ndarray, codes: np.ndarray, n: np.ndarray) -> None:
     for level in range(CODE_BITS + 1):
         prefix = codes >> (CODE_BITS - level)
         if level <= _EXACT:
@@ -76,34 +90,43 @@ def add(sketch: np.ndarray, values: np.ndarray, counts: np.ndarray | int = 1) ->
             np.add.at(sketch, cell, sign * n)
 
 
-def estimate(sketch: np.ndarray, level: int, prefix: int) -> float:
+def from_cells(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sketch of a group's rows: cells, and codes (cell -1 - code)."""
+    sketch = np.zeros(CELLS, dtype=np.int64)
+    dense = cell >= 0
+    np.add.at(sketch, cell[dense], n[dense])
+    if not dense.all():
+        add_codes(sketch, -1 - cell[~dense].astype(np.int64), n[~dense])
+    return sketch
+
+
+def estimate(sketch: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
+    """Estimated counts of prefixes of a level."""
     if level <= _EXACT:
-        return float(sketch[(1 << level) - 1 + prefix])
-    found = []
-    for row in range(DEPTH):
-        cell, sign = _place(level, np.array([prefix]), row)
-        found.append(int(sketch[cell[0]]) * int(sign[0]))
-    return float(np.median(found))
+        return sketch[(1 << level) - 1 + prefix].astype(float)
+    found = [sketch[cell] * sign for cell, sign in (_place(level, prefix, row) for row in range(DEPTH))]
+    return np.median(np.stack(found), axis=0)
 
 
-def quantile(sketch: np.ndarray, part: float) -> float | None:
-    """The value at rank part * (n - 1); None where nothing was counted."""
+def quantiles(sketch: np.ndarray, parts: list[float]) -> list[float | None]:
+    """The values at ranks part * (n - 1); None where nothing was counted."""
     n = int(sketch[0])
     if n <= 0:
-        return None
-    rank, prefix = part * (n - 1), 0
-    above = float(n)
+        return [None] * len(parts)
+    rank = np.array(parts) * (n - 1)
+    prefix, above = np.zeros(len(parts), dtype=np.int64), np.full(len(parts), float(n))
     for level in range(1, CODE_BITS + 1):
-        left = min(max(estimate(sketch, level, 2 * prefix), 0.0), above)
+        left = np.clip(estimate(sketch, level, 2 * prefix), 0.0, above)
         if level > _EXACT:
             # what the children's estimates differ from their parent's is shared between them
-            right = max(estimate(sketch, level, 2 * prefix + 1), 0.0)
-            left = above * left / (left + right) if left + right > 0 else above / 2
-        if rank < left:
-            prefix, above = 2 * prefix, left
-        else:
-            prefix, rank, above = 2 * prefix + 1, rank - left, above - left
-    return decode(prefix)
+            right = np.maximum(estimate(sketch, level, 2 * prefix + 1), 0.0)
+            both = left + right
+            left = np.where(both > 0, above * left / np.where(both > 0, both, 1.0), above / 2)
+        go_left = rank < left
+        prefix = 2 * prefix + ~go_left
+        rank = np.where(go_left, rank, rank - left)
+        above = np.where(go_left, left, above - left)
+    return [decode(int(p)) for p in prefix]
 
 
 def sketches(values: DataFrame, by: list[str], value: str = "value", count: str | None = None) -> DataFrame:
@@ -114,18 +137,28 @@ def sketches(values: DataFrame, by: list[str], value: str = "value", count: str
     kept = [f for f in values.schema.fields if f.name in by]
     kept.sort(key=lambda f: by.index(f.name))
     usable = values.select(*by, F.col(value).cast("double").alias("__value"), (F.col(count) if count else F.lit(1)).cast("long").alias("__count")).filter("__value is not null and not isnan(__value)")
-    #: groups held by a task before it hands on what it has
-    most = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        waiting = 0
         schema = pa.schema([*shape, ("cell", pa.int32()), ("n", pa.int64())])
 
-        def hand_on():
-            for key, sketch in held.items():
-                cell = np.flatnonzero(sketch)
-                keys = [pa.array([k] * len(cell), t.type) for k, t in zip(key, schema)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(cell, pa.int32()), pa.array(sketch[cell])], schema=schema)
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            keys, cells, counts = [], [], []
+            for key, (codes, n) in held.items():
+                if len(codes) > SPARSE:
+                    sketch = np.zeros(CELLS, dtype=np.int64)
+                    add_codes(sketch, codes, n)
+                    codes = np.flatnonzero(sketch)
+                    n = sketch[codes]
+                else:
+                    codes = -1 - codes
+                keys += [key] * len(codes)
+                cells.append(codes)
+                counts.append(n)
+            if keys:
+                columns = [pa.array([k[i] for k in keys], t.type) for i, t in zip(range(len(by)), schema)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(cells), pa.int32()), pa.array(np.concatenate(counts))], schema=schema)
             held.clear()
 
         for batch in batches:
@@ -134,13 +167,17 @@ def sketches(values: DataFrame, by: list[str], value: str = "value", count: str
             group = np.fromiter((numbers.setdefault(k, len(numbers)) for k in keys), dtype=np.int64, count=len(keys))
             order = np.argsort(group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(len(numbers) + 1))
-            v, c = (batch.column(len(by) + i).to_numpy()[order] for i in (0, 1))
+            codes, weights = encode(batch.column(len(by)).to_numpy()[order]), batch.column(len(by) + 1).to_numpy()[order]
             for key, i, j in zip(numbers, cuts, cuts[1:]):
-                if key not in held:
-                    if len(held) >= most:
-                        yield from hand_on()
-                    held[key] = np.zeros(CELLS, dtype=np.int64)
-                add(held[key], v[i:j], c[i:j])
+                mine = _counted(codes[i:j], weights[i:j])
+                if key in held:
+                    waiting -= len(held[key][0])
+                    mine = _counted(*(np.concatenate(x) for x in zip(held[key], mine)))
+                held[key] = mine
+                waiting += len(mine[0])
+            if waiting > HELD_CODES:
+                yield from hand_on()
+                waiting = 0
         yield from hand_on()
 
     shape = [(f.name, to_arrow_type(f.dataType)) for f in kept]
@@ -154,7 +191,8 @@ def add_sketches(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def percentiles(cells: DataFrame, by: list[str], wanted: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """(by..., n, p5, ...): percentiles of each group of a sketch table. A group has at most CELLS rows."""
+    """(by..., n, p5, ...): percentiles of each group of a sketch table. A group has at most
+    CELLS + 2 ** CODE_BITS rows."""
     packed = cells.groupBy(*by).agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
     shape = ", ".join(["n: bigint", *(f"p{p}: double" for p in wanted)])
 
@@ -162,10 +200,8 @@ def percentiles(cells: DataFrame, by: list[str], wanted: tuple[int, ...] = PERCE
     def descend(column: pd.Series) -> pd.DataFrame:
         rows = []
         for pairs in column:
-            sketch = np.zeros(CELLS, dtype=np.int64)
-            for pair in pairs:
-                sketch[pair["cell"]] = pair["n"]
-            rows.append([int(sketch[0]), *(quantile(sketch, p / 100) for p in wanted)])
+            sketch = from_cells(np.array([p["cell"] for p in pairs]), np.array([p["n"] for p in pairs], dtype=np.int64))
+            rows.append([int(sketch[0]), *quantiles(sketch, [p / 100 for p in wanted])])
         return pd.DataFrame(rows, columns=["n", *(f"p{p}" for p in wanted)])
 
     return packed.select(*by, descend("cells").alias("r")).select(*by, "r.*").filter("n > 0")

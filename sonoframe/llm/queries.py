@@ -45,20 +45,21 @@ _RUN_KEY = ["runId", "modelId", "decoding", "sampleId", "repetition"]
 _CONFIGURATION = ["modelId", "decoding", "metric"]
 
 
-def _runs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.deliveries_once(table(spark, sf_dir, "runs"), _RUN_KEY, ["timestampMs", "rtf", "inferenceMs"], ["modelId", "decoding"])
-
-
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = quantiles.long_form(_runs_once(spark, sf_dir), ["rtf", "inferenceMs"], "modelId", "decoding")
-    return quantiles.percentiles(quantiles.sketches(values, _CONFIGURATION), _CONFIGURATION)
+    """Percentiles of each run's configurations, and (runId null) of all runs together, added up from the runs' sketches."""
+    by = ["runId", "modelId", "decoding"]
+    once = quantiles.deliveries_once(table(spark, sf_dir, "runs"), _RUN_KEY, ["rtf", "inferenceMs"], by)
+    single = quantiles.sketches(quantiles.long_form(once, ["rtf", "inferenceMs"], *by), ["runId", *_CONFIGURATION])
+    whole = quantiles.add_sketches(single, _CONFIGURATION).withColumn("runId", F.lit(None).cast("string"))
+    return quantiles.percentiles(single.unionByName(whole), ["runId", *_CONFIGURATION])
 
 
-def p4_weekly_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from sketches of single weeks, which could have been stored, added up."""
-    week = F.to_date(F.date_trunc("week", F.timestamp_millis("timestampMs"))).alias("week")
-    weekly = quantiles.sketches(quantiles.long_form(_runs_once(spark, sf_dir), ["rtf", "inferenceMs"], "modelId", "decoding", week), ["week", *_CONFIGURATION])
-    return quantiles.percentiles(quantiles.add_sketches(weekly, _CONFIGURATION), _CONFIGURATION)
+def p4_days_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all days, added up from the days' sketches."""
+    once = quantiles.deliveries_once(table(spark, sf_dir, "runs"), _RUN_KEY, ["timestampMs", "rtf", "inferenceMs"], ["modelId", "decoding"])
+    day = F.to_date(F.timestamp_millis("timestampMs")).alias("day")
+    daily = quantiles.sketches(quantiles.long_form(once, ["rtf", "inferenceMs"], "modelId", "decoding", day), ["day", *_CONFIGURATION])
+    return quantiles.percentiles(quantiles.add_sketches(daily, _CONFIGURATION), _CONFIGURATION)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_shares, p4_percentiles, p4_weekly_merged, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
+    found = [p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_shares, p4_percentiles, p4_days_merged, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
     return {f.__name__: f for f in found}
 
 
