@@ -35,13 +35,13 @@ _FIRST = "error is null and repetition = 1"
 _GROUPS = """
 select "modelId", "decoding", {group} as "group",
   count(distinct case when error is null then "sampleId" end) as samples, count(*) as runs, cast(sum(case when error is not null then 1 else 0 end) as bigint) as failures,
-  round(sum(case when {first} then substitutions + deletions + insertions end)::double / nullif(sum(case when {first} then "referenceWords" end), 0)::double, 6) as wer_micro,
-  round(avg(case when {first} then wer end), 6) as wer_macro, round(avg(case when {first} then cer end), 6) as cer_macro,
+  round(sum(case when {first} then substitutions + deletions + insertions end)::double / nullif(sum(case when {first} then "referenceWords" end), 0)::double, 10) as wer_micro,
+  round(avg(case when {first} then wer end), 10) as wer_macro, round(avg(case when {first} then cer end), 10) as cer_macro,
   cast(count(case when {first} and wer >= 1 then 1 end) as bigint) as runaway_outputs, cast(count(case when {first} and "hasCritical" then 1 end) as bigint) as samples_with_critical,
-  cast(coalesce(sum(case when {first} then len(critical) end), 0) as bigint) as critical_flags, round(max(case when error is null then "peakMemoryMb" end), 6) as peak_memory_mb_max,
-  round(quantile_disc(case when error is null and not isnan(rtf) then rtf end, 0.5), 6) as rtf_median, quantile_disc(case when error is null then "inferenceMs" end, 0.5) as inference_ms_median,
+  cast(coalesce(sum(case when {first} then len(critical) end), 0) as bigint) as critical_flags, round(max(case when error is null then "peakMemoryMb" end), 10) as peak_memory_mb_max,
+  round(quantile_disc(case when error is null and not isnan(rtf) then rtf end, 0.5), 10) as rtf_median, quantile_disc(case when error is null then "inferenceMs" end, 0.5) as inference_ms_median,
   quantile_disc(case when error is null then "inferenceMs" end, 0.95) as inference_ms_p95, quantile_disc(case when error is null and "coldStart" then "loadMs" end, 0.5) as load_ms_cold_median,
-  round(quantile_disc(case when error is null and not isnan("avgCores") then "avgCores" end, 0.5), 6) as avg_cores_median
+  round(quantile_disc(case when error is null and not isnan("avgCores") then "avgCores" end, 0.5), 10) as avg_cores_median
 from runs group by "modelId", "decoding"{by}"""
 _UNSTABLE = """
 select "modelId", "decoding", {group} as "group", cast(count(case when low <> high then 1 end) as bigint) as unstable_samples from (
@@ -55,22 +55,22 @@ _ALL, _EACH = {"group": "'ALL'", "by": ""}, {"group": "category", "by": ", categ
     'select c.*, u.unstable_samples from c join u on c."modelId" = u."modelId" and c."decoding" = u."decoding" and c."group" is not distinct from u."group"'
 )
 def agg01_summary(spark, sf_dir):
-    return rounded(A.summarize(runs_of(spark, sf_dir)))
+    return rounded(A.summarize(runs_of(spark, sf_dir)), 10)
 
 
 @query(f"""select "modelId", language, cast(sum(substitutions + deletions + insertions) as bigint) as word_errors, cast(sum("referenceWords") as bigint) as words,
-  round(sum(substitutions + deletions + insertions)::double / nullif(sum("referenceWords"), 0), 6) as rate_or_null,
-  round(coalesce(sum(substitutions + deletions + insertions)::double / nullif(sum("referenceWords"), 0), 0), 6) as rate_or_zero
+  round(sum(substitutions + deletions + insertions)::double / nullif(sum("referenceWords"), 0), 10) as rate_or_null,
+  round(coalesce(sum(substitutions + deletions + insertions)::double / nullif(sum("referenceWords"), 0), 0), 10) as rate_or_zero
 from runs where {_FIRST} group by all""")
 def agg02_micro_rates(spark, sf_dir):
     by = runs_of(spark, sf_dir).filter(A.first_repetition()).groupBy("modelId", "language").agg(F.sum(A.word_errors()).alias("word_errors"), F.sum("referenceWords").alias("words"))
     rate = F.try_divide(F.col("word_errors").cast("double"), F.col("words").cast("double"))
-    return rounded(by.withColumns({"rate_or_null": rate, "rate_or_zero": F.coalesce(rate, F.lit(0.0))}))
+    return rounded(by.withColumns({"rate_or_null": rate, "rate_or_zero": F.coalesce(rate, F.lit(0.0))}), 10)
 
 
-@query(f'select category, round(avg(wer), 6) as wer_macro, round(avg(cer), 6) as cer_macro, count(wer) as rated from runs where {_FIRST} group by all')
+@query(f'select category, round(avg(wer), 10) as wer_macro, round(avg(cer), 10) as cer_macro, count(wer) as rated from runs where {_FIRST} group by all')
 def agg03_macro_rates(spark, sf_dir):
-    return rounded(runs_of(spark, sf_dir).filter(A.first_repetition()).groupBy("category").agg(F.avg("wer").alias("wer_macro"), F.avg("cer").alias("cer_macro"), F.count("wer").alias("rated")))
+    return rounded(runs_of(spark, sf_dir).filter(A.first_repetition()).groupBy("category").agg(F.avg("wer").alias("wer_macro"), F.avg("cer").alias("cer_macro"), F.count("wer").alias("rated")), 10)
 
 
 @query("""select provider, count(*) as runs, count(distinct case when error is null then "sampleId" end) as samples, count(case when error is not null then 1 end) as failures,

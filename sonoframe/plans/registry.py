@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.plans import aggregates, replica
+from sonoframe.plans import aggregates, records, replica
 
-_PARTS = [aggregates, replica]
+_PARTS = [aggregates, records, replica]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
