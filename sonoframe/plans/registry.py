@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.plans import aggregates, records, replica
+from sonoframe.plans import aggregates, records, replica, texts
 
-_PARTS = [aggregates, records, replica]
+_PARTS = [aggregates, records, texts, replica]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
