@@ -9,8 +9,9 @@ from sonoframe.functions import native as N
 from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
 from sonoframe.operators import termstudy as K
-from sonoframe.plans.aggregates import _PAIR_KEY, _PAIR_ORDER, rounded, runs_of, two_runs
-from sonoframe.session import BROADCAST_LIMIT_BYTES, table
+from sonoframe.plans import aggregates
+from sonoframe.plans.aggregates import _PAIR_KEY, _PAIR_ORDER, rounded, two_runs
+from sonoframe.session import BROADCAST_LIMIT_BYTES, spread, table
 from sonoframe.text.critical import DATE_WORDS, NEGATIONS
 from sonoframe.text.numbers import UNIT_OF
 
@@ -28,8 +29,12 @@ def query(sql: str | None = None):
     return register
 
 
+def runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(aggregates.runs_of(spark, sf_dir))
+
+
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "transcribe_results").select("result_id", "text").filter("text is not null")
+    return spread(table(spark, sf_dir, "transcribe_results").select("result_id", "text").filter("text is not null"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +232,7 @@ def rescored_runs(spark, sf_dir):
 
 @query()
 def txt30_31_sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null"))
     return docs.select("doc_id", F.posexplode(T.split_sentences("text")).alias("place", "s")).select("doc_id", "place", "s.start", "s.end", "s.paragraph_end", "s.text")
 
 

@@ -57,7 +57,11 @@ def find_term(term: list[str], words: list[str]) -> tuple[bool, tuple[str, float
     target, best = "".join(term), None
     for k in range(max(1, size - 1), size + 2):
         for stretch in stretches(min(k, max(1, len(words)))):
-            close = similarity(target, "".join(stretch))
+            joined = "".join(stretch)
+            # lengths alone bound the similarity
+            if best is not None and 1.0 - abs(len(target) - len(joined)) / max(len(target), len(joined)) <= best[1]:
+                continue
+            close = similarity(target, joined)
             if best is None or close > best[1]:
                 best = " ".join(stretch), close
     return False, best

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -84,10 +84,20 @@ class Vocabulary:
                 self.by_shape[size, len(folded)].append((surface, folded))
                 self.exact[size].add(surface.lower())
         self.sizes = sorted(self.exact)
-
-    def near(self, size: int, folded: str):
-        """(distance, term) of the terms that a stretch of ``size`` words may be a misspelling of."""
+        self.known: dict[tuple[int, str], list[tuple[int, str]]] = {}
+
+    def near(self, size: int, folded: str) -> list[tuple[int, str]]:
+        """(distance, term) of the terms that a stretch of ``size`` words may be a misspelling of; words come again and again."""
+        key = size, folded
+        if key not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[key] = list(self._near(size, folded))
+        return self.known[key]
+
+    def _near(self, size: int, folded: str):
         p = self.preset
+        letters = Counter(folded)
         reach = p.max_distance
         for length in range(len(folded) - reach, len(folded) + reach + 1):
             most = p.allowed(length) if length > 0 else -1
@@ -96,9 +106,9 @@ class Vocabulary:
             for surface, term in self.by_shape.get((size, length), ()):
                 if p.same_first_letter and term[0] != folded[0] or differs_only_by_plural_mark(folded, term) or self.surfaces.get(folded, set()) - {surface}:
                     continue
-                distance = levenshtein(folded, term)
-                if distance <= most:
-                    yield distance, surface
+                if (Counter(term) - letters).total() > most or (distance := levenshtein(folded, term)) > most:
+                    continue
+                yield distance, surface
 
 
 @lru_cache(maxsize=64)

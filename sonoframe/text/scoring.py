@@ -30,22 +30,35 @@ def simple_words(text: str) -> list[str]:
 
 
 def levenshtein(a, b) -> int:
-    """Edit distance of two sequences, a row at a time."""
-    if len(a) < len(b):
+    """Edit distance of two sequences: one column of the table at a time, as the bits of two whole numbers."""
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    end = min(len(a), len(b))
+    cut = 0
+    while cut < end and a[-1 - cut] == b[-1 - cut]:
+        cut += 1
+    if cut:
+        a, b = a[:-cut], b[:-cut]
+    if len(a) > len(b):
         a, b = b, a
-    if not len(b):
-        return len(a)
-    codes: dict = {}
-    y = np.array([codes.setdefault(x, len(codes)) for x in b])
-    ramp = np.arange(len(y) + 1)
-    row = ramp.copy()
-    for i, x in enumerate(a, 1):
-        reached = np.empty_like(row)
-        reached[0] = i
-        np.minimum(row[:-1] + (y != codes.get(x, -1)), row[1:] + 1, out=reached[1:])
-        # an insertion costs one a place: the least of what lies to the left, less its distance
-        row = np.minimum.accumulate(reached - ramp) + ramp
-    return int(row[-1])
+    if not len(a):
+        return len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rises, falls, distance = every, 0, len(a)
+    for y in b:
+        here = places.get(y, 0)
+        diagonal = (((here & rises) + rises) ^ rises) | here | falls
+        up = (falls | ~(diagonal | rises)) & every
+        down = diagonal & rises
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, (down << 1) & every
+        rises, falls = (down | ~(diagonal | up)) & every, up & diagonal
+    return distance
 
 
 @dataclass(frozen=True)
@@ -55,26 +68,46 @@ class Step:
     hypothesis: str | None
 
 
-def align(reference: list[str], hypothesis: list[str]) -> list[Step]:
-    """A shortest alignment. Of several, from the end on, a substitution goes before a deletion before an insertion."""
-    n, m = len(reference), len(hypothesis)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32)
+def _costs(a: list[str], b: list[str]):
+    """The table of edit distances of all beginnings."""
+    ramp = np.arange(len(b) + 1, dtype=np.int32)
+    if len(a) * len(b) <= 3000:
+        rows = [ramp.tolist()]
+        for i, x in enumerate(a, 1):
+            above, left, row = rows[-1], i, [i]
+            for j, y in enumerate(b):
+                left = min(above[j] + (x != y), above[j + 1] + 1, left + 1)
+                row.append(left)
+            rows.append(row)
+        return rows
+    cost = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
     codes: dict[str, int] = {}
-    h = np.array([codes.setdefault(w, len(codes)) for w in hypothesis], dtype=np.int64)
+    y = np.array([codes.setdefault(w, len(codes)) for w in b], dtype=np.int64)
     cost[0] = ramp
-    for i, w in enumerate(reference, 1):
-        reached = np.empty(m + 1, dtype=np.int32)
+    for i, x in enumerate(a, 1):
+        reached = np.empty(len(b) + 1, dtype=np.int32)
         reached[0] = i
-        np.minimum(cost[i - 1, :-1] + (h != codes.get(w, -1)), cost[i - 1, 1:] + 1, out=reached[1:])
+        np.minimum(cost[i - 1, :-1] + (y != codes.get(x, -1)), cost[i - 1, 1:] + 1, out=reached[1:])
+        # an insertion costs one a place: the least of what lies to the left, less its distance
         cost[i] = np.minimum.accumulate(reached - ramp) + ramp
-    steps, i, j = [], n, m
+    return cost
+
+
+def align(reference: list[str], hypothesis: list[str]) -> list[Step]:
+    """A shortest alignment. Of several, from the end on, a substitution goes before a deletion before an insertion."""
+    n, m = len(reference), len(hypothesis)
+    steps: list[Step] = []
+    while n and m and reference[n - 1] == hypothesis[m - 1]:  # equal ends are always aligned with each other
+        n, m = n - 1, m - 1
+        steps.append(Step("equal", reference[n], hypothesis[m]))
+    cost = _costs(reference[:n], hypothesis[:m])
+    i, j = n, m
     while i or j:
-        here = cost[i, j]
-        if i and j and here == cost[i - 1, j - 1] + (reference[i - 1] != hypothesis[j - 1]):
+        here = cost[i][j]
+        if i and j and here == cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]):
             i, j = i - 1, j - 1
             steps.append(Step("equal" if reference[i] == hypothesis[j] else "substitute", reference[i], hypothesis[j]))
-        elif i and here == cost[i - 1, j] + 1:
+        elif i and here == cost[i - 1][j] + 1:
             i -= 1
             steps.append(Step("delete", reference[i], None))
         else:
