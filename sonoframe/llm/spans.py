@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.session import BROADCAST_LIMIT_BYTES, cut_lineage, shuffle_partitions
+from sonoframe.session import BROADCAST_LIMIT_BYTES, cut_lineage, shuffle_partitions, spread
 
 #: A perfect difference set modulo 73.
 PERIOD, COVER = 73, (0, 1, 12, 20, 26, 30, 33, 35, 57)
@@ -334,7 +334,7 @@ def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: in
     come twice count once, other columns are not read, an empty table gives an empty result. The key must be a whole
     number. The result has as many rows as there are pairs, so a passage in k documents costs k * (k - 1) / 2 rows.
     """
-    texts = _texts(docs, key, text, min_span)
+    texts = spread(_texts(docs, key, text, min_span))
     classes = cut_lineage(_classes(texts))
     windows = _windows_in_question(texts, classes, min_span)
     between = windows.groupBy("bucket").applyInArrow(_window_pairs, "a long, b long").distinct()
@@ -352,7 +352,7 @@ def shared_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
     empty array and 0; null and empty texts have 0 characters and part 0. Repeated rows of a key count once; null keys
     are left out. A hot passage is cheap here: no pairs are made.
     """
-    texts = _texts(docs, key, text, min_span)
+    texts = spread(_texts(docs, key, text, min_span))
     classes = cut_lineage(_classes(texts))
     windows = _windows_in_question(texts, classes, min_span)
     starts = windows.groupBy("bucket").applyInArrow(_window_starts, "doc long, pos long")

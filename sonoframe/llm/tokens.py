@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import bpe
+from sonoframe.session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -32,7 +33,8 @@ def _map_texts(df: DataFrame, text: str, tokenizer_path: str, out: T.StructField
             column = to_column(encoder, numbers, per_text)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), column], [*(f.name for f in kept), out.name])
 
-    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text")).mapInArrow(run, T.StructType([*kept, out]))
+    narrow = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text"))
+    return spread(narrow).mapInArrow(run, T.StructType([*kept, out]))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "ids", tokenizer_path: str = TOKENIZER) -> DataFrame:
