@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
-from sonoframe.text import critical, loops, numbers, postcorrect, scoring, sentences
+from sonoframe.text import critical, loops, numbers, postcorrect, scoring, sentences, spoken
 
 _STEP = "array<struct<kind: string, reference: string, hypothesis: string>>"
 COMPARISON = (
@@ -24,6 +24,7 @@ FLAGS = "array<struct<kind: string, severity: string, expected: string, found: s
 OUTCOMES = "array<struct<kind: string, text: string, found: boolean>>"
 STATUSES = "array<struct<word: string, correct: boolean, heard: string>>"
 CORRECTED = "struct<text: string, changes: array<struct<`from`: string, `to`: string, distance: bigint>>>"
+PLAN = "array<struct<text: string, spoken: string, start: bigint, end: bigint, paragraph_end: boolean>>"
 SENTENCES = "array<struct<text: string, start: bigint, end: bigint, paragraph_end: boolean>>"
 
 
@@ -90,6 +91,8 @@ term_outcomes = on_batches(
 )
 key_words = on_batches(lambda terms: sorted(critical.key_words(_pairs(terms))), "array<string>", 1)
 split_sentences = on_batches(lambda text: [vars(s) for s in sentences.split_sentences(text)], SENTENCES, 1)
+spoken_text = on_batches(spoken.normalise, "string", 2)
+plan_sentences = on_batches(lambda text, language: [vars(s) | {"spoken": spoken.normalise(s.text, language)} for s in sentences.split_sentences(text)], PLAN, 2)
 max_repeat = on_batches(lambda text: dict(zip(("repeats", "size"), loops.max_repeat(loops.words(text)))), "struct<repeats: bigint, size: bigint>", 1)
 has_loop = on_batches(loops.has_loop, "boolean", 2)
 ending_missing = on_batches(loops.ending_missing, "boolean", 2)

@@ -236,6 +236,19 @@ def txt30_31_sentences(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(T.split_sentences("text")).alias("place", "s")).select("doc_id", "place", "s.start", "s.end", "s.paragraph_end", "s.text")
 
 
+@query()
+def txt50_60_spoken_texts(spark, sf_dir):
+    s = spread(table(spark, sf_dir, "samples").select("id", "language", "reference").distinct())
+    return s.select("id", T.spoken_text("reference", "language").alias("spoken"))
+
+
+@query()
+def txt32_sentence_plans(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    plan = T.plan_sentences(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))
+    return docs.select("doc_id", F.posexplode(plan).alias("place", "s")).select("doc_id", "place", "s.text", "s.spoken", "s.start", "s.end", "s.paragraph_end")
+
+
 def _vocabulary(spark: SparkSession, sf_dir: str) -> list[str]:
     """The samples' key terms, one spelling each, as a vocabulary file would list them."""
     terms = table(spark, sf_dir, "samples").select(F.explode("keyTerms").alias("t")).select(F.col("t.text").alias("term")).distinct()
