@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonoframe.functions import audio as U
+from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
 from sonoframe.operators import sequences as S
 from sonoframe.operators import validation as V
+from sonoframe.plans import provider
 from sonoframe.plans.aggregates import rounded, runs_of, two_runs
-from sonoframe.session import table
+from sonoframe.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -412,6 +417,65 @@ def snk03_category_pivot(spark, sf_dir):
     return rounded(wide.withColumnsRenamed(names), 9)
 
 
+# ------------------------------------------------------------------ audio and speech engines
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector a hundred times over, loud and quiet in turn, as an audio signal."""
+    loudness = lambda x, i: x * F.when(F.pmod(F.floor(i / 1600), F.lit(2)) == 0, 1.0).otherwise(0.001)
+    repeated = F.flatten(F.array_repeat("embedding", 100))
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", F.transform(repeated, loudness).alias("samples")))
+
+
+@query()
+def num06_07_speech_segments(spark, sf_dir):
+    spans = _signals(spark, sf_dir).select("vec_id", "samples", U.energy_spans("samples").alias("spans"))
+    return spans.select("vec_id", F.size("spans").alias("spans"), F.posexplode(U.plan_segments("samples", "spans")).alias("place", "s")).select("vec_id", "spans", "place", "s.start", "s.end")
+
+
+@query()
+def num01_02_quality(spark, sf_dir):
+    q = U.quality("samples", F.lit(16_000), F.lit("un deux trois"))
+    return _signals(spark, sf_dir).select("vec_id", q.alias("q")).select("vec_id", "q.durationMs", "q.peak", "q.rms", "q.leadingSilenceMs", F.array_join("q.warnings", "; ").alias("warnings"))
+
+
+@query()
+def num04_resampled(spark, sf_dir):
+    return _signals(spark, sf_dir).select("vec_id", F.size(U.resample("samples", F.lit(8_000))).alias("samples"))
+
+
+@query()
+def udf01_04_mock_results(spark, sf_dir):
+    asked = table(spark, sf_dir, "samples").dropDuplicates(["id"]).select(F.col("id").alias("sample_id"), F.col("audioFile").alias("audio_path"), F.lit("mock").alias("model_id"), "language", F.col("durationMs").alias("audio_ms"))
+    return provider.transcribe(asked, provider.Mock).select("sample_id", "provider_id", "text", "is_mock", "error")
+
+
+@query()
+def val05_consistent_references(spark, sf_dir):
+    """Samples whose own reference raises a flag against itself: there should be none."""
+    s = table(spark, sf_dir, "samples").filter("reference is not null")
+    return s.filter(F.size(T.critical_flags("reference", "reference", "keyTerms")) > 0).select("id").distinct()
+
+
+@query()
+def srt07_shuffled_codes(spark, sf_dir):
+    """Models in a seeded order of Python's generator, with anonymous codes."""
+    names = sorted(r["id"] for r in table(spark, sf_dir, "models").select("id").limit(1_000).collect())
+    random.Random(7).shuffle(names)
+    return spark.createDataFrame([(n, chr(65 + i % 26) + str(i // 26 or "")) for i, n in enumerate(names)], "id string, code string")
+
+
+@query("""with p as (select comparison_id, row_number() over (partition by sample_id order by comparison_id) as nth, normalized_reference as t from (select distinct comparison_id, sample_id, normalized_reference from text_comparisons where normalized_reference is not null)),
+s as (select comparison_id, t, cast((nth * 7) % 20 as bigint) as a, cast((nth * 7) % 20 + 15 as bigint) as b from p) select comparison_id, a, b, substr(t, 1, a) as before, substr(t, a + 1, b - a) as piece, substr(t, b + 1) as after from s where b <= length(t)""")
+def win13_pieces(spark, sf_dir):
+    """A text taken apart at a segment: what is before, in and after it; segments out of range are dropped."""
+    once = table(spark, sf_dir, "text_comparisons").select("comparison_id", "sample_id", "normalized_reference").filter("normalized_reference is not null").distinct()
+    nth = F.row_number().over(Window.partitionBy("sample_id").orderBy("comparison_id"))
+    s = once.withColumn("a", (nth * 7 % 20).cast("long")).withColumn("b", F.col("a") + 15).filter(F.col("b") <= F.length("normalized_reference"))
+    part = lambda e: F.expr(f"substring(normalized_reference, {e})")
+    return s.select("comparison_id", "a", "b", part("1, cast(a as int)").alias("before"), part("cast(a as int) + 1, cast(b - a as int)").alias("piece"), part("cast(b as int) + 1").alias("after"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
