@@ -79,19 +79,42 @@ def _interval(sorted_values: np.ndarray, percent: float) -> float:
     return float(sorted_values[min(len(sorted_values) - 1, max(0, round(percent / 100 * (len(sorted_values) - 1))))])
 
 
-def draw_counts(samples: int, resamples: int, seed: int) -> np.ndarray:
-    """How often each sample is drawn in each resample, by Python's generator: (resamples, samples)."""
-    rng = random.Random(seed)
-    picked = range(samples)
-    return np.array([np.bincount([rng.choice(picked) for _ in picked], minlength=samples) for _ in range(resamples)], dtype=np.int32)
-
-
-def bootstrap(runs: DataFrame, resamples: int = 5000, seed: int = 7, most_samples: int = 5_000) -> DataFrame:
+class Draws:
+    """What random.Random(seed).choice picks, in its order, by the same generator's raw numbers in bulk."""
+
+    def __init__(self, seed: int):
+        key = random.Random(seed).getstate()[1]
+        self.source = np.random.MT19937()
+        self.source.state = {"bit_generator": "MT19937", "state": {"key": np.array(key[:-1], dtype=np.uint32), "pos": key[-1]}}
+        self.rest = np.zeros(0, dtype=np.uint64)
+
+    def picks(self, n: int, count: int) -> np.ndarray:
+        """The next ``count`` choices among 0..n-1. Numbers of the bits of n are drawn again until they are below n."""
+        found, have = [], 0
+        shift = np.uint64(32 - n.bit_length())
+        while have < count:
+            raw = self.rest if len(self.rest) else self.source.random_raw(2 * (count - have) + 64)
+            usable = np.flatnonzero((raw >> shift) < n)[: count - have]
+            used = int(usable[-1]) + 1 if len(usable) == count - have else len(raw)
+            found.append((raw[usable] >> shift).astype(np.int64))
+            have += len(usable)
+            self.rest = raw[used:]
+        return np.concatenate(found)
+
+    def resampled(self, n: int, resamples: int, block: int = 4_000_000):
+        """Blocks of resamples of n picks each, as an array (resamples of the block, n)."""
+        step = max(1, block // n)
+        for i in range(0, resamples, step):
+            rows = min(step, resamples - i)
+            yield self.picks(n, rows * n).reshape(rows, n)
+
+
+def bootstrap(runs: DataFrame, resamples: int = 5000, seed: int = 7, most_samples: int = 100_000) -> DataFrame:
     """Intervals of each configuration's micro rate, and of its difference to the best one, on samples that all have.
 
-    The same draws serve all configurations. What is resampled is a table of samples by configurations; it has to be
-    small enough for the draws (``most_samples``), which are made once on the driver as one generator's sequence and
-    multiplied with the table there; a larger set is an error, not a sample of it.
+    The same draws serve all configurations. What is resampled is a table of samples by configurations, two numbers each.
+    As all draws are one generator's sequence they are made on the driver, where the table is brought after it was
+    counted: a set of more than ``most_samples`` is an error, not a sample of it.
     """
     key = [*A.CONFIG, "sampleId"]
     rated = A.latest_deliveries(runs.filter(A.first_repetition()), key, ["timestampMs", "runId", "ingestedAt"])
@@ -111,9 +134,10 @@ def bootstrap(runs: DataFrame, resamples: int = 5000, seed: int = 7, most_sample
     for r in rows:
         c = configs.index((r["modelId"], r["decoding"]))
         errors[c, at[r["sampleId"]]], words[c, at[r["sampleId"]]] = r["e"], r["w"]
-    counts = draw_counts(len(samples), resamples, seed)
-    rate = lambda n: np.divide(n @ errors.T, n @ words.T, out=np.zeros((len(n), len(configs))), where=(n @ words.T) > 0)
-    full, drawn = rate(np.ones((1, len(samples))))[0], rate(counts.astype(float))
+    rate = lambda e, w: np.divide(e, w, out=np.zeros_like(e), where=w > 0)
+    full = rate(errors.sum(axis=1), words.sum(axis=1))
+    blocks = Draws(seed).resampled(len(samples), resamples)
+    drawn = np.concatenate([np.stack([rate(errors[c][p].sum(axis=1), words[c][p].sum(axis=1)) for c in range(len(configs))], axis=1) for p in blocks])
     best = int(full.argmin())
     out = []
     for c, (model, decoding) in enumerate(configs):
@@ -131,7 +155,7 @@ def bootstrap_by_language(runs: DataFrame, languages: tuple[str, ...] = ("fr", "
     grouped = rated.groupBy(*A.CONFIG, "language").agg(
         F.array_sort(F.collect_list(F.struct(*order, A.word_errors().alias("e"), F.col("referenceWords").alias("w")))).alias("r"), F.count_if("hasCritical").alias("critical_samples")
     )
-    rng, out = random.Random(seed), []
+    draws, out = Draws(seed), []
     found = {(g["modelId"], g["decoding"], g["language"]): g for g in grouped.toLocalIterator()}
     for model, decoding in sorted({k[:2] for k in found}):
         for language in languages:
@@ -139,12 +163,8 @@ def bootstrap_by_language(runs: DataFrame, languages: tuple[str, ...] = ("fr", "
             if g is None:
                 continue
             e, w = (np.array([x[c] or 0 for x in g["r"]], dtype=float) for c in "ew")
-            picked = range(len(e))
-            rates = np.sort([_rate(e, w, [rng.choice(picked) for _ in picked]) for _ in range(resamples)])
+            sums = [(e[p].sum(axis=1), w[p].sum(axis=1)) for p in draws.resampled(len(e), resamples)]
+            rates = np.sort(np.concatenate([np.divide(x, y, out=np.zeros_like(x), where=y > 0) for x, y in sums]))
             out.append((model, decoding, language, len(e), float(e.sum() / w.sum()) if w.sum() else 0.0, _interval(rates, 2.5), _interval(rates, 97.5), g["critical_samples"]))
     return runs.sparkSession.createDataFrame(out, "modelId string, decoding string, language string, samples long, wer double, low double, high double, critical_samples long")
 
-
-def _rate(errors: np.ndarray, words: np.ndarray, picked: list[int]) -> float:
-    total = words[picked].sum()
-    return errors[picked].sum() / total if total else 0.0

@@ -222,7 +222,7 @@ def agg14_bootstrap(spark, sf_dir):
 
 @query()
 def agg15_bootstrap_by_language(spark, sf_dir):
-    return K.bootstrap_by_language(runs_of(spark, sf_dir), resamples=200)
+    return K.bootstrap_by_language(runs_of(spark, sf_dir))
 
 
 @query()

@@ -4,6 +4,7 @@ import glob
 import json
 import math
 import os
+import random
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from sonoframe import schemas, sources, streaming
 from sonoframe.audio import wav
-from sonoframe.operators import replica_diff, sequences
+from sonoframe.operators import replica_diff, sequences, termstudy
 from sonoframe.operators import aggregates as A
 from sonoframe.plans import provider
 from sonoframe.sources import sinks
@@ -124,6 +125,22 @@ def test_hashes_equal_sparks(spark):
     assert replica_diff.xxhash64_of_longs(*(np.array(x) for x in zip(*rows))).tolist() == got
 
 
+def test_draws_are_pythons_own():
+    rng, draws = random.Random(7), termstudy.Draws(7)
+    for n, count in ((95, 950), (3, 10), (64, 200), (1, 5)):
+        assert draws.picks(n, count).tolist() == [rng.choice(range(n)) for _ in range(count)]
+
+
+def test_bootstrap(spark):
+    rows = [RECORD | {"sampleId": f"s{i}", "modelId": m, "substitutions": k * (i % 3), "referenceWords": 10, "runId": "r"} for i in range(30) for m, k in (("good", 0), ("bad", 2))]
+    runs = spark.createDataFrame([json.loads(json.dumps(r)) for r in rows], schemas.RUN).withColumn("ingestedAt", F.lit(0))
+    got = {r.modelId: r for r in termstudy.bootstrap(runs, resamples=200).collect()}
+    assert got["good"].verdict == "-" and got["bad"].verdict == "clearly worse" and got["bad"].low < got["bad"].wer < got["bad"].high
+    rng, s = random.Random(7), sorted(f"s{i}" for i in range(30))
+    rates = sorted(sum(2 * (int(x[1:]) % 3) for x in [rng.choice(s) for _ in s]) / 300 for _ in range(200))
+    assert got["bad"].low == rates[round(0.025 * 199)] and got["bad"].high == rates[round(0.975 * 199)]
+
+
 def test_as_of_segments(spark):
     starts = spark.createDataFrame([(1, 0, 0), (1, 1250, 1), (1, 3100, 2)], "k int, ms long, segment int")
     asked = spark.createDataFrame([(1, t) for t in (500, 1100, 1250, 2800, 99_999, -5)], "k int, ms long")
