@@ -98,15 +98,16 @@ def _from_planes(data: bytes, n: int, kind=np.uint64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
-def _pack(buckets: int, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, h2: np.ndarray | None = None) -> Iterator[dict]:
-    """Packed blocks of hashes, one a bucket. What more than HOT documents have is known to be shared and stays apart."""
+def _pack(buckets: int, apart: bool, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, h2: np.ndarray | None = None) -> Iterator[dict]:
+    """Packed blocks of hashes, one a bucket. ``apart``: what more than HOT documents have is known to be shared and needs no bucket."""
     where = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((doc, h, where))
-    h, doc, pos, where = h[order], doc[order], pos[order], where[order]
-    h2 = None if h2 is None else h2[order]
+    second = h if h2 is None else h2
+    order = np.lexsort((doc, second, h, where))
+    h, doc, pos, where, second = h[order], doc[order], pos[order], where[order], second[order]
+    h2 = None if h2 is None else second
     hot = np.zeros(len(h), dtype=bool)
-    if h2 is None and len(h):
-        run = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    if apart and len(h):
+        run = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])]))
         size = np.diff(np.concatenate([run, [len(h)]]))
         for a, n in zip(run[size > HOT].tolist(), size[size > HOT].tolist()):
             own = doc[a : a + n]
@@ -119,13 +120,13 @@ def _pack(buckets: int, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, h2: np.
         if not mask.any():
             continue
         hh, dd, pp, ww = h[mask], doc[mask], pos[mask], where[mask]
-        second = None if h2 is None else h2[mask]
+        hh2 = None if h2 is None else h2[mask]
         cuts = np.searchsorted(ww, np.arange(buckets + 1))
         for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
             if i < j:
                 yield {
                     "bucket": b, "hot": kind, "n": int(j - i),
-                    "h": _planes(np.diff(hh[i:j], prepend=np.uint64(0))), "h2": None if second is None else _planes(second[i:j]),
+                    "h": _planes(np.diff(hh[i:j], prepend=np.uint64(0))), "h2": None if hh2 is None else _planes(hh2[i:j]),
                     "doc": _planes(dd[i:j].astype(np.int64)), "pos": _planes(pp[i:j].astype(np.int64)),
                 }
 
@@ -143,12 +144,19 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray | None, np.ndarray,
     return np.concatenate(h), np.concatenate(h2) if h2 else None, np.concatenate(doc), np.concatenate(pos), np.concatenate(hot)
 
 
-def _send(buckets: int, hashed: Iterator[tuple], packed: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, doc, pos) of packed rows."""
+    for batch in batches:
+        h, _, doc, pos, _ = _unpack(pa.Table.from_batches([batch]))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos)], ["h", "doc", "pos"])
+
+
+def _send(buckets: int, apart: bool, hashed: Iterator[tuple], packed: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Gathers arrays (h, doc, pos, h2 or None) to packs."""
     held, waiting = [], 0
 
     def flush():
-        rows = list(_pack(buckets, *(None if col[0] is None else np.concatenate(col) for col in zip(*held))))
+        rows = list(_pack(buckets, apart, *(None if col[0] is None else np.concatenate(col) for col in zip(*held))))
         return pa.RecordBatch.from_pylist(rows, schema=packed)
 
     for piece in hashed:
@@ -192,7 +200,7 @@ def _anchors(texts: DataFrame, min_span: int, buckets: int) -> DataFrame:
                     if len(starts):
                         yield window_hashes(codes, starts, width), np.concatenate(doc), np.concatenate(pos), None
 
-        yield from _send(buckets, hashed(), _packed_schema())
+        yield from _send(buckets, True, hashed(), _packed_schema())
 
     return texts.mapInArrow(run, _PACKED)
 
@@ -210,17 +218,12 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
         keep = np.repeat(several, end - begin)
         return pa.table({"h": pa.array(h[keep].view(np.int64)), "doc": pa.array(doc[keep]), "pos": pa.array(pos[keep])})
 
-    def unpack(batches):
-        for batch in batches:
-            h, _, doc, pos, _ = _unpack(pa.Table.from_batches([batch]))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos)], ["h", "doc", "pos"])
-
     shape = "h long, doc long, pos long"
     found = packed.filter("not hot").groupBy("bucket").applyInArrow(run, shape)
-    return found.unionByName(packed.filter("hot").mapInArrow(unpack, shape))
+    return found.unionByName(packed.filter("hot").mapInArrow(_unpacked, shape))
 
 
-def _full_windows(questioned: DataFrame, min_span: int, buckets: int) -> DataFrame:
+def _full_windows(questioned: DataFrame, min_span: int, buckets: int, apart: bool) -> DataFrame:
     """Stage 3, of (doc, text, at: positions of anchors)."""
     width = min_span - PERIOD + 1
 
@@ -247,7 +250,7 @@ def _full_windows(questioned: DataFrame, min_span: int, buckets: int) -> DataFra
                         h, h2 = (window_hashes(codes, mine - a, min_span, k) for k in (0, 1))
                         yield h, np.full(len(mine), i, dtype=np.int64), mine, h2
 
-        yield from _send(buckets, hashed(), _packed_schema())
+        yield from _send(buckets, apart, hashed(), _packed_schema())
 
     return questioned.mapInArrow(run, _PACKED)
 
@@ -311,7 +314,7 @@ def _classes(texts: DataFrame) -> DataFrame:
     return hashed.join(firsts, ["x", "y", "z"]).select("doc", "rep").distinct()
 
 
-def _windows_in_question(texts: DataFrame, classes: DataFrame, min_span: int) -> DataFrame:
+def _windows_in_question(texts: DataFrame, classes: DataFrame, min_span: int, apart: bool) -> DataFrame:
     """Stages 1 to 3."""
     spark = texts.sparkSession
     buckets = 4 * shuffle_partitions(spark)
@@ -324,7 +327,7 @@ def _windows_in_question(texts: DataFrame, classes: DataFrame, min_span: int) ->
     if 16 * size[0] + 8 * (size[1] or 0) <= BROADCAST_LIMIT_BYTES // 4:
         per_doc = F.broadcast(per_doc)
     joined = texts.join(per_doc, "doc").select("doc", "text", "at")
-    return _full_windows(joined, min_span, buckets)
+    return _full_windows(joined, min_span, buckets, apart)
 
 
 def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
@@ -336,7 +339,7 @@ def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: in
     """
     texts = spread(_texts(docs, key, text, min_span))
     classes = cut_lineage(_classes(texts))
-    windows = _windows_in_question(texts, classes, min_span)
+    windows = _windows_in_question(texts, classes, min_span, False)
     between = windows.groupBy("bucket").applyInArrow(_window_pairs, "a long, b long").distinct()
     left, right = (classes.select(F.col("rep").alias(c), F.col("doc").alias(f"doc_{c}")) for c in ("a", "b"))
     full = between.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("doc_a", "a").alias("u"), F.coalesce("doc_b", "b").alias("v"))
@@ -354,8 +357,9 @@ def shared_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
     """
     texts = spread(_texts(docs, key, text, min_span))
     classes = cut_lineage(_classes(texts))
-    windows = _windows_in_question(texts, classes, min_span)
-    starts = windows.groupBy("bucket").applyInArrow(_window_starts, "doc long, pos long")
+    windows = _windows_in_question(texts, classes, min_span, True)
+    found = windows.filter("not hot").groupBy("bucket").applyInArrow(_window_starts, "doc long, pos long")
+    starts = found.unionByName(windows.filter("hot").mapInArrow(_unpacked, "h long, doc long, pos long").drop("h"))
 
     def merge(table: pa.Table) -> pa.Table:
         doc, pos = table.column("doc").to_numpy(), table.column("pos").to_numpy()

@@ -90,7 +90,7 @@ def test_stages_in_process(monkeypatch, passages):
     doc, pos = np.r_[np.arange(40), [1, 2, 3]], np.arange(43)
     import pyarrow as pa
 
-    rows = list(spans._pack(4, h, doc, pos))
+    rows = list(spans._pack(4, True, h, doc, pos))
     table = pa.Table.from_pylist(rows, schema=spans._packed_schema())
     a, _, b, c, hot = spans._unpack(table)
     assert sorted(zip(a.tolist(), b.tolist(), c.tolist())) == sorted(zip(h.tolist(), doc.tolist(), pos.tolist()))
