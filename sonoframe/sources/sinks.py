@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.audio import wav
 from sonoframe.operators import aggregates as A
+from sonoframe.operators import termstudy
 
 #: The summary's columns, the names they have in the file, and their decimals.
 SUMMARY = {
@@ -111,3 +112,37 @@ def write_wavs(audio: DataFrame, folder: str, scaling: str = "round") -> None:
                 f.write(wav.write(np.array(r["samples"], dtype=np.float32), r["sampleRate"], scaling))
 
     audio.select("name", "samples", "sampleRate").foreachPartition(run)
+
+
+def term_baseline_markdown(runs: DataFrame, samples: DataFrame) -> str:
+    """A row a configuration: samples, rate, key terms found of each kind, samples with a critical flag."""
+    ok = runs.filter(A.succeeded())
+    by = ok.groupBy(*A.CONFIG).agg(F.count(F.lit(1)).alias("samples"), F.sum(A.word_errors()).alias("e"), F.sum("referenceWords").alias("w"), F.count_if("hasCritical").alias("critical"))
+    kinds: dict[tuple, dict] = {}
+    for r in bounded_rows(termstudy.key_term_summary(runs, samples)):
+        kinds.setdefault((r["modelId"], r["decoding"]), {})[r["kind"]] = f"{r['occurrences'] - r['missed']}/{r['occurrences']}"
+    names = sorted({k for found in kinds.values() for k in found})
+    rows = [
+        [f"{r['modelId']} ({r['decoding']})", r["samples"], _percent(r["e"] / r["w"] if r["w"] else 0.0), *(kinds.get((r["modelId"], r["decoding"]), {}).get(k, "0/0") for k in names), r["critical"]]
+        for r in bounded_rows(by.orderBy(*A.CONFIG))
+    ]
+    return markdown_table(["configuration", "samples", "WER", *(f"{k} found" for k in names), "samples with a critical flag"], rows)
+
+
+def term_comparison_markdown(base: DataFrame, variant: DataFrame, samples: DataFrame, key: list[str], order: list[str], examples: int = 25) -> str:
+    """Words fixed and broken by a variant, and the first examples of each configuration and kind."""
+    pairs = A.pairs_of_runs(base, variant, key, order)
+    rows = [
+        [f"{r['modelId']} ({r['decoding']})", r["pairs"], r["fixes"], r["regressions"], r["regressions_outside"], f"{r['insertions_delta']:+d}"]
+        for r in bounded_rows(termstudy.word_deltas(pairs, samples).orderBy(*A.CONFIG))
+    ]
+    out = [markdown_table(["configuration", "pairs", "fixed words", "broken words (all)", "broken words outside key terms", "extra words"], rows)]
+    last = None
+    for c in bounded_rows(termstudy.first_examples(termstudy.word_changes(pairs, samples), examples).orderBy(*A.CONFIG, F.desc("fixed"), "nth")):
+        label = f"{c['modelId']} ({c['decoding']})"
+        if label != last:
+            out.append(f"\n#### {label}\n")
+            last = label
+        term = " (key term)" if c["in_key_term"] else ""
+        out.append(f"- {'Fixed' if c['fixed'] else 'Broken'}: `{c['sampleId']}` expected `{c['reference_word']}`, baseline `{c['baseline']}`, variant `{c['variant']}`{term}\n")
+    return "".join(out)

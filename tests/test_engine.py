@@ -16,7 +16,7 @@ from sonoframe.audio import wav
 from sonoframe.operators import replica_diff, sequences, termstudy
 from sonoframe.operators import aggregates as A
 from sonoframe.plans import provider
-from sonoframe.sources import sinks
+from sonoframe.sources import dataset, sinks
 
 RECORD = {
     "runId": "r", "timestampMs": 951782400000, "modelId": "m", "provider": "p", "decoding": "greedy", "sampleId": "s1", "speakerId": "x", "category": "c", "language": "fr", "domain": "d", "utteranceType": "u",
@@ -78,6 +78,43 @@ def test_audio_files(spark, tmp_path):
     assert (tmp_path / "out/copy.wav").read_bytes() == (tmp_path / "a.wav").read_bytes()
 
 
+def test_import_and_delete(spark, tmp_path):
+    sample = {
+        "id": "fr-1", "language": "fr", "domain": "general", "utteranceType": "statement", "category": "c", "speaker": {"id": "s", "profile": "p"}, "reference": "  Un   texte\n",
+        "keyTerms": [], "source": {"kind": "own-recording", "license": "l"}, "committable": False, "notes": "",
+    }
+    audio, root = wav.write(np.full(8000, 0.25), 8000), str(tmp_path)
+    stored = dataset.import_sample(root, sample, audio, private=False)
+    assert stored["durationMs"] == 1000 and stored["reference"] == "Un texte"
+    for change, bad in (({"id": "Bad Id"}, audio), ({"reference": " "}, audio), ({"language": "xx"}, audio), ({}, audio), ({"id": "new"}, b"ID3" + bytes(60))):
+        with pytest.raises(ValueError):
+            dataset.import_sample(root, sample | change, bad, private=False)
+    with pytest.raises(dataset.Refused):
+        dataset.import_sample(root, sample | {"id": "x", "source": {"kind": "third-party-private", "license": "l"}}, audio, private=False)
+    dataset.import_sample(root, sample, audio, private=True, replace=True)
+    rows = sources.samples(spark, root).collect()
+    assert [(r.id, r.private, r.reference) for r in rows] == [("fr-1", True, "Un texte")]
+    assert dataset.delete_sample(root, "fr-1") and not dataset.delete_sample(root, "fr-1")
+    assert dataset.private_voice_license(" Oui ").endswith("yes")
+    with pytest.raises(dataset.Refused):
+        dataset.private_voice_license("no")
+
+
+def test_term_study(spark):
+    base = [RECORD | {"sampleId": "s1", "reference": "le paracétamol aide bien", "text": "le paracetamol aide bien"}, RECORD | {"sampleId": "s2", "reference": "un deux trois", "text": "un deux trois"}]
+    variant = [base[0] | {"text": "le paracétamol aide bien"}, base[1] | {"text": "un deux quatre"}]
+    b, v = (spark.createDataFrame(rows, schemas.RUN) for rows in (base, variant))
+    samples = spark.createDataFrame([("s1", [("paracétamol", "drug")])], "id string, keyTerms array<struct<text: string, kind: string>>")
+    key, order = ["modelId", "decoding", "sampleId", "repetition"], ["timestampMs", "runId"]
+    row = termstudy.word_deltas(A.pairs_of_runs(b, v, key, order), samples).first()
+    assert (row.pairs, row.fixes, row.regressions, row.regressions_outside) == (2, 1, 1, 1)
+    assert "| 0/1 |" in sinks.term_baseline_markdown(b, samples) and "| 1/1 |" in sinks.term_baseline_markdown(v, samples)
+    text = sinks.term_comparison_markdown(b, v, samples, key, order)
+    assert "Fixed: `s1` expected `paracétamol`, baseline `paracetamol`" in text and "(key term)" in text and "Broken: `s2`" in text
+    scored = {r.sampleId: r for r in termstudy.rescored(b, samples).collect()}
+    assert scored["s1"].substitutions == 1 and scored["s1"].hasCritical and scored["s2"].wer == 0.0
+
+
 def test_streaming(spark, tmp_path):
     for i in range(3):
         write(tmp_path / f"in/{i}.json", RECORD | {"sampleId": f"s{i}", "substitutions": i})
