@@ -148,23 +148,26 @@ def bootstrap(runs: DataFrame, resamples: int = 5000, seed: int = 7, most_sample
     return spark.createDataFrame(out, shape)
 
 
-def bootstrap_by_language(runs: DataFrame, languages: tuple[str, ...] = ("fr", "en"), resamples: int = 5000, seed: int = 7) -> DataFrame:
-    """As ``bootstrap``, for each configuration and language on its own records; one generator serves all in their order."""
-    rated = runs.filter(A.first_repetition())
-    order = ["runId", "sampleId", "timestampMs"]
-    grouped = rated.groupBy(*A.CONFIG, "language").agg(
-        F.array_sort(F.collect_list(F.struct(*order, A.word_errors().alias("e"), F.col("referenceWords").alias("w")))).alias("r"), F.count_if("hasCritical").alias("critical_samples")
-    )
+def bootstrap_by_language(runs: DataFrame, languages: tuple[str, ...] = ("fr", "en"), resamples: int = 5000, seed: int = 7, most_rows: int = 2_000_000) -> DataFrame:
+    """As ``bootstrap``, for each configuration and language on its own records; one generator serves all in their order.
+
+    The records' two numbers are brought to the driver after they were counted; more than ``most_rows`` are an error.
+    """
+    rated = runs.filter(A.first_repetition() & F.col("language").isin(*languages))
+    if (size := rated.count()) > most_rows:
+        raise ValueError(f"{size} records; the bootstrap is for evaluation sets of at most {most_rows}")
+    order = [*A.CONFIG, "language", "runId", "sampleId", "timestampMs"]
+    narrow = rated.select(*order, A.word_errors().alias("e"), F.col("referenceWords").alias("w"), F.col("hasCritical").cast("int").alias("c"))
+    groups: dict[tuple, list] = {}
+    for r in narrow.orderBy(*order, "e", "w").toLocalIterator():
+        groups.setdefault((r["modelId"], r["decoding"], r["language"]), []).append((r["e"] or 0, r["w"] or 0, r["c"] or 0))
     draws, out = Draws(seed), []
-    found = {(g["modelId"], g["decoding"], g["language"]): g for g in grouped.toLocalIterator()}
-    for model, decoding in sorted({k[:2] for k in found}):
+    for model, decoding in sorted({k[:2] for k in groups}):
         for language in languages:
-            g = found.get((model, decoding, language))
-            if g is None:
+            if (model, decoding, language) not in groups:
                 continue
-            e, w = (np.array([x[c] or 0 for x in g["r"]], dtype=float) for c in "ew")
+            e, w, critical = np.array(groups[model, decoding, language], dtype=float).T
             sums = [(e[p].sum(axis=1), w[p].sum(axis=1)) for p in draws.resampled(len(e), resamples)]
             rates = np.sort(np.concatenate([np.divide(x, y, out=np.zeros_like(x), where=y > 0) for x, y in sums]))
-            out.append((model, decoding, language, len(e), float(e.sum() / w.sum()) if w.sum() else 0.0, _interval(rates, 2.5), _interval(rates, 97.5), g["critical_samples"]))
+            out.append((model, decoding, language, len(e), float(e.sum() / w.sum()) if w.sum() else 0.0, _interval(rates, 2.5), _interval(rates, 97.5), int(critical.sum())))
     return runs.sparkSession.createDataFrame(out, "modelId string, decoding string, language string, samples long, wer double, low double, high double, critical_samples long")
-

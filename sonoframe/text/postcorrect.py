@@ -71,7 +71,7 @@ class Vocabulary:
 
     def __init__(self, terms: tuple[str, ...], preset: Preset):
         self.preset = preset
-        self.by_shape: dict[tuple[int, int], list[tuple[str, str]]] = defaultdict(list)
+        self.by_shape: dict[tuple[int, int, str], list[tuple[str, str, Counter]]] = defaultdict(list)
         self.surfaces: dict[str, set[str]] = defaultdict(set)
         self.exact: dict[int, set[str]] = defaultdict(set)
         for surface in terms:
@@ -81,11 +81,14 @@ class Vocabulary:
                 continue
             self.surfaces[folded].add(surface)
             for size in range(max(1, len(words) - 1), len(words) + 2):
-                self.by_shape[size, len(folded)].append((surface, folded))
+                self.by_shape[size, len(folded), self._first(folded)].append((surface, folded, Counter(folded)))
                 self.exact[size].add(surface.lower())
         self.sizes = sorted(self.exact)
         self.known: dict[tuple[int, str], list[tuple[int, str]]] = {}
 
+    def _first(self, folded: str) -> str:
+        return folded[0] if self.preset.same_first_letter else ""
+
     def near(self, size: int, folded: str) -> list[tuple[int, str]]:
         """(distance, term) of the terms that a stretch of ``size`` words may be a misspelling of; words come again and again."""
         key = size, folded
@@ -97,18 +100,19 @@ class Vocabulary:
 
     def _near(self, size: int, folded: str):
         p = self.preset
-        letters = Counter(folded)
-        reach = p.max_distance
-        for length in range(len(folded) - reach, len(folded) + reach + 1):
-            most = p.allowed(length) if length > 0 else -1
+        letters = None
+        for length in range(max(1, len(folded) - p.max_distance), len(folded) + p.max_distance + 1):
+            most = p.allowed(length)
             if abs(length - len(folded)) > most:
                 continue
-            for surface, term in self.by_shape.get((size, length), ()):
-                if p.same_first_letter and term[0] != folded[0] or differs_only_by_plural_mark(folded, term) or self.surfaces.get(folded, set()) - {surface}:
-                    continue
-                if (Counter(term) - letters).total() > most or (distance := levenshtein(folded, term)) > most:
+            for surface, term, term_letters in self.by_shape.get((size, length, self._first(folded)), ()):
+                letters = letters or Counter(folded)
+                # letters that the stretch lacks are edits
+                if (term_letters - letters).total() > most or differs_only_by_plural_mark(folded, term) or self.surfaces.get(folded, set()) - {surface}:
                     continue
-                yield distance, surface
+                distance = levenshtein(folded, term)
+                if distance <= most:
+                    yield distance, surface
 
 
 @lru_cache(maxsize=64)
