@@ -76,6 +76,13 @@ def test_repetition(spark):
     assert repetition.assess(df.limit(0)).collect() == []
 
 
+def test_long_texts_are_counted_alike(monkeypatch):
+    words = [w for i in range(60) for w in f"w{i % 7} x{i % 5} y{i % 3} la la".split()]
+    short = repetition.repeated_words(words)
+    monkeypatch.setattr(repetition, "LONG_TEXT", 10)
+    assert repetition.repeated_words(words) == short == round(_share(" ".join(words)) * len(words))
+
+
 def test_sketches_of_parts_add_up(spark):
     rng = np.random.default_rng(2)
     shares = spark.createDataFrame([(str(i % 3), int(i % 7), 20, float(x)) for i, x in enumerate(rng.random(3000))], "source string, day int, n_words long, share double")
