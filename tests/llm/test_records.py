@@ -46,6 +46,27 @@ def test_truncation(spark):
     assert truncation.assess(df.limit(0)).collect() == []
 
 
+def test_an_open_text_meets_every_text_of_its_bands(spark, monkeypatch):
+    opening = "le docteur demande au bureau un rendez vous"
+    rest = [" ".join(f"m{i * 7 + j * (i + 3)}" for j in range(20)) for i in range(25)]
+    texts = [f"{opening} {x}. Merci." for x in rest] + [opening + " encore" * 500 + ". Oui."]
+    cut = [f"{opening} {' '.join(x.split()[:9])}" for x in rest] + [opening + " toujours bien"]
+    # a near-copy without a sentence's end tells of a word cut off
+    texts += ["deux grandes boîtes de paracétamol pour", *cut]
+    cut.append("deux grandes boîtes de paracé")
+    feats = truncation.features(_records(spark, [*texts, cut[-1]]).select(F.md5("text").alias("tid"), "text")).cache()
+    rows = feats.collect()
+    expected = {}
+    for a in rows:
+        votes = [truncation.closing_vote(a.words, b.words, b.ends, b.dots) for b in rows if not a.closed and a.tid != b.tid and set(a.bands) & set(b.bands)]
+        if votes.count(1) + votes.count(0):
+            expected[a.tid] = (votes.count(1), votes.count(0))
+    assert len(expected) == 26
+    for block in (1024, 7):
+        monkeypatch.setattr(truncation, "BLOCK", block)
+        assert {r.tid: (r.cut, r.complete) for r in truncation._votes(feats).collect()} == expected
+
+
 def test_field_limit(spark):
     words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilo", "lima"]
     texts = [" ".join(words[(i * 7 + j * (i + 1)) % 12] for j in range(30))[:100] for i in range(12)] + ["Tout va bien."] * 3
