@@ -14,7 +14,7 @@ _NUMERIC = r"^[0-9]+([.,][0-9]+)*$"
 def scoring_words(text: Column) -> Column:
     """Words for scoring before numbers and units are brought to one spelling."""
     plain = F.lower(F.translate(text, "’‘`", "'''"))
-    for pattern, by in ((r"(?<![0-9])[.,]|[.,](?![0-9])", " "), (r"[^\p{L}\p{N}%'.,]", " "), (r"(?<=[0-9])(?=[\p{L}%])|(?<=%)(?=[\p{L}0-9])|(?<=\p{L})(?=[0-9%])", " ")):
+    for pattern, by in ((r"(?<![0-9])[.,]|[.,](?![0-9])", " "), (r"[^\p{IsAlphabetic}\p{N}%'.,]", " "), (r"(?<=[0-9])(?=[^0-9.,' ])|(?<=%)(?=[^%' ])|(?<=\p{IsAlphabetic})(?=[^\p{IsAlphabetic}' ])", " ")):
         plain = F.regexp_replace(plain, pattern, by)
     return F.filter(F.transform(F.split(plain, " +"), lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
 
@@ -57,7 +57,7 @@ def date_words(tokens: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
 def split_elisions(tokens: Column) -> Column:

@@ -43,6 +43,10 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.withColumn("tokens", F.split("normalized_reference", " "))
 
 
+def _ascii():
+    return F.col("normalized_reference").rlike("^[ -~]+$") & F.col("normalized_hypothesis").rlike("^[ -~]+$")
+
+
 _T = "t as (select result_id, text from transcribe_results where text is not null)"
 _W = "w as (select comparison_id, normalized_reference, normalized_hypothesis, string_split(normalized_reference, ' ') as tokens from (select distinct comparison_id, normalized_reference, normalized_hypothesis from text_comparisons))"
 _E = "e as (select comparison_id, unnest(tokens) as token from w)"
@@ -56,10 +60,18 @@ def txt01_07_scoring_words(spark, sf_dir):
     return _transcripts(spark, sf_dir).select("result_id", F.array_join(words, " ").alias("words"), F.size(words).alias("n"))
 
 
+@query()
+def txt01_native_words(spark, sf_dir):
+    """Words for scoring before numbers and units are brought to one spelling, of every text."""
+    words = N.scoring_words(F.col("text"))
+    return _transcripts(spark, sf_dir).select("result_id", F.array_join(words, " ").alias("words"), F.size(words).alias("n"))
+
+
 @query(r"""with t as (select result_id, text from transcribe_results where text is not null and not regexp_matches(text, '[0-9.,%]')),
 w as (select result_id, unnest(string_split(regexp_replace(regexp_replace(lower(translate(text, '’‘`', '''''''')), '[^\p{L}\p{N}%''.,]', ' ', 'g'), ' +', ' ', 'g'), ' ')) as w from t)
 select result_id, count(*) as n from (select result_id, trim(w, '''') as w from w) where w <> '' group by all""")
 def txt01_native_words_without_numbers(spark, sf_dir):
+    """The part of txt01_native_words that a short SQL can say."""
     t = _transcripts(spark, sf_dir).filter(~F.col("text").rlike("[0-9.,%]"))
     n = t.groupBy("result_id").agg(F.sum(F.size(N.scoring_words(F.col("text")))).alias("n"))
     return n.filter("n > 0").select("result_id", F.col("n").cast("long").alias("n"))
@@ -96,13 +108,23 @@ def txt02_04_folded_numbers(spark, sf_dir):
     return _words(spark, sf_dir).select("comparison_id", F.array_join(T.fold_numbers("tokens"), " ").alias("folded"))
 
 
+def _character_rates(compared: DataFrame) -> DataFrame:
+    distance = F.levenshtein("normalized_reference", "normalized_hypothesis")
+    rate = F.try_divide(distance.cast("double"), F.length("normalized_reference"))
+    return rounded(compared.select("comparison_id", distance.cast("long").alias("distance"), rate.alias("cer")), 9)
+
+
+@query()
+def txt10_13_character_rate(spark, sf_dir):
+    """Of every comparison; null where a text is, and the rate where the reference is empty."""
+    return _character_rates(spread(_words(spark, sf_dir)))
+
+
 @query(r"""with p as (select distinct comparison_id, normalized_reference as a, normalized_hypothesis as b from text_comparisons where regexp_matches(normalized_reference, '^[ -~]+$') and regexp_matches(normalized_hypothesis, '^[ -~]+$'))
 select comparison_id, cast(levenshtein(a, b) as bigint) as distance, round(levenshtein(a, b)::double / nullif(length(a), 0), 9) as cer from p""")
 def txt10_13_character_rate_ascii(spark, sf_dir):
-    plain = F.col("normalized_reference").rlike("^[ -~]+$") & F.col("normalized_hypothesis").rlike("^[ -~]+$")
-    distance = F.levenshtein("normalized_reference", "normalized_hypothesis")
-    rate = F.try_divide(distance.cast("double"), F.length("normalized_reference"))
-    return rounded(_words(spark, sf_dir).filter(plain).select("comparison_id", distance.cast("long").alias("distance"), rate.alias("cer")), 9)
+    """The part of txt10_13_character_rate that bytes decide alike."""
+    return _character_rates(_words(spark, sf_dir).filter(_ascii()))
 
 
 @query()
@@ -174,11 +196,21 @@ def txt22_paired_numbers(spark, sf_dir):
     return both.select("comparison_id", F.least("missing", "extra").alias("changed"), more("missing", "extra").alias("lost"), more("extra", "missing").alias("added"))
 
 
+def _similarities(compared: DataFrame) -> DataFrame:
+    return rounded(compared.select("comparison_id", N.similarity(F.col("normalized_reference"), F.col("normalized_hypothesis")).alias("similarity")), 9)
+
+
+@query()
+def txt24_similarity(spark, sf_dir):
+    """Of every comparison; null where a text is, 1 where both are empty."""
+    return _similarities(spread(_words(spark, sf_dir)))
+
+
 @query(r"""with p as (select distinct comparison_id, normalized_reference as a, normalized_hypothesis as b from text_comparisons where regexp_matches(normalized_reference, '^[ -~]+$') and regexp_matches(normalized_hypothesis, '^[ -~]+$'))
 select comparison_id, round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 9) as similarity from p""")
 def txt24_similarity_ascii(spark, sf_dir):
-    plain = F.col("normalized_reference").rlike("^[ -~]+$") & F.col("normalized_hypothesis").rlike("^[ -~]+$")
-    return rounded(_words(spark, sf_dir).filter(plain).select("comparison_id", N.similarity(F.col("normalized_reference"), F.col("normalized_hypothesis")).alias("similarity")), 9)
+    """The part of txt24_similarity that bytes decide alike."""
+    return _similarities(_words(spark, sf_dir).filter(_ascii()))
 
 
 @query(f"with {_W}, {_E}, p as (select comparison_id, unnest(string_split(token, '''')) as part from e) select part, count(*) as n from p where part <> '' group by all")

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from sonoframe.plans import texts
 from sonoframe.text import critical, numbers, postcorrect, scoring, sentences
 
 FOLDED = """
@@ -175,3 +176,34 @@ def test_sentences_lines_and_places():
     got = sentences.split_sentences(text)
     assert [units[2 * s.start : 2 * s.end].decode("utf-16-le") for s in got] == [s.text for s in got]
     assert got[0].start == 2 and len(got) == 3 and got[1].text.startswith("😀") and got[1].paragraph_end
+
+
+def test_whole_texts_are_compared(spark, tmp_path):
+    pairs = [("été à l'hôpital", "ete a l hopital"), ("3,5 mg à 20 %", "35 mg à 20"), ("straße ≥ 4", "strasse 4"), ("abc", "abd"), ("𝒳y", "xy"), ("", "é"), ("", ""), (None, "a"), ("a", None), ("", None)]
+    rows = [(i, a, b) for i, (a, b) in enumerate(pairs)]
+    spark.createDataFrame(rows + rows[:2], "comparison_id long, normalized_reference string, normalized_hypothesis string").write.parquet(str(tmp_path / "text_comparisons.parquet"))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    known = {i: None if a is None or b is None else plain(a, b) for i, a, b in rows}
+    rates = texts.txt10_13_character_rate(spark, str(tmp_path)).collect()
+    assert len(rates) == len(rows) and {r.comparison_id: r.distance for r in rates} == known
+    assert {r.comparison_id: r.cer for r in rates} == {i: round(known[i] / len(a), 9) if a and b is not None else None for i, a, b in rows}
+    alike = texts.txt24_similarity(spark, str(tmp_path)).collect()
+    assert len(alike) == len(rows) and {r.comparison_id: r.similarity for r in alike} == {i: None if known[i] is None else round(1 - known[i] / max(len(a), len(b), 1), 9) for i, a, b in rows}
+
+
+def test_whole_texts_are_split_into_words(spark, tmp_path, monkeypatch):
+    said = ["L’été, 3,5mg à 20%.", "m² et 1.000 m2", "N'est-ce pas ? 12h30", "½ pour 4½", "", "…", "'a' 'b", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(said)], "result_id long, text string").write.parquet(str(tmp_path / "transcribe_results.parquet"))
+    got = {r.result_id: (r.words, r.n) for r in texts.txt01_native_words(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(scoring, "unify_units", lambda words: words)
+    monkeypatch.setattr(scoring, "fold_numbers", lambda words: words)
+    words = {i: scoring.normalize_words(t) for i, t in enumerate(said) if t is not None}
+    assert got == {i: (" ".join(w), len(w)) for i, w in words.items()}
