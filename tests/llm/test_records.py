@@ -67,6 +67,15 @@ def test_an_open_text_meets_every_text_of_its_bands(spark, monkeypatch):
         assert {r.tid: (r.cut, r.complete) for r in truncation._votes(feats).collect()} == expected
 
 
+def test_fragments_are_found_however_often_they_are_met(spark):
+    said = lambda i, k: " ".join(f"{chr(97 + (i * j + k) % 26)}{i}x{j}" for j in range(3, 6 + i % 9))
+    many = [f"{said(i, 1)} du traite" for i in range(60)]
+    whole = [f"{said(i, 2)} du traitement." for i in range(100, 130)]
+    for cut in (many[:1], many[:7], many):
+        got = {int(r.record_key): r.truncated for r in truncation.assess(_records(spark, cut + whole)).collect()}
+        assert got == {i: i < len(cut) for i in range(len(cut) + len(whole))}
+
+
 def test_field_limit(spark):
     words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilo", "lima"]
     texts = [" ".join(words[(i * 7 + j * (i + 1)) % 12] for j in range(30))[:100] for i in range(12)] + ["Tout va bien."] * 3
