@@ -45,9 +45,10 @@ def look_alike_table() -> dict[str, str]:
         parts = unicodedata.decomposition(char).split()
         if unicodedata.category(char) == "Zs":
             table[char] = " "
-        elif parts and parts[0] in ("<wide>", "<narrow>", "<font>") or parts and parts[0] == "<compat>" and (0x2160 <= point <= 0x217F or 0xFB00 <= point <= 0xFB06):
+        elif parts and parts[0] in ("<wide>", "<narrow>", "<font>", "<noBreak>") or parts and parts[0] == "<compat>" and (0x2160 <= point <= 0x217F or 0xFB00 <= point <= 0xFB06):
             table[char] = "".join(chr(int(x, 16)) for x in parts[1:])
     table["μ"] = "µ"
+    table["\u2010"] = table["\u2011"] = "-"
     del table[" "]
     for char in [chr(p) for p in range(0x80, 0x2000)]:
         plain = unicodedata.normalize("NFD", char)

@@ -27,6 +27,11 @@ def test_look_alikes(spark):
     assert lookalikes.normalize(df.limit(0), ["l", "r"]).collect() == []
 
 
+def test_hyphens_look_alike():
+    table = lookalikes.look_alike_table()
+    assert table["\u2010"] == table["\u2011"] == "-" and table["\u0f0c"] == "\u0f0b" and table["\u202f"] == " "
+
+
 WHOLE = "Le patient prend deux comprimés chaque matin avant le repas du soir. La secrétaire confirme le rendez-vous de jeudi prochain avec le médecin."
 CUT = [WHOLE[:50], WHOLE[:57] + "…", WHOLE[:95], WHOLE[:118] + " ", WHOLE[:101] + "..."]
 NOT_CUT = [WHOLE, WHOLE.rstrip("."), WHOLE[:68], WHOLE.lower().replace(".", ""), "coupe le son", "", None, WHOLE[:-1] + "…"]
