@@ -51,25 +51,78 @@ def test_truncation(spark):
     assert truncation.assess(df.limit(0)).collect() == []
 
 
-def test_an_open_text_meets_every_text_of_its_bands(spark, monkeypatch):
-    opening = "le docteur demande au bureau un rendez vous"
+def _features(spark, texts):
+    rows = _records(spark, texts).select(F.xxhash64("text").alias("tid"), "text")
+    return truncation.features(rows).cache()
+
+
+def _brute(rows):
+    """Verified pairs of open texts with all texts: (tid, copy) and the vote."""
+    words = {r.tid: r.words.split(" ") for r in rows}
+    votes = {(a.tid, b.tid): truncation.closing_vote(words[a.tid], words[b.tid], b.ends, b.dots) for a in rows for b in rows if not a.closed and a.tid != b.tid}
+    return {pair: vote for pair, vote in votes.items() if vote is not None}
+
+
+def test_open_texts_of_a_band_are_verified_or_meet_all_of_it(spark, monkeypatch):
+    opening = "le docteur demande au bureau un rendez vous et"
     rest = [" ".join(f"m{i * 7 + j * (i + 3)}" for j in range(20)) for i in range(25)]
     texts = [f"{opening} {x}. Merci." for x in rest] + [opening + " encore" * 500 + ". Oui."]
-    cut = [f"{opening} {' '.join(x.split()[:9])}" for x in rest] + [opening + " toujours bien"]
+    cut = [f"{opening} {' '.join(x.split()[:12])}" for x in rest] + [opening + " toujours bien"]
     # a near-copy without a sentence's end tells of a word cut off
-    texts += ["deux grandes boîtes de paracétamol pour", *cut]
-    cut.append("deux grandes boîtes de paracé")
-    feats = truncation.features(_records(spark, [*texts, cut[-1]]).select(F.md5("text").alias("tid"), "text")).cache()
+    texts += ["deux grandes boîtes de paracétamol pour", *cut, "deux grandes boîtes de paracé"]
+    feats = _features(spark, texts)
     rows = feats.collect()
-    expected = {}
-    for a in rows:
-        votes = [truncation.closing_vote(a.words, b.words, b.ends, b.dots) for b in rows if not a.closed and a.tid != b.tid and set(a.bands) & set(b.bands)]
-        if votes.count(1) + votes.count(0):
-            expected[a.tid] = (votes.count(1), votes.count(0))
-    assert len(expected) == 26
+    bands = {r.tid: (set(r.asks), set(r.answers)) for r in rows}
+    met = {a for (a, b) in _brute(rows) if bands[a][0] & bands[b][1]}
+    short = {a for (a, _) in _brute(rows)} - met
+    assert len(met) >= 24 and len(short) == 1
     for block in (1024, 7):
         monkeypatch.setattr(truncation, "BLOCK", block)
-        assert {r.tid: (r.cut, r.complete) for r in truncation._votes(feats).collect()} == expected
+        got = truncation._votes(feats).collect()
+        assert {r.tid for r in got} == met | short and all(r.cut > r.complete for r in got)
+
+
+def test_blocks_give_all_pairs_of_a_band(spark, monkeypatch):
+    opening = "le docteur demande au bureau un rendez vous et"
+    said = ["de jeudi sans faute avec elle", "de mardi sans faute avec elle", "de jeudi sans faute avec moi"]
+    feats = _features(spark, [f"{opening} {x}{end}" for x in said for end in (".", " hier. Oui.", "")])
+    banded = feats.select("tid", "closed", F.explode("answers").alias("band"))
+    asked = feats.filter("not closed").select("tid", F.explode("asks").alias("band"))
+    rows = feats.collect()
+    expected = {}
+    for (a, _), vote in _brute(rows).items():
+        cut, complete = expected.get(a, (0, 0))
+        expected[a] = (cut + vote, complete + 1 - vote)
+    assert len(expected) == 3
+    for block in (1024, 2):
+        monkeypatch.setattr(truncation, "BLOCK", block)
+        assert {r.tid: (r.cut, r.complete) for r in truncation._block_votes(feats, banded, asked).collect()} == expected
+
+
+def test_short_texts_count_their_near_copies(spark):
+    feats = _features(spark, ["ouvre la", "ouvre la porte.", "ouvre la porte du bas. Oui.", "ouvre le", "ouvre", "ouvre la por", "Ouvre la porte", "va vite…", "va vi", "non. va"])
+    rows = feats.collect()
+    expected = {}
+    for (a, _), vote in _brute(rows).items():
+        cut, complete = expected.get(a, (0, 0))
+        expected[a] = (cut + vote, complete + 1 - vote)
+    got = {r.tid: (r.cut, r.complete) for r in truncation._short_votes(feats).collect()}
+    assert got == expected and len(got) >= 4
+
+
+def test_a_beginning_of_a_number_needs_the_word_before():
+    words = "merci de joindre le reçu au dossier 12 34".split()
+    assert truncation.closing_vote(words, "merci de joindre le bail au dossier 77 3456 demain".split(), "0000000001", False) is None
+    assert truncation.closing_vote(words, "merci de joindre le reçu au dossier 12 3456 demain".split(), "0000000001", False) == 1
+
+
+def test_a_cut_at_the_length_of_others_is_told_by_closings(spark):
+    """Without near-copies terminality alone finds the cut, at every size of the corpus."""
+    said = lambda i: " ".join(f"{chr(97 + (i * j) % 26)}{i}x{j}" for j in range(3, 9))
+    for size in (40, 400):
+        texts = [f"{said(i)} pour {said(i + 900)} demain." for i in range(size)] + ["entre nous tout est pour", "entre nous tout est dit demain"]
+        got = {int(r.record_key): r.truncated for r in truncation.assess(_records(spark, texts)).collect()}
+        assert [i for i, x in got.items() if x] == ([size] if size > 100 else [])
 
 
 def test_fragments_are_found_however_often_they_are_met(spark):
