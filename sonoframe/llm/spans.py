@@ -15,7 +15,8 @@ Only stages 1 and 3 read texts; what they send is about an eighth of a hash a ch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,13 @@ PERIOD, COVER = 73, (0, 1, 12, 20, 26, 30, 33, 35, 57)
 MIN_SPAN = 120
 #: Code points hashed at a time and hashes packed at a time; both bound a task's memory.
 BLOCK_CHARS, PACK = 1_000_000, 1_000_000
-#: Documents of one pack that may send the same hash to its bucket; beyond that two stand for all, and the rest need no bucket.
+#: Hashes that a bucket, which one task reads at once, is meant to hold: with documents and positions about 16 MB.
+BUCKET_ROWS = 500_000
+#: Documents of one pack that may send the same hash to its bucket; beyond that two stand for all, and the rest are known to
+#: share it: they are handed on by any bucket's task.
 HOT = 64
-#: Pairs made at a time in a bucket.
-PAIR_BLOCK = 1_000_000
+#: Documents of a common window, or copies of a text, whose pairs one task makes; beyond that tiles of so many meet.
+TILE = 512
 
 _BASES = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 _PACKED = "bucket int, hot boolean, n int, h binary, h2 binary, doc binary, pos binary"
@@ -99,7 +103,7 @@ def _from_planes(data: bytes, n: int, kind=np.uint64) -> np.ndarray:
 
 
 def _pack(buckets: int, apart: bool, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, h2: np.ndarray | None = None) -> Iterator[dict]:
-    """Packed blocks of hashes, one a bucket. ``apart``: what more than HOT documents have is known to be shared and needs no bucket."""
+    """Packed blocks of hashes, one a bucket. ``apart``: what more than HOT documents have is known to be shared and goes to any bucket."""
     where = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     second = h if h2 is None else h2
     order = np.lexsort((doc, second, h, where))
@@ -120,6 +124,8 @@ def _pack(buckets: int, apart: bool, h: np.ndarray, doc: np.ndarray, pos: np.nda
         if not mask.any():
             continue
         hh, dd, pp, ww = h[mask], doc[mask], pos[mask], where[mask]
+        if kind:  # in even parts, from another bucket on for each pack
+            ww = np.sort((int(dd[0]) + np.arange(len(ww)) * min(buckets, 1 + len(ww) // 10_000) // len(ww)) % buckets)
         hh2 = None if h2 is None else h2[mask]
         cuts = np.searchsorted(ww, np.arange(buckets + 1))
         for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
@@ -144,13 +150,6 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray | None, np.ndarray,
     return np.concatenate(h), np.concatenate(h2) if h2 else None, np.concatenate(doc), np.concatenate(pos), np.concatenate(hot)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc, pos) of packed rows."""
-    for batch in batches:
-        h, _, doc, pos, _ = _unpack(pa.Table.from_batches([batch]))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos)], ["h", "doc", "pos"])
-
-
 def _send(buckets: int, apart: bool, hashed: Iterator[tuple], packed: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Gathers arrays (h, doc, pos, h2 or None) to packs."""
     held, waiting = [], 0
@@ -205,22 +204,26 @@ def _anchors(texts: DataFrame, min_span: int, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, _PACKED)
 
 
-def _shared_anchors(packed: DataFrame) -> DataFrame:
-    """Stage 2: (h, doc, pos) of the anchors of more than one document."""
+def _by_bucket(packed: DataFrame, buckets: int, work: Callable[[pa.Table], pa.Table], shape: str) -> DataFrame:
+    """What ``work`` makes of each bucket; a partition is a bucket."""
+
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
 
-    def run(table: pa.Table) -> pa.Table:
-        h, _, doc, pos, hot = _unpack(table)
-        order = np.lexsort((doc, h))
-        h, doc, pos, hot = h[order], doc[order], pos[order], hot[order]
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        end = np.concatenate([begin[1:], [len(h)]]).astype(np.int64)
-        several = doc[begin] != doc[end - 1]
-        keep = np.repeat(several, end - begin)
-        return pa.table({"h": pa.array(h[keep].view(np.int64)), "doc": pa.array(doc[keep]), "pos": pa.array(pos[keep])})
+    return packed.repartitionById(buckets, "bucket").mapInArrow(run, shape)
 
-    shape = "h long, doc long, pos long"
-    found = packed.filter("not hot").groupBy("bucket").applyInArrow(run, shape)
-    return found.unionByName(packed.filter("hot").mapInArrow(_unpacked, shape))
+
+def _shared_anchors(table: pa.Table) -> pa.Table:
+    """Stage 2: (h, doc, pos) of the anchors of more than one document."""
+    h, _, doc, pos, hot = _unpack(table)
+    order = np.lexsort((doc, h, hot))
+    h, doc, pos, hot = h[order], doc[order], pos[order], hot[order]
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (hot[1:] != hot[:-1])]))
+    end = np.concatenate([begin[1:], [len(h)]]).astype(np.int64)
+    keep = np.repeat((doc[begin] != doc[end - 1]) | hot[begin], end - begin)
+    return pa.table({"h": pa.array(h[keep].view(np.int64)), "doc": pa.array(doc[keep]), "pos": pa.array(pos[keep])})
 
 
 def _full_windows(questioned: DataFrame, min_span: int, buckets: int, apart: bool) -> DataFrame:
@@ -255,48 +258,56 @@ def _full_windows(questioned: DataFrame, min_span: int, buckets: int, apart: boo
     return questioned.mapInArrow(run, _PACKED)
 
 
-def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents and positions ordered by window, and the begin and end of each window that several documents have."""
-    h, h2, doc, pos, _ = _unpack(table)
-    order = np.lexsort((doc, h2, h))
-    h, h2, doc, pos = h[order], h2[order], doc[order], pos[order]
-    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]))
+def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and positions ordered by window, and the begin and end of each window that several documents have."""
+    h, h2, doc, pos, hot = _unpack(table)
+    order = np.lexsort((doc, h2, h, hot))
+    h, h2, doc, pos, hot = h[order], h2[order], doc[order], pos[order], hot[order]
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (hot[1:] != hot[:-1])]))
     end = np.concatenate([begin[1:], [len(h)]])
-    several = doc[begin] != doc[end - 1]
-    return doc, pos, begin[several], end[several]
+    several = (doc[begin] != doc[end - 1]) | hot[begin]
+    return h, h2, doc, pos, begin[several], end[several]
 
 
-def _window_pairs(table: pa.Table) -> pa.Table:
-    """Stage 4: the distinct pairs of documents that have a window of this bucket in common.
+def _sharing(table: pa.Table) -> pa.Table:
+    """Stage 4: (w, v, n, doc), the n documents of each window of this bucket that several have.
 
-    Neighbouring windows of one passage mostly have the same documents; each such set is expanded once.
+    Neighbouring windows of one passage mostly have the same documents; one window stands for each such set.
+    """
+    h, h2, doc, _, begin, end = _groups(table)
+    if not len(begin):
+        return pa.table({name: pa.array([], pa.int64()) for name in ("w", "v", "n", "doc")})
+    member = np.repeat(np.arange(len(begin)), end - begin)
+    at = np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange(len(member))
+    doc, w, v = doc[at], h[at], h2[at]
+    once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (member[1:] != member[:-1])])
+    doc, member, w, v = doc[once], member[once], w[once], v[once]
+    begin = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(doc)]]))
+    mixed = doc.astype(np.uint64)
+    sums = [np.add.reduceat(_mix(mixed * np.uint64(k)), begin) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    _, distinct = np.unique(np.stack([*sums, size.astype(np.uint64)], axis=1), axis=0, return_index=True)
+    first, size = begin[distinct], size[distinct]
+    keep = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return pa.table({"w": pa.array(w[keep].view(np.int64)), "v": pa.array(v[keep].view(np.int64)), "n": pa.array(np.repeat(size, size)), "doc": pa.array(doc[keep])})
+
+
+def _pairs_of_members(members: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b), a < b: the pairs of documents within each group of (by..., n, doc), n being its size.
+
+    A group is cut into tiles of about TILE documents, and each pair of tiles is a key of its own, so that no task has more
+    than TILE * TILE pairs of a group to make.
     """
-    doc, _, begin, end = _groups(table)
-    out, waiting = [np.zeros((0, 2), dtype=np.int64)], 0
-    if len(begin):
-        member = np.repeat(np.arange(len(begin)), end - begin)
-        doc = doc[np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange(len(member))]
-        once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (member[1:] != member[:-1])])
-        doc, member = doc[once], member[once]
-        begin = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
-        end = np.concatenate([begin[1:], [len(doc)]])
-        mixed = doc.astype(np.uint64)
-        sums = [np.add.reduceat(_mix(mixed * np.uint64(k)), begin) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-        _, distinct = np.unique(np.stack([*sums, (end - begin).astype(np.uint64)], axis=1), axis=0, return_index=True)
-        for i, j in zip(begin[distinct].tolist(), end[distinct].tolist()):
-            own = doc[i:j]
-            for k in range(len(own) - 1):
-                out.append(np.stack([np.full(len(own) - 1 - k, own[k]), own[k + 1 :]], axis=1))
-                waiting += len(own) - 1 - k
-                if waiting > PAIR_BLOCK:
-                    out, waiting = [np.unique(np.concatenate(out), axis=0)], 0
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    cut = members.select(*by, "doc", F.ceil(F.col("n") / TILE).alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("doc"), "tiles"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    left = cut.select(*by, F.col("doc").alias("a"), F.col("tile").alias("i"), every.alias("j"))
+    right = cut.select(*by, F.col("doc").alias("b"), every.alias("i"), F.col("tile").alias("j"))
+    return left.join(right, [*by, "i", "j"]).filter("a < b").select("a", "b")
 
 
 def _window_starts(table: pa.Table) -> pa.Table:
     """Stage 4: (doc, pos) of the windows that several documents have."""
-    doc, pos, begin, end = _groups(table)
+    _, _, doc, pos, begin, end = _groups(table)
     counts = end - begin
     at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     return pa.table({"doc": pa.array(doc[at]), "pos": pa.array(pos[at])})
@@ -314,20 +325,27 @@ def _classes(texts: DataFrame) -> DataFrame:
     return hashed.join(firsts, ["x", "y", "z"]).select("doc", "rep").distinct()
 
 
-def _windows_in_question(texts: DataFrame, classes: DataFrame, min_span: int, apart: bool) -> DataFrame:
-    """Stages 1 to 3."""
-    spark = texts.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
-    anchors = _shared_anchors(_anchors(texts, min_span, buckets))
+def _buckets(texts: DataFrame, rows: float) -> int:
+    """Buckets for so many hashes: as many as a shuffle has partitions, more where they would become too large."""
+    return max(shuffle_partitions(texts.sparkSession), math.ceil(rows / BUCKET_ROWS))
+
+
+def _windows_in_question(texts: DataFrame, classes: DataFrame, min_span: int, apart: bool) -> tuple[DataFrame, int]:
+    """Stages 1 to 3, and the number of buckets."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = _buckets(texts, chars * len(COVER) / PERIOD)
+    anchors = _by_bucket(_anchors(texts, min_span, buckets), buckets, _shared_anchors, "h long, doc long, pos long")
     copies = classes.filter("doc != rep").select("doc", F.lit(True).alias("copy"))
-    anchors = anchors.join(copies, "doc", "left").filter("copy is null").drop("copy")
+    anchors = cut_lineage(anchors.join(copies, "doc", "left").filter("copy is null").drop("copy"))
     real = anchors.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h")
     per_doc = cut_lineage(anchors.join(real, "h").groupBy("doc").agg(F.collect_set("pos").alias("at")))
-    size = per_doc.agg(F.count("*"), F.sum(F.size("at"))).first()
-    if 16 * size[0] + 8 * (size[1] or 0) <= BROADCAST_LIMIT_BYTES // 4:
+    size = per_doc.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    if 16 * size[0] + 8 * size[1] <= BROADCAST_LIMIT_BYTES // 4:
         per_doc = F.broadcast(per_doc)
     joined = texts.join(per_doc, "doc").select("doc", "text", "at")
-    return _full_windows(joined, min_span, buckets, apart)
+    # a window for each character between the anchors of a run, and as many as the period at its ends
+    buckets = _buckets(texts, size[1] * PERIOD / len(COVER) + 2 * PERIOD * size[0])
+    return _full_windows(joined, min_span, buckets, apart), buckets
 
 
 def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
@@ -335,15 +353,18 @@ def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: in
 
     One row a pair, also for exact copies; documents with null, empty or shorter texts and null keys have none, rows that
     come twice count once, other columns are not read, an empty table gives an empty result. The key must be a whole
-    number. The result has as many rows as there are pairs, so a passage in k documents costs k * (k - 1) / 2 rows.
+    number. The result has as many rows as there are pairs, so a passage in k documents costs k * (k - 1) / 2 rows; they are
+    made in tiles, by many tasks.
     """
     texts = spread(_texts(docs, key, text, min_span))
     classes = cut_lineage(_classes(texts))
-    windows = _windows_in_question(texts, classes, min_span, False)
-    between = windows.groupBy("bucket").applyInArrow(_window_pairs, "a long, b long").distinct()
+    windows, buckets = _windows_in_question(texts, classes, min_span, False)
+    members = cut_lineage(_by_bucket(windows, buckets, _sharing, "w long, v long, n long, doc long"))
+    between = _pairs_of_members(members, ["w", "v"]).distinct()
     left, right = (classes.select(F.col("rep").alias(c), F.col("doc").alias(f"doc_{c}")) for c in ("a", "b"))
     full = between.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("doc_a", "a").alias("u"), F.coalesce("doc_b", "b").alias("v"))
-    within = classes.alias("l").join(classes.alias("r"), F.expr("l.rep = r.rep and l.doc < r.doc")).select(F.col("l.doc").alias("u"), F.col("r.doc").alias("v"))
+    sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    within = _pairs_of_members(classes.join(sizes, "rep"), ["rep"]).toDF("u", "v")
     return full.unionByName(within).select(F.least("u", "v").alias("doc_id_a"), F.greatest("u", "v").alias("doc_id_b"))
 
 
@@ -357,9 +378,8 @@ def shared_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
     """
     texts = spread(_texts(docs, key, text, min_span))
     classes = cut_lineage(_classes(texts))
-    windows = _windows_in_question(texts, classes, min_span, True)
-    found = windows.filter("not hot").groupBy("bucket").applyInArrow(_window_starts, "doc long, pos long")
-    starts = found.unionByName(windows.filter("hot").mapInArrow(_unpacked, "h long, doc long, pos long").drop("h"))
+    windows, buckets = _windows_in_question(texts, classes, min_span, True)
+    starts = _by_bucket(windows, buckets, _window_starts, "doc long, pos long")
 
     def merge(table: pa.Table) -> pa.Table:
         doc, pos = table.column("doc").to_numpy(), table.column("pos").to_numpy()

@@ -72,11 +72,13 @@ def passages():
     return docs
 
 
-@pytest.mark.parametrize("block, hot", [(1_000_000, 64), (150, 2)])
-def test_pairs_and_parts_equal_brute_force(spark, monkeypatch, passages, block, hot):
+@pytest.mark.parametrize("block, hot, tile, rows", [(1_000_000, 64, 512, 500_000), (150, 2, 3, 300)])
+def test_pairs_and_parts_equal_brute_force(spark, monkeypatch, passages, block, hot, tile, rows):
     # workers are forked from this process's modules only in part, so that the limits go through the functions' module
     monkeypatch.setattr(spans, "BLOCK_CHARS", block)
     monkeypatch.setattr(spans, "HOT", hot)
+    monkeypatch.setattr(spans, "TILE", tile)
+    monkeypatch.setattr(spans, "BUCKET_ROWS", rows)
     df = spark.createDataFrame([(d, t, 1) for d, t in [*passages, passages[0]]], "doc_id long, text string, a long")
     assert {tuple(r) for r in spans.pairs(df).collect()} == _pairs(passages)
     got = {r.doc_id: r for r in spans.shared_parts(df).collect()}
@@ -97,6 +99,16 @@ def test_stages_in_process(monkeypatch, passages):
     assert hot.sum() == 38 and len({d for d, x, y in zip(b, a, hot) if x == h[0] and not y}) == 2
 
 
+def test_a_passage_in_many_documents(spark):
+    rng = random.Random(8)
+    common = "".join(rng.choice("abcdef ") for _ in range(150))
+    docs = [(i, f"{i * 7919} {common} {i * 104729}") for i in range(1500)] + [(9000 + i, "lone " * 40 + str(i)) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert spans.pairs(df).count() == 1500 * 1499 // 2 + 3
+    shared = spans.shared_parts(df).filter("doc_id < 1500")
+    assert shared.filter("shared_chars between 150 and 170").count() == 1500
+
+
 def test_spans_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert spans.pairs(empty).collect() == [] and spans.shared_parts(empty).collect() == []
