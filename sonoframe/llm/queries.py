@@ -87,5 +87,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Words, their runs of three, the runs met before, and the words in them; every place is looked at by itself.
+_P3 = r"""with t as (select distinct 'transcribe_results' as origin, result_id::varchar as record_key, text from transcribe_results union select 'samples', id, reference from samples),
+w as (select row_number() over () as i, origin, record_key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from t where text is not null),
+g as (select i, len(w) as n, unnest(range(1, len(w) - 1)) as p, w from w where len(w) >= 12),
+r as (select i, n, p, w[p] as a, w[p + 1] as b, w[p + 2] as c from g),
+x as (select i, n, p from (select *, min(p) over (partition by i, a, b, c) as first from r) where p > first),
+m as (select distinct i, n, unnest([p, p + 1, p + 2]) as q from x),
+s as (select i from m group by i, n having count(*) >= 0.3 * n)
+select distinct origin, record_key from s join w using (i)"""
+
+#: Every window of 120 characters.
+_P8 = """with d as (select distinct doc_id, string_split(text, '') as c from documents where length(text) >= 120),
+w as (select doc_id, unnest(range(1, len(c) - 118)) as p, c from d), s as (select distinct doc_id, md5(array_to_string(c[p:p + 119], '')) as h from w)
+select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.h = b.h and a.doc_id < b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _P3, "p8_found": _P8}

@@ -155,13 +155,27 @@ def _share(text):
 def test_repetition(spark):
     texts = ["a b c d", "la la la la la la la la la la la la", "Un deux trois. " * 5, "x y z " + "w" * 3000 + " x Y Z", "", None, "de l'eau " * 400, *(" ".join(f"w{i * j}" for j in range(20)) for i in range(40))]
     df = _records(spark, texts)
-    got = repetition.assess(df.unionByName(df)).collect()
+    got = repetition.assess(df.unionByName(df), None).collect()
     assert len(got) == len(texts)
     for r in got:
-        assert r.share == pytest.approx(_share(texts[int(r.record_key)])) and repetition.LEAST_SHARE <= r.threshold <= repetition.ALWAYS
-    cases = {int(r.record_key) for r in repetition.cases(repetition.assess(df)).collect()}
+        assert r.share == pytest.approx(_share(texts[int(r.record_key)])) and 0 <= r.threshold <= 1
+    cases = {int(r.record_key) for r in repetition.cases(repetition.assess(df, None)).collect()}
     assert cases == {i for i, t in enumerate(texts) if _share(t) >= 0.3 and len(repetition._WORD.findall(t or "")) >= 12}
-    assert repetition.assess(df.limit(0)).collect() == []
+    assert repetition.assess(df.limit(0), None).collect() == []
+
+
+def test_thresholds_follow_the_group(spark):
+    """The same text is suspicious where others hardly repeat themselves, and not where most do."""
+    plain = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    some = lambda i: plain(i) + " so it goes so it goes"
+    rows = [("o", f"a{i}", "calm", "fr", plain(i), i % 5) for i in range(300)] + [("o", f"b{i}", "wordy", "fr", some(i), i % 5) for i in range(300)]
+    rows += [("o", "a", "calm", "fr", some(1000), 7), ("o", "b", "wordy", "fr", some(1000), 7), ("o", "c", None, None, some(1000), None)]
+    df = spark.createDataFrame(rows, "origin string, record_key string, source string, language string, text string, day int")
+    got = {r.record_key: r for r in repetition.assess(df).collect()}
+    assert got["a"].suspicious and not got["b"].suspicious and got["a"].share == got["b"].share < repetition.ALWAYS
+    assert got["a"].threshold < got["b"].threshold and not repetition.cases(repetition.assess(df)).collect()
+    without_days = {r.record_key: r.suspicious for r in repetition.assess(df, None).collect()}
+    assert without_days == {k: r.suspicious for k, r in got.items()}
 
 
 def test_long_texts_are_counted_alike(monkeypatch):
@@ -173,9 +187,10 @@ def test_long_texts_are_counted_alike(monkeypatch):
 
 def test_sketches_of_parts_add_up(spark):
     rng = np.random.default_rng(2)
-    shares = spark.createDataFrame([(str(i % 3), int(i % 7), 20, float(x)) for i, x in enumerate(rng.random(3000))], "source string, day int, n_words long, share double")
-    daily = repetition.share_sketches(shares, "source", "day")
-    limit = repetition.thresholds(repetition.merge_sketches(daily, "source"), quantile=0.2)
+    shares = spark.createDataFrame([("o", "fr", str(i % 3), int(i % 7), 20, float(x)) for i, x in enumerate(rng.random(3000))], "origin string, language string, source string, day int, n_words long, share double")
+    daily = repetition.share_sketches(shares, "origin", "language", "source", "day")
+    assert daily.count() == 21
+    limit = repetition.thresholds(daily, quantile=0.2)
     assert all(abs(r.threshold - 0.2) < 0.03 and r.n_texts == 1000 for r in limit.collect())
 
 
