@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.session import cut_lineage
@@ -60,28 +60,55 @@ def look_alike_table() -> dict[str, str]:
 
 
 def look_alikes_mapped(text: Column) -> Column:
-    """The text with every look-alike replaced; an expression without Python code."""
+    """The text with every look-alike replaced; an expression without Python code.
+
+    Only texts with a character that may be one are gone through.
+    """
     table = look_alike_table()
-    for char, several in table.items():  # ligatures and numerals
-        if len(several) > 1:
-            text = F.replace(text, F.lit(char), F.lit(several))
+    mapped = text
+    for char, letters in table.items():  # ligatures and numerals
+        if len(letters) > 1:
+            mapped = F.replace(mapped, F.lit(char), F.lit(letters))
     single = {c: r for c, r in table.items() if len(r) == 1 and ord(c) < 0x10000}
     beyond = {c: r for c, r in table.items() if len(r) == 1 and ord(c) >= 0x10000}
-    text = F.translate(text, "".join(single), "".join(single.values()))
+    mapped = F.translate(mapped, "".join(single), "".join(single.values()))
     if beyond:
-        rare = F.translate(text, "".join(beyond), "".join(beyond.values()))
-        text = F.when(text.rlike("[\\x{1D400}-\\x{1FBFF}]"), rare).otherwise(text)
-    return text
+        rare = F.translate(mapped, "".join(beyond), "".join(beyond.values()))
+        mapped = F.when(text.rlike("[\\x{1D400}-\\x{1FBFF}]"), rare).otherwise(mapped)
+    low = "".join(f"\\x{{{ord(c):X}}}" for c in table if ord(c) < 0x100)
+    return F.when(text.rlike(f"[{low}\\x{{100}}-\\x{{10FFFF}}]"), mapped).otherwise(text)
+
+
+def _id(column: str) -> Column:
+    """128 bits that stand for a value."""
+    return F.unhex(F.md5(F.col(f"`{column}`").cast("string")))
 
 
 def canonical_forms(values: DataFrame, column: str = "value") -> DataFrame:
-    """(value, canonical) for each distinct value that isn't null."""
+    """(id, canonical) for each distinct value that isn't null; id is its MD5 digest.
+
+    Members of a class have the same digits and blanks, as neither has another form that the collation calls equal; these are
+    compared first, so that the collation decides between few values only. Each class is given its form where it is grouped.
+    """
     once = values.select(F.col(f"`{column}`").alias("value")).filter("value is not null").distinct()
-    mapped = once.withColumn("mapped", look_alikes_mapped(F.col("value")))
-    keyed = mapped.withColumn("class", F.collate("mapped", "UNICODE")).withColumn("plain", F.translate("mapped", INVISIBLE, ""))
-    # values of one mapped form have one class; the classes are made of the distinct forms only
-    classes = keyed.groupBy("class").agg(F.min(F.struct(F.octet_length("plain").alias("size"), "plain")).getField("plain").alias("canonical"))
-    return keyed.select("value", "class").join(classes, "class").select("value", "canonical")
+    mapped = once.select(_id("value").alias("id"), look_alikes_mapped(F.col("value")).alias("mapped"))
+    keyed = mapped.select("id", "mapped", F.collate("mapped", "UNICODE").alias("class"), F.xxhash64(F.regexp_replace("mapped", "[^0-9 ]+", "")).alias("shape"))
+    plain = F.translate("mapped", INVISIBLE, "")
+    least = F.min(F.struct(F.octet_length(plain).alias("size"), plain.alias("plain"))).over(Window.partitionBy("shape", "class"))
+    return keyed.select("id", least.getField("plain").alias("canonical"))
+
+
+def _joined_back(df: DataFrame, columns: list[str], forms: DataFrame, names: list[str]) -> DataFrame:
+    """df with the second column of ``forms`` (id, ...) for each of the columns, under the names."""
+    out = df
+    for i, (c, name) in enumerate(zip(columns, names)):
+        out = out.withColumn(f"__id{i}", _id(c)).join(forms.toDF(f"__of{i}", name), F.col(f"__id{i}") == F.col(f"__of{i}"), "left").drop(f"__id{i}", f"__of{i}")
+    return out
+
+
+def _forms(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Forms of the values of all the columns together, ready to be joined to each."""
+    return cut_lineage(canonical_forms(df.select(F.explode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("value"))))
 
 
 def normalize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -91,18 +118,15 @@ def normalize(df: DataFrame, columns: list[str]) -> DataFrame:
     left as they are. The form of a value depends on the look-alikes that stand in df, that two values have the same form
     doesn't. An empty table gives an empty table.
     """
-    every = df.select(F.explode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("value"))
-    forms = cut_lineage(canonical_forms(every))  # joined to each column
-    out = df
-    for i, c in enumerate(columns):
-        mine = forms.toDF(f"__value{i}", f"__form{i}")
-        out = out.join(mine, out[f"`{c}`"] == mine[f"__value{i}"], "left").withColumn(c, F.col(f"__form{i}")).drop(f"__value{i}", f"__form{i}")
-    return out.select(*(f"`{c}`" for c in df.columns))
+    names = [f"__form{i}" for i in range(len(columns))]
+    out = _joined_back(df, columns, _forms(df, columns), names)
+    return out.select(*(F.col(names[columns.index(c)]).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
 
 
 def differing_only_in_characters(df: DataFrame, left: str, right: str) -> DataFrame:
     """The rows of df whose two columns have different characters and one canonical form."""
-    kept = df.withColumns({"__left": F.col(f"`{left}`"), "__right": F.col(f"`{right}`")})
-    unequal = kept.filter(F.col("__left") != F.col("__right"))
-    same = normalize(unequal, ["__left", "__right"]).filter(F.col("__left") == F.col("__right"))
+    unequal = df.filter(F.col(f"`{left}`") != F.col(f"`{right}`"))
+    # only digests of the forms are joined back
+    forms = _forms(unequal, [left, right]).select("id", _id("canonical").alias("form"))
+    same = _joined_back(unequal, [left, right], forms, ["__left", "__right"]).filter(F.col("__left") == F.col("__right"))
     return same.drop("__left", "__right")

@@ -87,6 +87,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+
+
+def _p1_sql() -> str:
+    """The table of look-alikes in SQL, and Unicode's composed form where the operator has a collation."""
+    table = lookalikes.look_alike_table()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    several = "x"
+    for char, letters in table.items():
+        if len(letters) > 1:
+            several = f"replace({several}, {quoted(char)}, {quoted(letters)})"
+    single = {c: r for c, r in table.items() if len(r) == 1}
+    form = f"nfc_normalize(translate(translate({several}, {quoted(''.join(single))}, {quoted(''.join(single.values()))}), {quoted(lookalikes.INVISIBLE)}, ''))"
+    form = lambda c, form=form: form.replace("(x,", f"({c},", 1)
+    return f"""with d as (select distinct comparison_id, normalized_reference as a, normalized_hypothesis as b from text_comparisons where normalized_reference <> normalized_hypothesis)
+select distinct comparison_id from d where {form("a")} = {form("b")}"""
+
+
 #: Words, their runs of three, the runs met before, and the words in them; every place is looked at by itself.
 _P3 = r"""with t as (select distinct 'transcribe_results' as origin, result_id::varchar as record_key, text from transcribe_results union select 'samples', id, reference from samples),
 w as (select row_number() over () as i, origin, record_key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from t where text is not null),
@@ -104,4 +121,4 @@ select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p8_found": _P8}
+    return {"p1_found": _p1_sql(), "p3_found": _P3, "p8_found": _P8}
