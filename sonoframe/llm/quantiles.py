@@ -20,12 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 from sonoframe.session import shuffle_partitions
 
@@ -190,21 +189,59 @@ def add_sketches(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by, "cell").agg(F.sum("n").alias("n")).filter("n != 0")
 
 
+def rank_error(sketch: np.ndarray) -> float:
+    """Twice the standard error of a rank, as a part of n: the estimates of all sketched levels on the way add to it.
+
+    The sum of a row's squared cells estimates the sum of the squared counts of its level, F2; a cell's standard error is
+    sqrt(F2 / WIDTH). The median of DEPTH rows is better than one row; that isn't counted on.
+    """
+    n = int(sketch[0])
+    rows = sketch[_EXACT_CELLS:].reshape(CODE_BITS - _EXACT, DEPTH, WIDTH).astype(float)
+    second = np.median((rows * rows).sum(axis=2), axis=1)
+    return 2.0 * float(np.sqrt(second.sum() / WIDTH)) / n if n > 0 else 0.0
+
+
+def exact_quantiles(codes: np.ndarray, n: np.ndarray, parts: list[float]) -> list[float | None]:
+    """quantiles() of codes and their counts."""
+    order = np.argsort(codes)
+    below = np.cumsum(n[order])
+    if not len(below) or below[-1] <= 0:
+        return [None] * len(parts)
+    at = np.searchsorted(below, np.floor(np.array(parts) * (below[-1] - 1)), side="right")
+    return [decode(int(c)) for c in codes[order][at]]
+
+
 def percentiles(cells: DataFrame, by: list[str], wanted: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """(by..., n, p5, ...): percentiles of each group of a sketch table. A group has at most
-    CELLS + 2 ** CODE_BITS rows."""
-    packed = cells.groupBy(*by).agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    shape = ", ".join(["n: bigint", *(f"p{p}: double" for p in wanted)])
-
-    @F.pandas_udf(f"struct<{shape}>")
-    def descend(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for pairs in column:
-            sketch = from_cells(np.array([p["cell"] for p in pairs]), np.array([p["n"] for p in pairs], dtype=np.int64))
-            rows.append([int(sketch[0]), *quantiles(sketch, [p / 100 for p in wanted])])
-        return pd.DataFrame(rows, columns=["n", *(f"p{p}" for p in wanted)])
-
-    return packed.select(*by, descend("cells").alias("r")).select(*by, "r.*").filter("n > 0")
+    """(by..., n, p5, ..., rank_error): percentiles of each group of a sketch table.
+
+    pP is the value at rank floor(P / 100 * (n - 1)), counted from 0, of the sorted values, to within 2 ** -(MANTISSA_BITS + 1)
+    relatively; its rank may be off by about rank_error * n, which is 0 for groups that are kept as codes. A group has at most
+    CELLS + 2 ** CODE_BITS rows, whatever it counts; they are read as two arrays.
+    """
+    packed = cells.groupBy(*by).agg(F.collect_list(F.struct("cell", "n")).alias("cells")).select(*by, "cells.cell", "cells.n")
+    parts = [p / 100 for p in wanted]
+    kept = [f for f in packed.schema.fields if f.name in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, n = batch.column(len(by)), batch.column(len(by) + 1)
+            ends = cell.offsets.to_numpy()
+            cell, n = cell.values.to_numpy(zero_copy_only=False).astype(np.int64), n.values.to_numpy(zero_copy_only=False)
+            rows = []
+            for i, j in zip(ends, ends[1:]):
+                c, k = cell[i:j], n[i:j]
+                if (c < 0).all():
+                    rows.append([int(k.sum()), *exact_quantiles(-1 - c, k, parts), 0.0])
+                else:
+                    sketch = from_cells(c, k)
+                    rows.append([int(sketch[0]), *quantiles(sketch, parts), rank_error(sketch)])
+            columns = [pa.array([r[x] for r in rows], pa.int64() if x == 0 else pa.float64()) for x in range(len(parts) + 2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(by))), *columns], [*by, "n", *(f"p{p}" for p in wanted), "rank_error"])
+
+    out = StructType(kept).add("n", LongType())
+    for name in (*(f"p{p}" for p in wanted), "rank_error"):
+        out = out.add(name, DoubleType())
+    return packed.mapInArrow(run, out).filter("n > 0")
 
 
 def deliveries_once(runs: DataFrame, key: list[str], values: list[str], by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm import lookalikes, mixing, quantiles, repetition, spans, tokens, truncation
 from sonoframe.llm.records import text_records
-from sonoframe.session import table
+from sonoframe.session import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +54,23 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(single.unionByName(whole), ["runId", *_CONFIGURATION])
 
 
-def p4_days_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of all days, added up from the days' sketches."""
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = quantiles.deliveries_once(table(spark, sf_dir, "runs"), _RUN_KEY, ["timestampMs", "rtf", "inferenceMs"], ["modelId", "decoding"])
     day = F.to_date(F.timestamp_millis("timestampMs")).alias("day")
-    daily = quantiles.sketches(quantiles.long_form(once, ["rtf", "inferenceMs"], "modelId", "decoding", day), ["day", *_CONFIGURATION])
-    return quantiles.percentiles(quantiles.add_sketches(daily, _CONFIGURATION), _CONFIGURATION)
+    return quantiles.sketches(quantiles.long_form(once, ["rtf", "inferenceMs"], "modelId", "decoding", day), ["day", *_CONFIGURATION])
+
+
+def p4_days_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all days, added up from the days' sketches."""
+    return quantiles.percentiles(quantiles.add_sketches(_daily(spark, sf_dir), _CONFIGURATION), _CONFIGURATION)
+
+
+def p4_day_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles without the last day: its sketches are taken out again from the sum of all days'."""
+    daily = cut_lineage(_daily(spark, sf_dir))
+    last = daily.agg(F.max("day").alias("last"))  # one row
+    withdrawn = daily.join(F.broadcast(last), F.col("day") == F.col("last")).select(*_CONFIGURATION, "cell", (-F.col("n")).alias("n"))
+    return quantiles.percentiles(quantiles.add_sketches(daily.select(*_CONFIGURATION, "cell", "n").unionByName(withdrawn), _CONFIGURATION), _CONFIGURATION)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +94,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_shares, p4_percentiles, p4_days_merged, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
+    found = [p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_shares, p4_percentiles, p4_days_merged, p4_day_withdrawn, p6_ids, p7_mix, p7_shares, p8_found, p8_shared]
     return {f.__name__: f for f in found}
 
 

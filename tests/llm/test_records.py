@@ -219,6 +219,28 @@ def test_sketch_ranks_deletions_and_merging():
     assert quantiles.quantiles(np.zeros(quantiles.CELLS, np.int64), [0.5]) == [None]
 
 
+@pytest.mark.parametrize("kind", ["ties", "clusters", "wide"])
+def test_the_bound_holds_for_many_values(kind):
+    rng = np.random.default_rng(6)
+    n = 2_000_000
+    if kind == "ties":  # a third of all values is one
+        values = np.where(rng.random(n) < 0.34, 1.25, rng.lognormal(0, 2, n))
+    elif kind == "clusters":  # nearly all codes share the exact levels' prefix
+        values = 1.0 + rng.random(n) * 2.0**-4
+    else:
+        values = np.exp(rng.uniform(-300, 300, n)) * rng.choice([-1, 1], n)
+    sketch = np.zeros(quantiles.CELLS, np.int64)
+    for part in np.array_split(values, 4):
+        quantiles.add(sketch, part)
+    bound = quantiles.rank_error(sketch)
+    ranked = np.sort(quantiles.encode(values))
+    parts = [p / 100 for p in quantiles.PERCENTILES]
+    for part, value in zip(parts, quantiles.quantiles(sketch, parts)):
+        code = int(quantiles.encode(np.array([value]))[0])
+        low, high = np.searchsorted(ranked, code, "left") / n, np.searchsorted(ranked, code, "right") / n
+        assert low - bound <= part <= high + bound and bound < 0.12
+
+
 def test_percentiles_of_a_table(spark):
     rng = np.random.default_rng(4)
     rows = [("a", float(x)) for x in rng.lognormal(0, 1, 5000)] + [("b", 3.0)] * 5 + [("c", None), ("c", math.nan), (None, 1.0)]
@@ -227,6 +249,9 @@ def test_percentiles_of_a_table(spark):
     got = {r.g: r for r in quantiles.percentiles(cells, ["g"]).collect()}
     assert set(got) == {"a", "b", None} and got["a"].n == 5000 and got["b"].p50 == pytest.approx(3, rel=0.01)
     exact = np.percentile([x for g, x in rows if g == "a"], 50)
+    assert got["b"].rank_error == 0 < got["a"].rank_error < 0.1
+    few = {r.g: r for r in quantiles.percentiles(quantiles.sketches(spark.createDataFrame([("x", float(i)) for i in range(10)], "g string, value double"), ["g"]), ["g"]).collect()}
+    assert few["x"].p50 == pytest.approx(4, rel=0.01) and few["x"].p99 == pytest.approx(8, rel=0.01)  # ranks are rounded down
     assert got["a"].p50 == pytest.approx(exact, rel=0.03)
     undone = quantiles.sketches(df.withColumn("k", F.lit(-1)), ["g"], count="k")
     assert quantiles.percentiles(quantiles.add_sketches(cells.unionByName(undone), ["g"]), ["g"]).collect() == []
