@@ -133,8 +133,23 @@ def test_mix_meets_shares(spark):
     assert mixing.mix(df.limit(0), targets).collect() == [] and mixing.mix(df, targets.limit(0)).collect() == []
 
 
-def test_totals_beyond_what_sources_have():
-    rows = [{"source": "a", "share": 0.5, "cap": 1}, {"source": "b", "share": 0.5, "cap": 1}]
-    assert mixing.plan_totals(rows, {"a": 100, "b": 1000}) == {"a": 100.0, "b": 100.0}
-    assert mixing.plan_totals(rows, {"a": 100, "b": 1000}, 600) == {"a": 100, "b": 500.0}
-    assert mixing.plan_totals(rows, {}) == {}
+def test_totals_beyond_what_sources_have(spark):
+    live = lambda tokens: spark.createDataFrame([(s, 0.5, 1, n) for s, n in tokens.items()], "source string, share double, cap long, tokens long")
+    wanted = lambda tokens, total=None: {r.source: r.wanted for r in mixing.planned(live(tokens), total).collect()}
+    assert wanted({"a": 100, "b": 1000}) == {"a": 100.0, "b": 100.0}
+    assert wanted({"a": 100, "b": 1000}, 600) == {"a": 100, "b": 500.0}
+    assert wanted({"a": 100, "b": 1000}, 5000) == {"a": 100, "b": 1000.0}
+    assert wanted({}) == {}
+
+
+def test_multipliers_meet_their_targets():
+    rng = np.random.default_rng(3)
+    for sizes in (np.arange(1.0, 400), np.array([7.0]), rng.integers(1, 100_000, 50).astype(float)):
+        documents = rng.integers(1, 50, len(sizes)).astype(float)
+        most = (sizes * documents).sum()
+        for cap in (1.0, 2.0, 7.0):
+            for part in (1e-4, 0.1, 0.5, 0.9, 0.999):
+                found = mixing.multiplier_for(sizes, documents, cap, part * cap * most)
+                rate = np.minimum(np.exp(np.minimum(found * sizes * documents.sum() / most, 30)), cap)
+                assert (rate * sizes * documents).sum() == pytest.approx(part * cap * most, rel=1e-6)
+            assert mixing.multiplier_for(sizes, documents, cap, cap * most) == float("inf")
