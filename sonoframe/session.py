@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,18 @@ BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors; the session's own setting wins, tests fall back to a fresh one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
+    """The folder shared by all executors, which the session names in spark.checkpoint.dir.
+
+    Only a session whose executors are threads of this process may go without: it gets a fresh folder of its own.
+    """
+    context = spark.sparkContext
+    jsc = context._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sonoframe-ckpt-"))
-    return named or jsc.getCheckpointDir().get()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sonoframe-ckpt-"))
+    return jsc.getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
