@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
+from sonoframe.session import spread
 from sonoframe.text import critical, loops, numbers, postcorrect, scoring, sentences, spoken
 
 _STEP = "array<struct<kind: string, reference: string, hypothesis: string>>"
@@ -98,6 +99,19 @@ has_loop = on_batches(loops.has_loop, "boolean", 2)
 ending_missing = on_batches(loops.ending_missing, "boolean", 2)
 
 
+def once(df: DataFrame, inputs: list[str], **made: Column) -> DataFrame:
+    """df with columns made of ``inputs`` only, each worked out once for every distinct value of the inputs.
+
+    For functions that cost more than a shuffle: texts repeat over runs and repetitions. Values are joined back by 128 bits of
+    hash; null inputs have their own.
+    """
+    known = [x for c in inputs for x in (F.col(c), F.col(c).isNull())]
+    keyed = df.withColumns({"__a": F.xxhash64(*known), "__b": F.xxhash64(F.lit(11), *known[::-1])})
+    distinct = spread(keyed.select("__a", "__b", *inputs).distinct())
+    worked = distinct.select("__a", "__b", *(c.alias(n) for n, c in made.items()))
+    return keyed.join(worked, ["__a", "__b"], "left").select(*df.columns, *made)
+
+
 def post_correct(text: Column | str, terms: list[str], preset: str = "strict") -> Column:
     """struct(text, changes). The vocabulary goes to the workers with the function; it is checked to be a word list."""
     if len(terms) > 100_000:

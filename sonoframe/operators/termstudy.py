@@ -23,7 +23,7 @@ def with_terms(runs: DataFrame, samples: DataFrame) -> DataFrame:
 
 def rescored(runs: DataFrame, samples: DataFrame) -> DataFrame:
     """Records with rates, counts and flags worked out anew from their texts; failed ones keep null rates."""
-    scored = with_terms(runs, samples).withColumns({"c": T.compare_texts("reference", "text"), "f": T.critical_flags("reference", "text", "keyTerms")})
+    scored = T.once(with_terms(runs, samples), ["reference", "text", "keyTerms"], c=T.compare_texts("reference", "text"), f=T.critical_flags("reference", "text", "keyTerms"))
     ok = A.succeeded()
     pick = lambda c: F.when(ok, c)
     names = {"wer": "wer", "cer": "cer", "substitutions": "substitutions", "deletions": "deletions", "insertions": "insertions", "referenceWords": "reference_words"}
@@ -33,14 +33,17 @@ def rescored(runs: DataFrame, samples: DataFrame) -> DataFrame:
 
 def key_term_summary(runs: DataFrame, samples: DataFrame) -> DataFrame:
     """(configuration, kind, occurrences, missed) over all repetitions of successful runs."""
-    ok = with_terms(runs.filter(A.succeeded()), samples).filter(F.size("keyTerms") > 0)
-    outcomes = ok.select(*A.CONFIG, F.explode(T.term_outcomes("reference", "text", "keyTerms")).alias("o"))
-    return outcomes.groupBy(*A.CONFIG, F.col("o.kind").alias("kind")).agg(F.count(F.lit(1)).alias("occurrences"), F.count_if(~F.col("o.found")).alias("missed"))
+    counted = runs.filter(A.succeeded()).groupBy(*A.CONFIG, "sampleId", "reference", "text").agg(F.count(F.lit(1)).alias("n"))
+    ok = with_terms(counted, samples).filter(F.size("keyTerms") > 0)
+    outcomes = T.once(ok, ["reference", "text", "keyTerms"], o=T.term_outcomes("reference", "text", "keyTerms")).select(*A.CONFIG, "n", F.explode("o").alias("o"))
+    return outcomes.groupBy(*A.CONFIG, F.col("o.kind").alias("kind")).agg(F.sum("n").alias("occurrences"), F.sum(F.when(~F.col("o.found"), F.col("n")).otherwise(0)).alias("missed"))
 
 
 def word_changes(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Reference words that one run of a pair heard and the other didn't, by position; texts of unequal length are left out."""
-    paired = with_terms(pairs, samples).withColumns({"x": T.word_statuses("b.reference", "b.text"), "y": T.word_statuses("v.reference", "v.text"), "keys": T.key_words("keyTerms")})
+    flat = with_terms(pairs, samples).select("*", *(F.col(f"{side}.{c}").alias(f"__{side}_{c}") for side in "bv" for c in ("reference", "text")))
+    paired = T.once(flat, ["__b_reference", "__b_text"], x=T.word_statuses("__b_reference", "__b_text"))
+    paired = T.once(T.once(paired, ["__v_reference", "__v_text"], y=T.word_statuses("__v_reference", "__v_text")), ["keyTerms"], keys=T.key_words("keyTerms"))
     zipped = paired.filter(F.size("x") == F.size("y")).select(*A.CONFIG, "sampleId", "repetition", "keys", F.posexplode(F.arrays_zip("x", "y")).alias("place", "z"))
     changed = zipped.filter(F.col("z.x.correct") != F.col("z.y.correct"))
     in_term = F.exists(F.split("z.x.word", "'"), lambda p: F.array_contains(F.col("keys"), p))
@@ -67,7 +70,7 @@ def first_examples(changes: DataFrame, most: int = 25) -> DataFrame:
 def chunking_study(runs: DataFrame, mode: str = "mode") -> DataFrame:
     """Per configuration and mode: rates, runaways, loops, lost endings and how long the texts are."""
     length = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))) / F.greatest(F.lit(1), F.col("referenceWords"))
-    judged = runs.withColumns({"loop": T.has_loop("text", "reference"), "lost": T.ending_missing("text", "reference"), "ratio": length})
+    judged = T.once(runs, ["text", "reference"], loop=T.has_loop("text", "reference"), lost=T.ending_missing("text", "reference")).withColumn("ratio", length)
     return judged.groupBy(*A.CONFIG, mode).agg(
         F.count(F.lit(1)).alias("samples"), F.try_divide(F.sum(A.word_errors()).cast("double"), F.sum("referenceWords").cast("double")).alias("wer_micro"), F.count_if(F.col("wer") >= 1).alias("runaway"),
         F.count_if("loop").alias("loops"), F.count_if("lost").alias("endings_missing"), F.min("ratio").alias("length_ratio_min"), F.max("ratio").alias("length_ratio_max"),

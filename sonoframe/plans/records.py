@@ -13,6 +13,7 @@ from sonoframe.operators import aggregates as A
 from sonoframe.operators import sequences as S
 from sonoframe.operators import validation as V
 from sonoframe.plans import provider
+from sonoframe.plans import twins as W
 from sonoframe.plans.aggregates import rounded, runs_of, two_runs
 from sonoframe.session import spread, table
 
@@ -450,7 +451,7 @@ def udf01_04_mock_results(spark, sf_dir):
     return provider.transcribe(asked, provider.Mock).select("sample_id", "provider_id", "text", "is_mock", "error")
 
 
-@query()
+@query(f"""with recursive {W.words('select reference as t from samples union select unnest("keyTerms").text from samples')}, ra as (select row_number() over () as r, * from samples where reference is not null), {W.flags('select r, reference, reference as text, id as "sampleId" from ra')} select distinct id from ra join fl using (r)""")
 def val05_consistent_references(spark, sf_dir):
     """Samples whose own reference raises a flag against itself: there should be none."""
     s = table(spark, sf_dir, "samples").filter("reference is not null")

@@ -10,6 +10,7 @@ from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
 from sonoframe.operators import termstudy as K
 from sonoframe.plans import aggregates
+from sonoframe.plans import twins as W
 from sonoframe.plans.aggregates import _PAIR_KEY, _PAIR_ORDER, rounded, two_runs
 from sonoframe.session import BROADCAST_LIMIT_BYTES, spread, table
 from sonoframe.text.critical import DATE_WORDS, NEGATIONS
@@ -43,10 +44,6 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.withColumn("tokens", F.split("normalized_reference", " "))
 
 
-def _ascii():
-    return F.col("normalized_reference").rlike("^[ -~]+$") & F.col("normalized_hypothesis").rlike("^[ -~]+$")
-
-
 _T = "t as (select result_id, text from transcribe_results where text is not null)"
 _W = "w as (select comparison_id, normalized_reference, normalized_hypothesis, string_split(normalized_reference, ' ') as tokens from (select distinct comparison_id, normalized_reference, normalized_hypothesis from text_comparisons))"
 _E = "e as (select comparison_id, unnest(tokens) as token from w)"
@@ -54,29 +51,19 @@ _LIST = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in
 _UNIT_CASE = "case token " + " ".join(f"when '{s}' then '{u}'" for s, u in UNIT_OF.items()) + " end"
 
 
-@query()
+@query(f"""with recursive {W.words("select text as t from transcribe_results")} select result_id, array_to_string(w, ' ') as words, len(w)::int as n from transcribe_results join nw on t = text""")
 def txt01_07_scoring_words(spark, sf_dir):
     words = T.normalize_words("text")
     return _transcripts(spark, sf_dir).select("result_id", F.array_join(words, " ").alias("words"), F.size(words).alias("n"))
 
 
-@query()
+@query(f"""with recursive {W.words("select text as t from transcribe_results")} select result_id, array_to_string(w, ' ') as words, len(w)::int as n from transcribe_results join n4 on t = text""")
 def txt01_native_words(spark, sf_dir):
     """Words for scoring before numbers and units are brought to one spelling, of every text."""
     words = N.scoring_words(F.col("text"))
     return _transcripts(spark, sf_dir).select("result_id", F.array_join(words, " ").alias("words"), F.size(words).alias("n"))
 
 
-@query(r"""with t as (select result_id, text from transcribe_results where text is not null and not regexp_matches(text, '[0-9.,%]')),
-w as (select result_id, unnest(string_split(regexp_replace(regexp_replace(lower(translate(text, '’‘`', '''''''')), '[^\p{L}\p{N}%''.,]', ' ', 'g'), ' +', ' ', 'g'), ' ')) as w from t)
-select result_id, count(*) as n from (select result_id, trim(w, '''') as w from w) where w <> '' group by all""")
-def txt01_native_words_without_numbers(spark, sf_dir):
-    """The part of txt01_native_words that a short SQL can say."""
-    t = _transcripts(spark, sf_dir).filter(~F.col("text").rlike("[0-9.,%]"))
-    n = t.groupBy("result_id").agg(F.sum(F.size(N.scoring_words(F.col("text")))).alias("n"))
-    return n.filter("n > 0").select("result_id", F.col("n").cast("long").alias("n"))
-
-
 @query(rf"""with {_W} select comparison_id, trim(regexp_replace(regexp_replace(' ' || replace(normalized_reference, '%', 'pour cent') || ' ', ' (pour|per) cent( )', ' %\2', 'g'), ' (pourcent|percent)( )', ' %\2', 'g'), ' ') as unified from w where normalized_reference not like '%pour cent pour cent%'""")
 def txt03_percent_words(spark, sf_dir):
     spelled = F.replace("normalized_reference", F.lit("%"), F.lit("pour cent"))
@@ -103,67 +90,77 @@ def txt07_units(spark, sf_dir):
     return tokens.withColumn("unit", N.canonical_unit(F.col("token"))).filter("unit is not null").select("token", "unit", "n")
 
 
-@query()
+@query(f"""with recursive {_W}, {W.words("", "select distinct normalized_reference as t, tokens as w from w where tokens is not null")} select comparison_id, array_to_string(na.w, ' ') as folded from w left join na on na.t = normalized_reference""")
 def txt02_04_folded_numbers(spark, sf_dir):
     return _words(spark, sf_dir).select("comparison_id", F.array_join(T.fold_numbers("tokens"), " ").alias("folded"))
 
 
+#: The words of all texts of runs, and their alignments.
+_RUN_WORDS = W.words('select text as t from runs union select reference from runs union select unnest("keyTerms").text from samples')
+_RUN_ALIGNED = "rp as (select distinct reference, text from runs where error is null), rw as (select reference, text, x.w as a, y.w as b from rp join nw x on x.t = reference join nw y on y.t = text), " + W.aligned("select a, b from rw")
+_RUN_CHARS = W.distances("select array_to_string(a, ' ') as a, array_to_string(b, ' ') as b from rw")
+
+
 def _character_rates(compared: DataFrame) -> DataFrame:
     distance = F.levenshtein("normalized_reference", "normalized_hypothesis")
     rate = F.try_divide(distance.cast("double"), F.length("normalized_reference"))
     return rounded(compared.select("comparison_id", distance.cast("long").alias("distance"), rate.alias("cer")), 9)
 
 
-@query()
+@query(f"""with {_W}, {W.distances("select normalized_reference as a, normalized_hypothesis as b from w")}
+select comparison_id, distance, round(distance::double / nullif(length(a), 0), 9) as cer from w left join nb on a = normalized_reference and b = normalized_hypothesis""")
 def txt10_13_character_rate(spark, sf_dir):
     """Of every comparison; null where a text is, and the rate where the reference is empty."""
     return _character_rates(spread(_words(spark, sf_dir)))
 
 
-@query(r"""with p as (select distinct comparison_id, normalized_reference as a, normalized_hypothesis as b from text_comparisons where regexp_matches(normalized_reference, '^[ -~]+$') and regexp_matches(normalized_hypothesis, '^[ -~]+$'))
-select comparison_id, cast(levenshtein(a, b) as bigint) as distance, round(levenshtein(a, b)::double / nullif(length(a), 0), 9) as cer from p""")
-def txt10_13_character_rate_ascii(spark, sf_dir):
-    """The part of txt10_13_character_rate that bytes decide alike."""
-    return _character_rates(_words(spark, sf_dir).filter(_ascii()))
+_SIMPLE = r"regexp_extract_all(lower(nfc_normalize(replace({c}, '’', ''''))), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}'']+')"
 
 
-@query()
+@query(f"""with recursive sp as (select distinct reference, text, {_SIMPLE.format(c="reference")} as a, {_SIMPLE.format(c="text")} as b from runs where error is null and text is not null and reference is not null), {W.aligned("select a, b from sp")}
+select reference, text, round(case when len(a) > 0 then (substitutions + deletions + insertions)::double / len(a) end, 9) as wer from sp join (select a, b, {W.COUNTS} from al) using (a, b)""")
 def txt11_14_simple_rates(spark, sf_dir):
     pairs = table(spark, sf_dir, "runs").filter("error is null and text is not null and reference is not null").select("reference", "text").distinct()
-    return pairs.select("reference", "text", T.simple_wer("reference", "text").alias("wer"))
+    return rounded(spread(pairs).select("reference", "text", T.simple_wer("reference", "text").alias("wer")), 9)
 
 
-@query()
+@query(f"""with recursive {_RUN_WORDS}, {_RUN_ALIGNED}, {_RUN_CHARS},
+c as (select reference, text, a, {W.COUNTS}, len(b) as n, h from rw join al using (a, b)), l as (select reference, text, distance::double / nullif(length(nb.a), 0) as cer from rw join nb on nb.a = array_to_string(rw.a, ' ') and nb.b = array_to_string(rw.b, ' '))
+select "runId", "modelId", "decoding", "sampleId", repetition, round((c.substitutions + c.deletions + c.insertions)::double / nullif(len(a), 0), 9) as wer, round(l.cer, 9) as cer, c.substitutions, c.deletions, c.insertions, cast(len(a) as bigint) as reference_words, (len(a) + c.insertions)::int as steps
+from runs r join c on c.reference = r.reference and c.text = r.text join l on l.reference = r.reference and l.text = r.text where error is null""")
 def txt12_13_compared(spark, sf_dir):
     """Counts of a fresh comparison beside those on record."""
-    runs = runs_of(spark, sf_dir).filter(A.succeeded()).withColumn("c", T.compare_texts("reference", "text"))
-    return runs.select(*A.RUN_KEY, "c.wer", "c.cer", "c.substitutions", "c.deletions", "c.insertions", "c.reference_words", F.size("c.diff").alias("steps"))
+    runs = aggregates.runs_of(spark, sf_dir).filter(A.succeeded()).select(*A.RUN_KEY, "reference", "text")
+    runs = T.once(runs, ["reference", "text"], c=T.compare_texts("reference", "text"))
+    return rounded(runs.select(*A.RUN_KEY, "c.wer", "c.cer", "c.substitutions", "c.deletions", "c.insertions", "c.reference_words", F.size("c.diff").alias("steps")), 9)
 
 
-@query()
+@query(f"""with recursive {_RUN_WORDS}, {_RUN_ALIGNED}, s as (select unnest(list_transform(list_filter(range(1, len(a) + 1), lambda i: h[i] > 0 and a[i] <> b[h[i]]), lambda i: [a[i], b[h[i]]])) as s from rw join al using (a, b))
+select s[1] as reference, s[2] as hypothesis, count(*) as n from s group by all""")
 def txt12_alignment_steps(spark, sf_dir):
-    pairs = runs_of(spark, sf_dir).filter(A.succeeded()).select("reference", "text").distinct()
-    steps = pairs.select(F.explode(T.compare_texts("reference", "text")["diff"]).alias("s")).filter("s.kind = 'substitute'")
+    pairs = aggregates.runs_of(spark, sf_dir).filter(A.succeeded()).select("reference", "text").distinct()
+    steps = spread(pairs).select(F.explode(T.compare_texts("reference", "text")["diff"]).alias("s")).filter("s.kind = 'substitute'")
     return steps.groupBy("s.reference", "s.hypothesis").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""with recursive {_RUN_WORDS}, {_RUN_ALIGNED}, x as (select "modelId", unnest(a) as word, unnest(list_transform(range(1, len(a) + 1), lambda i: h[i] > 0 and a[i] = b[h[i]])) as correct from runs r join rw on rw.reference = r.reference and rw.text = r.text join al using (a, b) where error is null)
+select "modelId", word, count(*) as occurrences, count(case when correct then 1 end) as heard from x group by all""")
 def txt15_word_statuses(spark, sf_dir):
-    pairs = runs_of(spark, sf_dir).filter(A.succeeded()).select("modelId", "reference", "text")
-    words = pairs.select("modelId", F.explode(T.word_statuses("reference", "text")).alias("s"))
-    return words.groupBy("modelId", "s.word").agg(F.count(F.lit(1)).alias("occurrences"), F.count_if("s.correct").alias("heard"))
+    pairs = aggregates.runs_of(spark, sf_dir).filter(A.succeeded()).groupBy("modelId", "reference", "text").agg(F.count(F.lit(1)).alias("n"))
+    words = T.once(pairs, ["reference", "text"], s=T.word_statuses("reference", "text")).select("modelId", "n", F.explode("s").alias("s"))
+    return words.groupBy("modelId", "s.word").agg(F.sum("n").alias("occurrences"), F.sum(F.when(F.col("s.correct"), F.col("n")).otherwise(0)).alias("heard"))
 
 
-@query()
+@query(f"""with recursive {W.words('select unnest("keyTerms").text as t from samples')}, k as (select id, unnest("keyTerms").text as t from samples) select distinct id, p as word from (select id, unnest(flatten(list_transform(w, lambda y: string_split(y, '''')))) as p from k join nw using (t)) where p <> ''""")
 def txt16_key_words(spark, sf_dir):
     return table(spark, sf_dir, "samples").select("id", F.explode(T.key_words("keyTerms")).alias("word")).distinct()
 
 
-@query()
+@query(f"""with recursive {_RUN_WORDS}, ra as (select row_number() over () as r, * from runs where error is null), {W.flags('select r, reference, text, "sampleId" from ra')} select "modelId", kind, severity, count(*) as flags from ra join fl using (r) group by all""")
 def txt20_critical_flags(spark, sf_dir):
-    scored = K.with_terms(runs_of(spark, sf_dir).filter(A.succeeded()), table(spark, sf_dir, "samples"))
-    flags = scored.select("modelId", F.explode(T.critical_flags("reference", "text", "keyTerms")).alias("f"))
-    return flags.groupBy("modelId", "f.kind", "f.severity").agg(F.count(F.lit(1)).alias("flags"))
+    runs = aggregates.runs_of(spark, sf_dir).filter(A.succeeded()).groupBy("modelId", "sampleId", "reference", "text").agg(F.count(F.lit(1)).alias("n"))
+    scored = T.once(K.with_terms(runs, table(spark, sf_dir, "samples")), ["reference", "text", "keyTerms"], f=T.critical_flags("reference", "text", "keyTerms"))
+    return scored.select("modelId", "n", F.explode("f").alias("f")).groupBy("modelId", "f.kind", "f.severity").agg(F.sum("n").alias("flags"))
 
 
 @query(rf"""with {_W}, {_E} select comparison_id, cast(count(case when regexp_matches(token, '^[0-9]+([.,][0-9]+)*$') then 1 end) as bigint) as numbers, cast(count(case when {_UNIT_CASE} is not null then 1 end) as bigint) as units,
@@ -200,25 +197,19 @@ def _similarities(compared: DataFrame) -> DataFrame:
     return rounded(compared.select("comparison_id", N.similarity(F.col("normalized_reference"), F.col("normalized_hypothesis")).alias("similarity")), 9)
 
 
-@query()
+@query(f"""with {_W}, {W.distances("select normalized_reference as a, normalized_hypothesis as b from w")}
+select comparison_id, round(case when length(a) + length(b) = 0 then 1.0::double else 1 - distance::double / greatest(length(a), length(b)) end, 9) as similarity from w left join nb on a = normalized_reference and b = normalized_hypothesis""")
 def txt24_similarity(spark, sf_dir):
     """Of every comparison; null where a text is, 1 where both are empty."""
     return _similarities(spread(_words(spark, sf_dir)))
 
 
-@query(r"""with p as (select distinct comparison_id, normalized_reference as a, normalized_hypothesis as b from text_comparisons where regexp_matches(normalized_reference, '^[ -~]+$') and regexp_matches(normalized_hypothesis, '^[ -~]+$'))
-select comparison_id, round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 9) as similarity from p""")
-def txt24_similarity_ascii(spark, sf_dir):
-    """The part of txt24_similarity that bytes decide alike."""
-    return _similarities(_words(spark, sf_dir).filter(_ascii()))
-
-
 @query(f"with {_W}, {_E}, p as (select comparison_id, unnest(string_split(token, '''')) as part from e) select part, count(*) as n from p where part <> '' group by all")
 def txt25_split_elisions(spark, sf_dir):
     return _words(spark, sf_dir).select(F.explode(N.split_elisions(F.col("tokens"))).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""with recursive {_RUN_WORDS}, ra as (select row_number() over () as r, * from runs where error is null), {W.flags('select r, reference, text, "sampleId" from ra')} select "modelId", "decoding", kind, count(*) as occurrences, count(case when not found then 1 end) as missed from ra join fo using (r) group by all""")
 def txt26_27_agg16_key_terms(spark, sf_dir):
     return K.key_term_summary(runs_of(spark, sf_dir), table(spark, sf_dir, "samples"))
 
@@ -231,20 +222,33 @@ def agg17_missed_from_flags(spark, sf_dir):
     return terms.groupBy(*A.CONFIG, F.substring_index("f.message", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("missed"))
 
 
-@query()
+#: Words of pairs of runs that one heard and the other didn't, by position.
+_CHANGES = f"""pp as (select row_number() over () as r, l."modelId", l."decoding", l."sampleId", l.repetition, l.reference as lr, l.text as lt, r.reference as rr, r.text as rt, r.insertions - l.insertions as more from l join r on l."modelId" = r."modelId" and l."decoding" = r."decoding" and l."sampleId" = r."sampleId" and l.repetition = r.repetition),
+ws as (select rw.reference, rw.text, a, list_transform(range(1, len(a) + 1), lambda i: coalesce(b[nullif(h[i], 0)], '(missing)')) as heard, list_transform(range(1, len(a) + 1), lambda i: h[i] > 0 and a[i] = b[h[i]]) as correct from rw join al using (a, b)),
+ks as (select id, list(distinct p) as keys from (select id, unnest(flatten(list_transform(w, lambda y: string_split(y, '''')))) as p from (select id, unnest("keyTerms").text as t from samples) k join nw using (t)) where p <> '' group by id),
+zz as (select r, "modelId", "decoding", "sampleId", repetition, unnest(range(len(x.a))) as place, unnest(x.a) as reference_word, unnest(x.heard) as baseline, unnest(y.heard) as variant, unnest(x.correct) as xc, unnest(y.correct) as yc from pp join ws x on x.reference = lr and x.text = lt join ws y on y.reference = rr and y.text = rt where len(x.a) = len(y.a)),
+ch as (select r, "modelId", "decoding", "sampleId", repetition, place::int as place, reference_word, baseline, variant, yc as fixed, coalesce(len(list_filter(string_split(reference_word, ''''), lambda q: list_contains(keys, q))) > 0, false) as in_key_term from zz left join ks on id = "sampleId" where xc <> yc)"""
+_STUDIED = f"with recursive {aggregates._PAIRS.removeprefix('with ')}, {_RUN_WORDS}, {_RUN_ALIGNED}, {_CHANGES} "
+
+
+@query(_STUDIED + """, e as (select "modelId", "decoding", count(*) as pairs, cast(sum(more) as bigint) as insertions_delta from pp group by all)
+select "modelId", "decoding", pairs, coalesce(insertions_delta, 0) as insertions_delta, count(case when fixed then 1 end) as fixes, count(case when not fixed then 1 end) as regressions, count(case when not fixed and not in_key_term then 1 end) as regressions_outside from e left join ch using ("modelId", "decoding") group by all""")
 def agg18_arr02_word_deltas(spark, sf_dir):
     return K.word_deltas(A.pairs_of_runs(*two_runs(spark, sf_dir), _PAIR_KEY, _PAIR_ORDER), table(spark, sf_dir, "samples"))
 
 
-@query()
+@query(_STUDIED + """select * exclude (r) from (select *, row_number() over (partition by "modelId", "decoding", fixed order by "sampleId", repetition, place)::int as nth from ch) where nth <= 25""")
 def win02_changed_words(spark, sf_dir):
     return K.first_examples(K.word_changes(A.pairs_of_runs(*two_runs(spark, sf_dir), _PAIR_KEY, _PAIR_ORDER), table(spark, sf_dir, "samples")))
 
 
-@query()
+@query(rf"""with r as (select *, regexp_extract("runId", '^[0-9]+-[0-9]+-(\w+)-', 1) as mode from runs where error is null and repetition = 1), {W.loops("select text as t from r union select reference from r")}, {W.endings("select reference, text from r")},
+j as (select r.*, a.size > 0 and a.repeats > b.repeats as loop, lost, len(regexp_extract_all(lower(r.text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+'))::double / greatest(1, "referenceWords") as ratio from r left join lp a on a.t = r.text left join lp b on b.t = r.reference left join en on en.reference = r.reference and en.text = r.text)
+select "modelId", "decoding", mode, count(*) as samples, round(sum(substitutions + deletions + insertions)::double / nullif(sum("referenceWords"), 0)::double, 9) as wer_micro, count(case when wer >= 1 then 1 end) as runaway, count(case when loop then 1 end) as loops, count(case when lost then 1 end) as endings_missing,
+  round(min(ratio), 9) as length_ratio_min, round(max(ratio), 9) as length_ratio_max, cast(sum("inferenceMs") as bigint) as inference_ms, cast(sum(coalesce("chunkingMs", 0)) as bigint) as chunking_ms from j group by all""")
 def agg22_chunking_study(spark, sf_dir):
     runs = runs_of(spark, sf_dir).filter(A.first_repetition()).withColumn("mode", F.regexp_extract("runId", "^[0-9]+-[0-9]+-(\\w+)-", 1))
-    return K.chunking_study(runs)
+    return rounded(K.chunking_study(runs), 9)
 
 
 @query()
@@ -257,9 +261,13 @@ def agg15_bootstrap_by_language(spark, sf_dir):
     return K.bootstrap_by_language(runs_of(spark, sf_dir))
 
 
-@query()
+@query(f"""with recursive {_RUN_WORDS}, {_RUN_ALIGNED}, {_RUN_CHARS}, ra as (select row_number() over () as r, * from runs), {W.flags('select r, reference, text, "sampleId" from ra where error is null')},
+c as (select reference, text, a, b, {W.COUNTS} from rw join al using (a, b)), g as (select r, count(*) as n, count(case when severity = 'critical' then 1 end) as critical from fl group by r)
+select "runId", "modelId", "decoding", "sampleId", repetition, case when error is null then round((c.substitutions + c.deletions + c.insertions)::double / nullif(len(c.a), 0), 9) end as wer, case when error is null then round(nb.distance::double / nullif(length(nb.a), 0), 9) end as cer,
+  case when error is null then coalesce(g.critical, 0) > 0 else len(list_filter(ra.critical, lambda f: f.severity = 'critical')) > 0 end as "hasCritical", (case when error is null then coalesce(g.n, 0) else len(ra.critical) end)::int as flags
+from ra left join c on c.reference = ra.reference and c.text = ra.text left join nb on nb.a = array_to_string(c.a, ' ') and nb.b = array_to_string(c.b, ' ') left join g using (r)""")
 def rescored_runs(spark, sf_dir):
-    return K.rescored(runs_of(spark, sf_dir), table(spark, sf_dir, "samples")).select(*A.RUN_KEY, "wer", "cer", "hasCritical", F.size("critical").alias("flags"))
+    return rounded(K.rescored(aggregates.runs_of(spark, sf_dir), table(spark, sf_dir, "samples")).select(*A.RUN_KEY, "wer", "cer", "hasCritical", F.size("critical").alias("flags")), 9)
 
 
 @query()
@@ -341,16 +349,16 @@ def txt53_digits_one_by_one(spark, sf_dir):
     return table(spark, sf_dir, "transcribe_results").select("result_id", N.digits_one_by_one(F.col("result_id").cast("string"), _DIGITS).alias("said"))
 
 
-@query()
+@query(f"""with {_T}, {W.loops("select text as t from t")} select distinct result_id, repeats, size from t join lp on lp.t = text where size > 0""")
 def txt61_loops(spark, sf_dir):
-    t = _transcripts(spark, sf_dir).select("result_id", T.max_repeat("text").alias("r"))
+    t = T.once(_transcripts(spark, sf_dir).distinct(), ["text"], r=T.max_repeat("text"))
     return t.filter("r.size > 0").select("result_id", "r.repeats", "r.size").distinct()
 
 
-@query()
+@query(f"""with {W.endings("select reference, text from runs where error is null")} select distinct "runId", "modelId", "decoding", "sampleId", repetition from runs join en using (reference, text) where error is null and lost""")
 def txt62_endings(spark, sf_dir):
-    r = runs_of(spark, sf_dir).filter(A.succeeded())
-    return r.filter(T.ending_missing("text", "reference")).select(*A.RUN_KEY).distinct()
+    r = aggregates.runs_of(spark, sf_dir).filter(A.succeeded()).select(*A.RUN_KEY, "reference", "text").distinct()
+    return T.once(r, ["text", "reference"], lost=T.ending_missing("text", "reference")).filter("lost").select(*A.RUN_KEY)
 
 
 @query(r"""with t as (select distinct notes || ' ' || category || '/' || id as raw from samples)
