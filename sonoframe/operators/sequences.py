@@ -79,3 +79,10 @@ def multiset_difference(left: DataFrame, right: DataFrame, key: list[str], item:
     both = counted(left, "l").join(counted(right, "r"), [*key, item], "full_outer").na.fill(0, ["l", "r"])
     more = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
     return both.filter("l != r").select(*key, item, more("l", "r").alias("only_left"), more("r", "l").alias("only_right"))
+
+
+def looked_up(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """df with the columns of its key's row in ``known``; a key that isn't known, also null, stops the job and is named."""
+    met = df.join(known.withColumn("__known", F.lit(True)), key, "left")
+    checked = F.when(F.col("__known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return met.withColumn(key, checked).drop("__known")

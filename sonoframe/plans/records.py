@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
 from sonoframe.operators import sequences as S
 from sonoframe.operators import validation as V
+from sonoframe.operators import voices as O
 from sonoframe.plans import provider
 from sonoframe.plans import twins as W
 from sonoframe.plans.aggregates import rounded, runs_of, two_runs
@@ -105,14 +104,6 @@ def prj03_biasing_label(spark, sf_dir):
     return runs_of(spark, sf_dir).groupBy("decoding", label.alias("biasing_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""with v as (select distinct model_id || ':' || threads as voice from transcribe_results)
-select voice, regexp_extract(voice, '^(.*):([0-9]+)$', 1) as model, cast(regexp_extract(voice, '^(.*):([0-9]+)$', 2) as bigint) as speaker from v where regexp_matches(voice, '^.*:[0-9]+$')""")
-def prj04_voice_ids(spark, sf_dir):
-    voices = table(spark, sf_dir, "transcribe_results").select(F.concat_ws(":", "model_id", "threads").alias("voice")).distinct()
-    part = lambda i: F.regexp_extract("voice", "^(.*):([0-9]+)$", i)
-    return voices.filter(F.col("voice").rlike("^.*:[0-9]+$")).select("voice", part(1).alias("model"), part(2).cast("long").alias("speaker"))
-
-
 @query("""select "runId", strftime(make_timestamp("timestampMs" * 1000), '%Y%m%d-%H%M%S') as stamp, count(*) as n from runs group by all""")
 def dat01_utc_stamps(spark, sf_dir):
     stamp = F.date_format(F.timestamp_millis("timestampMs"), "yyyyMMdd-HHmmss")
@@ -168,8 +159,10 @@ def joi08_as_of(spark, sf_dir):
 
 @query("select r.result_id, r.model_id, m.family, m.license from transcribe_results r join models m on m.id = r.model_id")
 def joi09_point_lookup(spark, sf_dir):
+    """Each result with its model; a model that isn't known is an error."""
     models = table(spark, sf_dir, "models").select(F.col("id").alias("model_id"), "family", "license")
-    return table(spark, sf_dir, "transcribe_results").join(models, "model_id").select("result_id", "model_id", "family", "license")
+    results = table(spark, sf_dir, "transcribe_results").select("result_id", "model_id")
+    return S.looked_up(results, models, "model_id").select("result_id", "model_id", "family", "license")
 
 
 _WORDS = "select comparison_id, unnest(string_split({c}, ' ')) as word from (select distinct comparison_id, normalized_reference, normalized_hypothesis from text_comparisons)"
@@ -428,24 +421,41 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "embeddings").select("vec_id", F.transform(repeated, loudness).alias("samples")))
 
 
-@query()
+#: The signals that _signals makes, as single-precision numbers.
+_SIGNALS = "r as (select vec_id, flatten(list_transform(range(100), lambda k: embedding)) as e from embeddings), s as (select vec_id, list_transform(range(1, len(e) + 1), lambda i: (e[i]::double * case when ((i - 1) // 1600) % 2 = 0 then 1.0::double else 0.001::double end)::float) as s from r)"
+_LEVELS = "fr as (select vec_id, len(s) as n, list_transform(range(0, (len(s) - 320) // 160 + 1), lambda f: sqrt(list_sum(list_transform(s[f * 160 + 1:f * 160 + 320], lambda x: x::double * x::double)) / 320)) as e from s)"
+
+
+@query(f"""with {_SIGNALS}, {_LEVELS}, th as (select vec_id, n, e, list_sort(e) as q from fr), sp as (select vec_id, n, list_filter(range(1, len(e) + 1), lambda i: e[i] >= greatest(least(q[len(q) // 10 + 1] * 3, q[len(q) * 9 // 10 + 1] * 0.3::double), q[len(q) * 9 // 10 + 1] * 0.05::double, 0.003::double)) as f from th),
+u as (select vec_id, unnest(f) as i from sp), g as (select *, case when i - lag(i) over w <= 30 then 0 else 1 end as fresh from u window w as (partition by vec_id order by i)), j as (select *, sum(fresh) over (partition by vec_id order by i) as island from g),
+c as (select vec_id, count(*) as k from (select vec_id, island from j group by all having max(i) - min(i) + 1 >= 25) group by vec_id)
+select vec_id, coalesce(k, 0)::int as spans, 0::int as place, 0::bigint as start, n as "end" from fr left join c using (vec_id) where n > 0""")
 def num06_07_speech_segments(spark, sf_dir):
     spans = _signals(spark, sf_dir).select("vec_id", "samples", U.energy_spans("samples").alias("spans"))
     return spans.select("vec_id", F.size("spans").alias("spans"), F.posexplode(U.plan_segments("samples", "spans")).alias("place", "s")).select("vec_id", "spans", "place", "s.start", "s.end")
 
 
-@query()
+@query(f"""with {_SIGNALS}, q as (select vec_id, len(s) as n, list_max(list_transform(s, lambda x: abs(x::double))) as peak, sqrt(list_sum(list_transform(s, lambda x: x::double * x::double)) / len(s)) as rms,
+  list_transform(range(0, (len(s) + 319) // 320), lambda f: sqrt(list_avg(list_transform(s[f * 320 + 1:f * 320 + 320], lambda x: x::double * x::double))) >= 0.01::double) as loud, len(list_filter(s, lambda x: abs(x::double) >= 0.9::double)) as hot from s)
+select vec_id, n * 1000 // 16000 as "durationMs", round(peak, 6) as peak, round(rms, 6) as rms, coalesce(nullif(list_position(loud, true), 0) - 1, len(loud))::bigint * 20 as "leadingSilenceMs",
+  array_to_string(list_filter([case when peak < 0.1::double then 'very quiet: peak ' || printf('%.0f', peak * 100) || ' %' end, 'unusual reading speed: ' || printf('%.1f', 3 / (n / 16000.0::double)) || ' words/s (wrong sentence read?)'], lambda x: x is not null), '; ') as warnings from q""")
 def num01_02_quality(spark, sf_dir):
-    q = U.quality("samples", F.lit(16_000), F.lit("un deux trois"))
-    return _signals(spark, sf_dir).select("vec_id", q.alias("q")).select("vec_id", "q.durationMs", "q.peak", "q.rms", "q.leadingSilenceMs", F.array_join("q.warnings", "; ").alias("warnings"))
+    q = U.quality("samples", F.lit(16_000), F.lit("le chat dort"))
+    return rounded(_signals(spark, sf_dir).select("vec_id", q.alias("q")).select("vec_id", "q.durationMs", "q.peak", "q.rms", "q.leadingSilenceMs", F.array_join("q.warnings", "; ").alias("warnings")))
 
 
-@query()
+@query(f"""with {_SIGNALS}, o as (select vec_id, list_transform(range(0, 2 * len(s)), lambda i: (s[least(i // 2 + 1, len(s))]::double + (s[least((i + 1) // 2 + 1, len(s))]::double - s[least(i // 2 + 1, len(s))]::double) * 0.5::double * (i % 2))::float) as o from s)
+select vec_id, len(o)::int as samples, round(list_sum(list_transform(o, lambda x: x::double)), 3) as total, round(o[len(o) // 2]::double, 6) + 0.0::double as middle, round(o[-1]::double, 6) + 0.0::double as last from o""")
 def num04_resampled(spark, sf_dir):
-    return _signals(spark, sf_dir).select("vec_id", F.size(U.resample("samples", F.lit(8_000))).alias("samples"))
+    """Signals of 8 kHz at 16 kHz: how many samples, their sum, and two of them."""
+    out = _signals(spark, sf_dir).select("vec_id", U.resample("samples", F.lit(8_000)).alias("o"))
+    total = F.aggregate("o", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    at = lambda i: F.round(F.element_at("o", i).cast("double"), 6) + 0.0
+    return out.select("vec_id", F.size("o").alias("samples"), F.round(total, 3).alias("total"), at((F.size("o") / 2).cast("int")).alias("middle"), at(F.lit(-1)).alias("last"))
 
 
-@query()
+@query("""select distinct id as sample_id, 'mock' as provider_id, case when language in ('fr', 'en') and trim(coalesce("audioFile", '')) <> '' then '[MOCK] no real transcription was performed' end as text, true as is_mock,
+  case when language is null or language not in ('fr', 'en') then 'language not supported: ' || language when trim(coalesce("audioFile", '')) = '' then 'audio path is empty' end as error from samples""")
 def udf01_04_mock_results(spark, sf_dir):
     asked = table(spark, sf_dir, "samples").dropDuplicates(["id"]).select(F.col("id").alias("sample_id"), F.col("audioFile").alias("audio_path"), F.lit("mock").alias("model_id"), "language", F.col("durationMs").alias("audio_ms"))
     return provider.transcribe(asked, provider.Mock).select("sample_id", "provider_id", "text", "is_mock", "error")
@@ -460,10 +470,15 @@ def val05_consistent_references(spark, sf_dir):
 
 @query()
 def srt07_shuffled_codes(spark, sf_dir):
-    """Models in a seeded order of Python's generator, with anonymous codes."""
-    names = sorted(r["id"] for r in table(spark, sf_dir, "models").select("id").limit(1_000).collect())
-    random.Random(7).shuffle(names)
-    return spark.createDataFrame([(n, chr(65 + i % 26) + str(i // 26 or "")) for i, n in enumerate(names)], "id string, code string")
+    """Voices of each language in a seeded order of Python's generator, with anonymous codes."""
+    voices = table(spark, sf_dir, "transcribe_results").select("language", "model_id").distinct()
+    return O.shuffled_codes(voices, "language", "model_id", 7)
+
+
+@query("select id, reference from (select distinct id, reference from samples) order by id limit 40")
+def srt08_first_samples(spark, sf_dir):
+    """The first forty samples by id: the limit is the feature."""
+    return table(spark, sf_dir, "samples").select("id", "reference").distinct().orderBy("id").limit(40)
 
 
 @query("""with p as (select comparison_id, row_number() over (partition by sample_id order by comparison_id) as nth, normalized_reference as t from (select distinct comparison_id, sample_id, normalized_reference from text_comparisons where normalized_reference is not null)),

@@ -13,8 +13,6 @@ from sonoframe.plans import aggregates
 from sonoframe.plans import twins as W
 from sonoframe.plans.aggregates import _PAIR_KEY, _PAIR_ORDER, rounded, two_runs
 from sonoframe.session import BROADCAST_LIMIT_BYTES, spread, table
-from sonoframe.text.critical import DATE_WORDS, NEGATIONS
-from sonoframe.text.numbers import UNIT_OF
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,8 +45,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _T = "t as (select result_id, text from transcribe_results where text is not null)"
 _W = "w as (select comparison_id, normalized_reference, normalized_hypothesis, string_split(normalized_reference, ' ') as tokens from (select distinct comparison_id, normalized_reference, normalized_hypothesis from text_comparisons))"
 _E = "e as (select comparison_id, unnest(tokens) as token from w)"
-_LIST = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + ")"
-_UNIT_CASE = "case token " + " ".join(f"when '{s}' then '{u}'" for s, u in UNIT_OF.items()) + " end"
+_UNIT_CASE = f"({W.UNIT})[token]"
 
 
 @query(f"""with recursive {W.words("select text as t from transcribe_results")} select result_id, array_to_string(w, ' ') as words, len(w)::int as n from transcribe_results join nw on t = text""")
@@ -64,16 +61,20 @@ def txt01_native_words(spark, sf_dir):
     return _transcripts(spark, sf_dir).select("result_id", F.array_join(words, " ").alias("words"), F.size(words).alias("n"))
 
 
-@query(rf"""with {_W} select comparison_id, trim(regexp_replace(regexp_replace(' ' || replace(normalized_reference, '%', 'pour cent') || ' ', ' (pour|per) cent( )', ' %\2', 'g'), ' (pourcent|percent)( )', ' %\2', 'g'), ' ') as unified from w where normalized_reference not like '%pour cent pour cent%'""")
+@query(rf"""with {_W}, p as (select comparison_id, '  ' || array_to_string(list_filter(string_split(replace(normalized_reference, '%', 'pour cent'), ' '), lambda y: y <> ''), '  ') || '  ' as x from w)
+select comparison_id, trim(regexp_replace(regexp_replace(regexp_replace(x, ' (pour|per)  cent ', ' % ', 'g'), ' (pourcent|percent) ', ' % ', 'g'), ' +', ' ', 'g')) as unified from p""")
 def txt03_percent_words(spark, sf_dir):
-    spelled = F.replace("normalized_reference", F.lit("%"), F.lit("pour cent"))
-    return _words(spark, sf_dir).filter(~F.col("normalized_reference").contains("pour cent pour cent")).select("comparison_id", N.unify_percent(spelled).alias("unified"))
+    """References with every percent sign spelled out, brought back to signs."""
+    spelled = F.regexp_replace(F.replace("normalized_reference", F.lit("%"), F.lit("pour cent")), " +", " ")
+    return _words(spark, sf_dir).select("comparison_id", N.unify_percent(F.trim(spelled)).alias("unified"))
 
 
-@query(r"""with t as (select result_id, 'dose ' || threads || ' virgule ' || (result_id % 10) || ' mg' as said from transcribe_results) select result_id, regexp_replace(said, '([0-9]+) (?:virgule|point) ([0-9]+)', '\1.\2', 'g') as written from t""")
+@query(rf"""with {_T}, p as (select result_id, '  ' || array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '([0-9])[.,]([0-9])', '\1 virgule \2', 'g'), '[\s.,;:?!()«»"]+', ' ', 'g'), ' '), lambda y: y <> ''), '  ') || '  ' as x from t)
+select result_id, trim(regexp_replace(regexp_replace(x, ' ([0-9]+)  (?:virgule|point)  ([0-9]+) ', ' \1.\2 ', 'g'), ' +', ' ', 'g')) as written from p""")
 def txt05_spoken_decimals(spark, sf_dir):
-    said = F.concat_ws(" ", F.lit("dose"), "threads", F.lit("virgule"), F.col("result_id") % 10, F.lit("mg"))
-    return table(spark, sf_dir, "transcribe_results").select("result_id", N.spoken_decimals(said).alias("written"))
+    """Transcripts with every decimal spoken, brought back to digits."""
+    spoken = F.regexp_replace(F.regexp_replace(F.lower("text"), "([0-9])[.,]([0-9])", "$1 virgule $2"), r"""[\s.,;:?!()«»"]+""", " ")
+    return _transcripts(spark, sf_dir).select("result_id", N.spoken_decimals(F.trim(spoken)).alias("written"))
 
 
 @query(rf"""with {_T}, n as (select distinct unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) as token from t),
@@ -164,7 +165,7 @@ def txt20_critical_flags(spark, sf_dir):
 
 
 @query(rf"""with {_W}, {_E} select comparison_id, cast(count(case when regexp_matches(token, '^[0-9]+([.,][0-9]+)*$') then 1 end) as bigint) as numbers, cast(count(case when {_UNIT_CASE} is not null then 1 end) as bigint) as units,
-  cast(count(case when token in {_LIST(DATE_WORDS)} then 1 end) as bigint) as dates from e group by all""")
+  cast(count(case when token in {W.DATE_WORDS} then 1 end) as bigint) as dates from e group by all""")
 def txt21_numbers_units_dates(spark, sf_dir):
     count = lambda test: F.sum(F.size(F.filter("tokens", test)).cast("long"))
     return _words(spark, sf_dir).filter("tokens is not null").groupBy("comparison_id").agg(
@@ -172,7 +173,7 @@ def txt21_numbers_units_dates(spark, sf_dir):
     )
 
 
-@query(rf"""with {_W}, {_E}, c as (select comparison_id, count(case when token in {_LIST(NEGATIONS)} or token like '%n''t' then 1 end) as strong, count(case when token = 'ne' or token like 'n''%' then 1 end) as weak from e group by all)
+@query(rf"""with {_W}, {_E}, c as (select comparison_id, count(case when token in {W.NEGATIONS} or token like '%n''t' then 1 end) as strong, count(case when token = 'ne' or token like 'n''%' then 1 end) as weak from e group by all)
 select comparison_id, cast(case when strong > 0 then strong when weak > 0 then 1 else 0 end as bigint) as negations from c""")
 def txt23_negations(spark, sf_dir):
     return _words(spark, sf_dir).filter("tokens is not null").select("comparison_id", N.negation_count(F.col("tokens")).cast("long").alias("negations"))
@@ -270,6 +271,15 @@ def rescored_runs(spark, sf_dir):
     return rounded(K.rescored(aggregates.runs_of(spark, sf_dir), table(spark, sf_dir, "samples")).select(*A.RUN_KEY, "wer", "cer", "hasCritical", F.size("critical").alias("flags")), 9)
 
 
+@query("""select doc_id, cast(len(regexp_extract_all(text, '[\\p{L}\\p{Nd}]')) as bigint) as letters from documents where text is not null and regexp_matches(text, '[\\p{L}\\p{Nd}]')""")
+def txt30_31_letters_of_sentences(spark, sf_dir):
+    """Sentences hold every letter and digit of a text: how many they hold together."""
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
+    said = docs.select("doc_id", F.explode(T.split_sentences("text")).alias("s"))
+    letters = F.length(F.regexp_replace("s.text", r"[^\p{L}\p{Nd}]", "")).cast("long")
+    return said.groupBy("doc_id").agg(F.sum(letters).alias("letters")).filter("letters > 0")
+
+
 @query()
 def txt30_31_sentences(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").filter("text is not null"))
@@ -335,7 +345,7 @@ def txt42_folded_accents(spark, sf_dir):
 
 
 @query(rf"""with {_T}, w as (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) as token from t), c as (select token, count(*) as n from w group by all)
-select token, n, regexp_matches(token, '[0-9]') or lower(token) in {_LIST(NEGATIONS | DATE_WORDS | set(UNIT_OF))} as protected from c""")
+select token, n, regexp_matches(token, '[0-9]') or lower(token) in {W.NEGATIONS} or lower(token) in {W.DATE_WORDS} or ({W.UNIT})[lower(token)] is not null as protected from c""")
 def txt43_44_protected_words(spark, sf_dir):
     words = _transcripts(spark, sf_dir).select(F.explode(N.word_list(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return words.select("token", "n", F.coalesce(N.is_protected(F.col("token")), F.lit(False)).alias("protected"))

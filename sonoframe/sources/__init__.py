@@ -40,9 +40,20 @@ def samples(spark: SparkSession, root: str) -> DataFrame:
     return both[0].unionByName(both[1]).withColumns({"keyTerms": F.coalesce(terms, F.expr("cast(array() as array<struct<text: string, kind: string>>)"))} | empty)
 
 
-def scripts(spark: SparkSession, root: str) -> DataFrame:
+def scripts(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """Script items; each file holds an array of them."""
-    return json_files(spark, os.path.join(root, "scripts", "*.json"), schemas.SCRIPT)
+    return json_files(spark, os.path.join(root, "scripts", pattern), schemas.SCRIPT)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
