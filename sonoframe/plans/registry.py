@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.plans import aggregates, files, records, replica, texts
+from sonoframe.plans import aggregates, files, goldens, records, replica, texts
 
-_PARTS = [aggregates, records, texts, files, replica]
+_PARTS = [aggregates, records, texts, files, goldens, replica]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,127 +20,127 @@ MONTHS = {
     "en": "January February March April May June July August September October November December".split(),
 }
 EN_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
-#: Nouns that make a French one feminine.
+#: Nouns that make a French one feminine.
 FEMININE = frozenset(
     "fois heure heures minute minutes seconde secondes semaine semaines année années journée journées gélule gélules ampoule ampoules dose doses personne personnes "
     "facture factures page pages ligne lignes pièce pièces ordonnance ordonnances consultation consultations goutte gouttes injection injections cuillère cuillères "
     "prise prises boîte boîtes unité unités carte cartes tablette tablettes chambre chambres fois-ci nuit nuits dent dents pilule pilules capsule capsules".split()
 )
-#: Symbols; French name, plural; English name, plural.
-UNITS = """
-mg; milligramme, milligrammes; milligram, milligrams
-g; gramme, grammes; gram, grams
-kg; kilogramme, kilogrammes; kilogram, kilograms
-µg μg mcg; microgramme, microgrammes; microgram, micrograms
-ml mL; millilitre, millilitres; milliliter, milliliters
-l L; litre, litres; liter, liters
-cl; centilitre, centilitres; centiliter, centiliters
-dl; décilitre, décilitres; deciliter, deciliters
-mm; millimètre, millimètres; millimeter, millimeters
-cm; centimètre, centimètres; centimeter, centimeters
-m; mètre, mètres; meter, meters
-km; kilomètre, kilomètres; kilometer, kilometers
-ms; milliseconde, millisecondes; millisecond, milliseconds
-s; seconde, secondes; second, seconds
-min; minute, minutes; minute, minutes
-h; heure, heures; hour, hours
-j; jour, jours; day, days
-UI IU; unité internationale, unités internationales; international unit, international units
-mmHg; millimètre de mercure, millimètres de mercure; millimeter of mercury, millimeters of mercury
-bpm; battement par minute, battements par minute; beat per minute, beats per minute
-kcal; kilocalorie, kilocalories; kilocalorie, kilocalories
-mmol; millimole, millimoles; millimole, millimoles
-mol; mole, moles; mole, moles
-Hz; hertz, hertz; hertz, hertz
-kHz; kilohertz, kilohertz; kilohertz, kilohertz
-MHz; mégahertz, mégahertz; megahertz, megahertz
-GHz; gigahertz, gigahertz; gigahertz, gigahertz
-Ko KB kB; kilooctet, kilooctets; kilobyte, kilobytes
-Mo MB; mégaoctet, mégaoctets; megabyte, megabytes
-Go GB; gigaoctet, gigaoctets; gigabyte, gigabytes
-To TB; téraoctet, téraoctets; terabyte, terabytes
-cp; comprimé, comprimés; tablet, tablets
-lb lbs; livre, livres; pound, pounds
-oz; once, onces; ounce, ounces
-"""
-#: What may follow a stroke; French, English.
+#: Symbols; French name and plural; English name and plural.
+UNITS = [
+    (("mg",), ("milligramme", "milligrammes"), ("milligram", "milligrams")),
+    (("g",), ("gramme", "grammes"), ("gram", "grams")),
+    (("kg",), ("kilogramme", "kilogrammes"), ("kilogram", "kilograms")),
+    (("µg", "μg", "mcg"), ("microgramme", "microgrammes"), ("microgram", "micrograms")),
+    (("ml", "mL"), ("millilitre", "millilitres"), ("milliliter", "milliliters")),
+    (("l", "L"), ("litre", "litres"), ("liter", "liters")),
+    (("cl",), ("centilitre", "centilitres"), ("centiliter", "centiliters")),
+    (("dl",), ("décilitre", "décilitres"), ("deciliter", "deciliters")),
+    (("mm",), ("millimètre", "millimètres"), ("millimeter", "millimeters")),
+    (("cm",), ("centimètre", "centimètres"), ("centimeter", "centimeters")),
+    (("m",), ("mètre", "mètres"), ("meter", "meters")),
+    (("km",), ("kilomètre", "kilomètres"), ("kilometer", "kilometers")),
+    (("ms",), ("milliseconde", "millisecondes"), ("millisecond", "milliseconds")),
+    (("s",), ("seconde", "secondes"), ("second", "seconds")),
+    (("min",), ("minute", "minutes"), ("minute", "minutes")),
+    (("h",), ("heure", "heures"), ("hour", "hours")),
+    (("j",), ("jour", "jours"), ("day", "days")),
+    (("UI", "IU"), ("unité internationale", "unités internationales"), ("international unit", "international units")),
+    (("mmHg",), ("millimètre de mercure", "millimètres de mercure"), ("millimeter of mercury", "millimeters of mercury")),
+    (("bpm",), ("battement par minute", "battements par minute"), ("beat per minute", "beats per minute")),
+    (("kcal",), ("kilocalorie", "kilocalories"), ("kilocalorie", "kilocalories")),
+    (("mmol",), ("millimole", "millimoles"), ("millimole", "millimoles")),
+    (("mol",), ("mole", "moles"), ("mole", "moles")),
+    (("Hz",), ("hertz", "hertz"), ("hertz", "hertz")),
+    (("kHz",), ("kilohertz", "kilohertz"), ("kilohertz", "kilohertz")),
+    (("MHz",), ("mégahertz", "mégahertz"), ("megahertz", "megahertz")),
+    (("GHz",), ("gigahertz", "gigahertz"), ("gigahertz", "gigahertz")),
+    (("Ko", "KB", "kB"), ("kilooctet", "kilooctets"), ("kilobyte", "kilobytes")),
+    (("Mo", "MB"), ("mégaoctet", "mégaoctets"), ("megabyte", "megabytes")),
+    (("Go", "GB"), ("gigaoctet", "gigaoctets"), ("gigabyte", "gigabytes")),
+    (("To", "TB"), ("téraoctet", "téraoctets"), ("terabyte", "terabytes")),
+    (("cp",), ("comprimé", "comprimés"), ("tablet", "tablets")),
+    (("lb", "lbs"), ("livre", "livres"), ("pound", "pounds")),
+    (("oz",), ("once", "onces"), ("ounce", "ounces")),
+]
+#: What may follow a stroke; French, English.
 PER = {"jour": ("jour", "day"), "semaine": ("semaine", "week"), "mois": ("mois", "month"), "heure": ("heure", "hour")}
 PER |= {"day": PER["jour"], "week": PER["semaine"], "month": PER["mois"], "hour": PER["heure"]}
-#: Symbols; French name, plural, cent, cents; English name, plural, cent, cents.
-CURRENCIES = """
-€ EUR; euro, euros, centime, centimes; euro, euros, cent, cents
-$ USD; dollar, dollars, cent, cents; dollar, dollars, cent, cents
-£ GBP; livre sterling, livres sterling, penny, pennys; pound, pounds, penny, pence
-CHF; franc, francs, centime, centimes; Swiss franc, Swiss francs, centime, centimes
-"""
+#: Symbols; French name, plural, cent, cents; English name, plural, cent, cents.
+CURRENCIES = [
+    (("€", "EUR"), ("euro", "euros", "centime", "centimes"), ("euro", "euros", "cent", "cents")),
+    (("$", "USD"), ("dollar", "dollars", "cent", "cents"), ("dollar", "dollars", "cent", "cents")),
+    (("£", "GBP"), ("livre sterling", "livres sterling", "penny", "pennys"), ("pound", "pounds", "penny", "pence")),
+    (("CHF",), ("franc", "francs", "centime", "centimes"), ("Swiss franc", "Swiss francs", "centime", "centimes")),
+]
 CURRENCY_WORDS = frozenset("euro euros franc francs dollar dollars livre livres".split())
-#: Written form; French; English; what has to follow (a name, a digit).
-ABBREVIATIONS = """
-av. J.-C.; avant Jésus-Christ; ;
-c.-à-d.; c'est-à-dire; ;
-e.g.; ; for example;
-i.e.; ; that is;
-M.; monsieur; ;
-MM.; messieurs; ;
-Mme; madame; ;
-Mmes; mesdames; ;
-Mlle; mademoiselle; ;
-Mlles; mesdemoiselles; ;
-Dr.; docteur; doctor;
-Dr; docteur; doctor; name
-Pr.; professeur; professor;
-Pr; professeur; ; name
-Prof.; professeur; professor;
-Prof; professeur; professor; name
-St.; saint; saint;
-St; saint; saint; name
-Ste.; sainte; ;
-Ste; sainte; ; name
-Mr.; ; mister;
-Mr; ; mister; name
-Mrs.; ; missus;
-Mrs; ; missus; name
-Ms.; ; miss;
-Ms; ; miss; name
-Jr.; ; junior;
-Sr.; ; senior;
-etc.; et cetera; et cetera;
-env.; environ; ;
-approx.; environ; approximately;
-vs.; versus; versus;
-vs; versus; versus;
-cf.; voir; see;
-p.; page; page; digit
-pp.; pages; pages; digit
-tél.; téléphone; ;
-tel.; téléphone; telephone;
-av.; avenue; avenue; name
-bd; boulevard; ; name
-rdv; rendez-vous; appointment;
-n°; numéro; number;
-nº; numéro; number;
-no.; ; number; digit
-a.m.; ; a m;
-p.m.; ; p m;
-janv.; janvier; ;
-févr.; février; ;
-avr.; avril; ;
-juil.; juillet; ;
-sept.; septembre; September;
-oct.; octobre; October;
-nov.; novembre; November;
-déc.; décembre; ;
-Jan.; ; January;
-Feb.; ; February;
-Mar.; ; March;
-Apr.; ; April;
-Jun.; ; June;
-Jul.; ; July;
-Aug.; ; August;
-Sep.; ; September;
-Dec.; ; December;
-"""
-#: Words after which day/month is a date, and those after which hour.minutes is a time.
+#: Written form; French; English; what has to follow (a name, a digit).
+ABBREVIATIONS = [
+    ("av. J.-C.", "avant Jésus-Christ", None, None),
+    ("c.-à-d.", "c'est-à-dire", None, None),
+    ("e.g.", None, "for example", None),
+    ("i.e.", None, "that is", None),
+    ("M.", "monsieur", None, None),
+    ("MM.", "messieurs", None, None),
+    ("Mme", "madame", None, None),
+    ("Mmes", "mesdames", None, None),
+    ("Mlle", "mademoiselle", None, None),
+    ("Mlles", "mesdemoiselles", None, None),
+    ("Dr.", "docteur", "doctor", None),
+    ("Dr", "docteur", "doctor", "name"),
+    ("Pr.", "professeur", "professor", None),
+    ("Pr", "professeur", None, "name"),
+    ("Prof.", "professeur", "professor", None),
+    ("Prof", "professeur", "professor", "name"),
+    ("St.", "saint", "saint", None),
+    ("St", "saint", "saint", "name"),
+    ("Ste.", "sainte", None, None),
+    ("Ste", "sainte", None, "name"),
+    ("Mr.", None, "mister", None),
+    ("Mr", None, "mister", "name"),
+    ("Mrs.", None, "missus", None),
+    ("Mrs", None, "missus", "name"),
+    ("Ms.", None, "miss", None),
+    ("Ms", None, "miss", "name"),
+    ("Jr.", None, "junior", None),
+    ("Sr.", None, "senior", None),
+    ("etc.", "et cetera", "et cetera", None),
+    ("env.", "environ", None, None),
+    ("approx.", "environ", "approximately", None),
+    ("vs.", "versus", "versus", None),
+    ("vs", "versus", "versus", None),
+    ("cf.", "voir", "see", None),
+    ("p.", "page", "page", "digit"),
+    ("pp.", "pages", "pages", "digit"),
+    ("tél.", "téléphone", None, None),
+    ("tel.", "téléphone", "telephone", None),
+    ("av.", "avenue", "avenue", "name"),
+    ("bd", "boulevard", None, "name"),
+    ("rdv", "rendez-vous", "appointment", None),
+    ("n°", "numéro", "number", None),
+    ("nº", "numéro", "number", None),
+    ("no.", None, "number", "digit"),
+    ("a.m.", None, "a m", None),
+    ("p.m.", None, "p m", None),
+    ("janv.", "janvier", None, None),
+    ("févr.", "février", None, None),
+    ("avr.", "avril", None, None),
+    ("juil.", "juillet", None, None),
+    ("sept.", "septembre", "September", None),
+    ("oct.", "octobre", "October", None),
+    ("nov.", "novembre", "November", None),
+    ("déc.", "décembre", None, None),
+    ("Jan.", None, "January", None),
+    ("Feb.", None, "February", None),
+    ("Mar.", None, "March", None),
+    ("Apr.", None, "April", None),
+    ("Jun.", None, "June", None),
+    ("Jul.", None, "July", None),
+    ("Aug.", None, "August", None),
+    ("Sep.", None, "September", None),
+    ("Dec.", None, "December", None),
+]
+#: Words after which day/month is a date, and those after which hour.minutes is a time.
 DATE_LEADS = frozenset("le du au dès depuis jusqu'au avant après ce".split())
 TIME_LEADS = {
     "fr": frozenset("à vers dès de entre et jusqu'à jusqu’à avant après depuis".split()),
@@ -150,7 +150,7 @@ FRACTIONS = {
     "fr": {"1/2": "un demi", "1/3": "un tiers", "2/3": "deux tiers", "1/4": "un quart", "3/4": "trois quarts"},
     "en": {"1/2": "one half", "1/3": "one third", "2/3": "two thirds", "1/4": "one quarter", "3/4": "three quarters"},
 }
-#: French endings of ordinals: the numbers they fit, feminine, plural.
+#: French endings of ordinals: the numbers they fit, feminine, plural.
 FR_ENDINGS = {
     "er": (1, None, False, False), "re": (1, 1, True, False), "ère": (1, 1, True, False), "e": (2, None, False, False), "ème": (2, None, False, False), "eme": (2, None, False, False),
     "nd": (2, 2, False, False), "nde": (2, 2, True, False), "es": (2, None, False, True), "èmes": (2, None, False, True),
@@ -243,18 +243,14 @@ _REST_BLANK = _rx(r"\s*+\Z")
 _PLACE = _rx(r"[0-9]|[-−+](?=[0-9])|[€$£]|&|/|\p{Alphabetic}")
 
 
-def _table(lines: str) -> list[list[str]]:
-    return [[part.strip() for part in line.split(";")] for line in lines.strip().splitlines()]
-
-
-_UNIT_NAMES = {symbol: {"fr": fr.split(", "), "en": en.split(", ")} for symbols, fr, en in _table(UNITS) for symbol in symbols.split()}
-_MONEY_NAMES = {symbol: {"fr": fr.split(", "), "en": en.split(", ")} for symbols, fr, en in _table(CURRENCIES) for symbol in symbols.split()}
+_UNIT_NAMES = {symbol: {"fr": fr, "en": en} for symbols, fr, en in UNITS for symbol in symbols}
+_MONEY_NAMES = {symbol: {"fr": fr, "en": en} for symbols, fr, en in CURRENCIES for symbol in symbols}
 
 
 def _abbreviations(lang: str) -> tuple[regex.Pattern, dict[str, str]]:
-    follows = {"": "", "name": r"(?= \p{Lu})", "digit": "(?= ?[0-9])"}
+    follows = {None: "", "name": r"(?= \p{Lu})", "digit": "(?= ?[0-9])"}
     names, parts = {}, []
-    for form, fr, en, need in sorted(_table(ABBREVIATIONS), key=lambda row: -len(row[0])):
+    for form, fr, en, need in sorted(ABBREVIATIONS, key=lambda row: -len(row[0])):
         if expansion := fr if lang == "fr" else en:
             for written in {form, form[0].upper() + form[1:]}:
                 names.setdefault(written, expansion)
