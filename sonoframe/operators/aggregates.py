@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoframe.operators import ranks as R
+
 CONFIG = ["modelId", "decoding"]
 RUN_KEY = ["runId", "modelId", "decoding", "sampleId", "repetition"]
 
@@ -33,36 +35,8 @@ def when(condition: Column, value: str | Column) -> Column:
 
 def latest_deliveries(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Of the rows of a key the one that comes last in the given order."""
-    last = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
-    return df.withColumn("__nth", F.row_number().over(last)).filter("__nth = 1").drop("__nth")
-
-
-# Quantile definitions: they differ and are never exchanged.
-
-
-def nearest_rank(value: str, percent: float) -> Column:
-    """The value of an SQL expression at rank ceil(percent / 100 * n), 1 at least."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})")
-
-
-def linear(value: Column, percent: float) -> Column:
-    return F.percentile(value, percent / 100)
-
-
-def _sorted_values(value: Column) -> Column:
-    return F.array_sort(F.collect_list(value))
-
-
-def upper_median(value: Column) -> Column:
-    """The value at index n // 2 of the sorted values."""
-    values = _sorted_values(value)
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
-def nearest_index(value: Column, percent: float) -> Column:
-    """The value at index round-half-even(percent / 100 * (n - 1)) of the sorted values."""
-    values = _sorted_values(value)
-    return F.try_element_at(values, (F.bround((F.size(values) - 1) * (percent / 100)) + 1).cast("int"))
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*(c for c in df.columns if c not in key)), F.struct(*order)).alias("__last"))
+    return last.select(*key, "__last.*").select(*df.columns)
 
 
 def summarize(runs: DataFrame) -> DataFrame:
@@ -89,13 +63,15 @@ def summarize(runs: DataFrame) -> DataFrame:
         F.sum("runaway").alias("runaway_outputs"), F.sum("critical").alias("samples_with_critical"), F.coalesce(F.sum("flags"), F.lit(0)).alias("critical_flags"),
         F.count_if(F.col("low") != F.col("high")).alias("unstable_samples"), F.max("peak").alias("peak_memory_mb_max"),
     ).drop("category")
-    good = "CASE WHEN error IS NULL THEN {} END".format
-    times = runs.groupingSets(sets, *CONFIG, "category").agg(
-        group, nearest_rank(good("CASE WHEN NOT isnan(rtf) THEN rtf END"), 50).alias("rtf_median"), nearest_rank(good("inferenceMs"), 50).cast("long").alias("inference_ms_median"),
-        nearest_rank(good("inferenceMs"), 95).cast("long").alias("inference_ms_p95"), nearest_rank(good("CASE WHEN coldStart THEN loadMs END"), 50).cast("long").alias("load_ms_cold_median"),
-        nearest_rank(good("CASE WHEN NOT isnan(avgCores) THEN avgCores END"), 50).alias("avg_cores_median"),
-    ).drop("category")
+    measures = {"rtf": number("rtf"), "inferenceMs": F.col("inferenceMs"), "load": when(F.col("coldStart"), "loadMs"), "avgCores": number("avgCores")}
+    values = R.measures_in_rows(runs.filter(ok), [*CONFIG, "category"], measures)
+    each = values.groupBy(*CONFIG, F.col("category").alias("group"), "measure", "value").agg(F.count(F.lit(1)).alias("times"))
+    every = each.groupBy(*CONFIG, "measure", "value").agg(F.sum("times").alias("times")).withColumn("group", F.lit("ALL"))
     keys = [*CONFIG, "group"]
+    ranked = R.order_statistics(each.unionByName(every), [*keys, "measure"], "value", {"p50": R.nearest_rank(50), "p95": R.nearest_rank(95)}, count="times")
+    columns = {"rtf_median": ("rtf", "p50"), "inference_ms_median": ("inferenceMs", "p50"), "inference_ms_p95": ("inferenceMs", "p95"), "load_ms_cold_median": ("load", "p50"), "avg_cores_median": ("avgCores", "p50")}
+    times = R.measures_in_columns(ranked, keys, columns)
+    times = times.withColumns({c: F.col(c).cast("long") for c in columns if "_ms_" in c})
     return counts.alias("c").join(times.alias("t"), [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], "left").select("c.*", *(f"t.{c}" for c in times.columns if c not in keys))
 
 
@@ -113,10 +89,9 @@ def unstable_samples(runs: DataFrame) -> DataFrame:
 def hard_samples(runs: DataFrame, least: float = 0.25) -> DataFrame:
     """Samples whose median rate over configurations is high, and the configuration whose text was best."""
     first = runs.filter(first_repetition() & F.col("wer").isNotNull())
-    by = first.groupBy("sampleId").agg(
-        nearest_rank("wer", 50).alias("wer_median"), F.count(F.lit(1)).alias("outputs"), F.min(F.struct("wer", *CONFIG, "runId", "text")).alias("best")
-    )
-    return by.filter(F.col("wer_median") >= least).select("sampleId", "wer_median", "outputs", F.col("best.wer").alias("best_wer"), F.col("best.modelId").alias("best_model"), F.col("best.text").alias("best_text"))
+    medians = R.order_statistics(first, ["sampleId"], "wer", {"wer_median": R.nearest_rank(50)}).filter(F.col("wer_median") >= least)
+    best = first.groupBy("sampleId").agg(F.min(F.struct("wer", *CONFIG, "runId", "text")).alias("best"))
+    return medians.withColumnRenamed("n", "outputs").join(best, "sampleId").select("sampleId", "wer_median", "outputs", F.col("best.wer").alias("best_wer"), F.col("best.modelId").alias("best_model"), F.col("best.text").alias("best_text"))
 
 
 def timing_study(runs: DataFrame) -> DataFrame:
@@ -124,17 +99,22 @@ def timing_study(runs: DataFrame) -> DataFrame:
     ok = runs.filter(succeeded())
     by_sample = ok.groupBy(*CONFIG, "sampleId").agg(F.count(F.lit(1)).alias("n"), F.avg("inferenceMs").alias("mean"), F.stddev_pop("inferenceMs").alias("dev"))
     cv = by_sample.filter("n >= 2 and mean > 0").withColumn("cv", 100 * F.col("dev") / F.col("mean"))
-    varied = cv.groupBy(*CONFIG).agg(F.median("cv").alias("cv_median"), F.max("cv").alias("cv_max"))
+    most = cv.groupBy(*CONFIG).agg(F.max("cv").alias("cv_max"))
+    measures = R.measures_in_rows(ok, CONFIG, {"ms": F.col("inferenceMs"), "rtf": number("rtf"), "load": when(F.col("loadMs") > 0, "loadMs")})
+    measures = measures.unionByName(cv.select(*CONFIG, F.lit("cv").alias("measure"), F.col("cv").alias("value")))
+    ranked = R.order_statistics(measures, [*CONFIG, "measure"], "value", {"p50": R.mid_median(), "p95": R.linear(95)})
+    columns = {"ms_median": ("ms", "p50"), "ms_p95": ("ms", "p95"), "rtf_median": ("rtf", "p50"), "load_median": ("load", "p50"), "cv_median": ("cv", "p50")}
     t = F.col("inferenceMs")
-    times = ok.groupBy(*CONFIG).agg(
-        F.count(F.lit(1)).alias("n"), F.median(t).alias("ms_median"), linear(t, 95).alias("ms_p95"), F.min(t).alias("ms_min"), F.max(t).alias("ms_max"),
-        F.median(number("rtf")).alias("rtf_median"), F.median(when(F.col("loadMs") > 0, "loadMs")).alias("load_median"),
-    )
-    return times.join(varied, CONFIG, "left")
+    times = ok.groupBy(*CONFIG).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("ms_min"), F.max(t).alias("ms_max"))
+    out = times.join(R.measures_in_columns(ranked, CONFIG, columns), CONFIG, "left").join(most, CONFIG, "left")
+    return out.select(*CONFIG, "n", "ms_median", "ms_p95", "ms_min", "ms_max", "rtf_median", "load_median", "cv_median", "cv_max")
 
 
 def repetition_medians(runs: DataFrame, repetitions: list[int]) -> DataFrame:
-    return runs.filter(succeeded()).groupBy(*CONFIG).pivot("repetition", repetitions).agg(F.median("inferenceMs"))
+    ok = runs.filter(succeeded())
+    medians = R.order_statistics(ok.filter(F.col("repetition").isin(repetitions)), [*CONFIG, "repetition"], "inferenceMs", {"median": R.mid_median()})
+    wide = medians.groupBy(*CONFIG).pivot("repetition", repetitions).agg(F.max("median"))
+    return ok.select(*CONFIG).distinct().join(wide, CONFIG, "left")
 
 
 def pairs_of_runs(base: DataFrame, variant: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -150,8 +130,9 @@ def determinism(pairs: DataFrame) -> DataFrame:
 
 def speed_changes(pairs: DataFrame) -> DataFrame:
     measures = ["loadMs", "inferenceMs", "rtf", "peakMemoryMb", "avgCores"]
-    of = lambda side, m: F.median(number(f"{side}.{m}") if m in ("rtf", "peakMemoryMb", "avgCores") else F.col(f"{side}.{m}")).alias(f"{m}_{'old' if side == 'b' else 'new'}")
-    return pairs.groupBy(*CONFIG).agg(*(of(s, m) for m in measures for s in "bv"))
+    of = {f"{m}_{'old' if s == 'b' else 'new'}": number(f"{s}.{m}") if m in ("rtf", "peakMemoryMb", "avgCores") else F.col(f"{s}.{m}") for m in measures for s in "bv"}
+    ranked = R.order_statistics(R.measures_in_rows(pairs, CONFIG, of), [*CONFIG, "measure"], "value", {"median": R.mid_median()})
+    return pairs.select(*CONFIG).distinct().join(R.measures_in_columns(ranked, CONFIG, {name: (name, "median") for name in of}), CONFIG, "left")
 
 
 def complete_samples(runs: DataFrame) -> DataFrame:

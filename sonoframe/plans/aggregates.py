@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.operators import aggregates as A
+from sonoframe.operators import ranks as R
 from sonoframe.schemas import with_run_defaults
 from sonoframe.session import table
 
@@ -96,10 +97,9 @@ def agg07_unstable_samples(spark, sf_dir):
 a as (select "modelId", list_sort(list(x)) as s, quantile_disc(x, 0.95) as nearest_rank, round(quantile_cont(x, 0.95), 6) as linear, round(median(x), 6) as mid_median from v group by all)
 select "modelId", nearest_rank, linear, mid_median, s[len(s) // 2 + 1] as upper_median, s[cast(round_even(0.95::double * (len(s) - 1), 0) as bigint) + 1] as nearest_index from a""")
 def agg08_12_five_quantiles(spark, sf_dir):
-    x = F.col("inferenceMs")
-    return rounded(runs_of(spark, sf_dir).filter(A.succeeded()).groupBy("modelId").agg(
-        A.nearest_rank("inferenceMs", 95).cast("long").alias("nearest_rank"), A.linear(x, 95).alias("linear"), F.median(x).alias("mid_median"), A.upper_median(x).alias("upper_median"), A.nearest_index(x, 95).alias("nearest_index"),
-    ))
+    wanted = {"nearest_rank": R.nearest_rank(95), "linear": R.linear(95), "mid_median": R.mid_median(), "upper_median": R.upper_median(), "nearest_index": R.nearest_index(95)}
+    found = R.order_statistics(runs_of(spark, sf_dir).filter(A.succeeded()), ["modelId"], "inferenceMs", wanted).drop("n")
+    return rounded(found.withColumns({c: F.col(c).cast("long") for c in ("nearest_rank", "upper_median", "nearest_index")}))
 
 
 @query("""with s as (select "modelId", "decoding", "sampleId", count(*) as n, avg("inferenceMs") as m, stddev_pop("inferenceMs") as d from runs where error is null group by all),
@@ -130,7 +130,9 @@ from s join v on s.provider_id = v.provider_id and s.model_id = v.model_id""")
 def agg24_synthesis_summary(spark, sf_dir):
     t = table(spark, sf_dir, "transcribe_results")
     voice = ["provider_id", "model_id"]
-    warm = t.filter("not cold_start").groupBy(*voice, "sample_id").agg(F.count(F.lit(1)).alias("n"), F.median("processing_ms").alias("ms"), F.median("audio_ms").alias("audio"))
+    key, rows = [*voice, "sample_id"], t.filter("not cold_start")
+    ranked = R.order_statistics(R.measures_in_rows(rows, key, {"ms": F.col("processing_ms"), "audio": F.col("audio_ms")}), [*key, "measure"], "value", {"median": R.mid_median()})
+    warm = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(R.measures_in_columns(ranked, key, {"ms": ("ms", "median"), "audio": ("audio", "median")}), key, "left")
     most = t.groupBy(*voice).agg(F.max("load_ms").alias("load_max"), F.max("peak_memory_mb").alias("peak_max"))
     return rounded(warm.withColumn("rtf", F.try_divide("ms", "audio")).join(most, voice))
 
@@ -141,7 +143,8 @@ select model_id, sample_id, round(whole, 6) as whole, round(pieces, 6) as pieces
 def agg25_mode_overhead(spark, sf_dir):
     t = table(spark, sf_dir, "transcribe_results").filter("not cold_start")
     mode = F.when(F.col("decoding") == "greedy search", "whole").when(F.col("decoding").startswith("beam search"), "pieces")
-    wide = t.withColumn("mode", mode).filter("mode is not null").groupBy("model_id", "sample_id").pivot("mode", ["whole", "pieces"]).agg(F.median("processing_ms"))
+    medians = R.order_statistics(t.withColumn("mode", mode).filter("mode is not null"), ["model_id", "sample_id", "mode"], "processing_ms", {"median": R.mid_median()})
+    wide = medians.groupBy("model_id", "sample_id").pivot("mode", ["whole", "pieces"]).agg(F.max("median"))
     return rounded(wide.filter("whole > 0 and pieces is not null").withColumn("overhead_percent", (F.col("pieces") - F.col("whole")) * 100 / F.col("whole")))
 
 
@@ -149,10 +152,10 @@ def agg25_mode_overhead(spark, sf_dir):
 select category, n, round(coalesce(total, 0) / 60000.0::double, 6) as minutes, d[1] as shortest, d[len(d) // 2 + 1] as upper_median, d[len(d)] as longest from s""")
 def agg26_dataset_check(spark, sf_dir):
     d = F.col("durationMs")
-    by = table(spark, sf_dir, "samples").groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum(d), F.lit(0)) / 60000.0).alias("minutes"), F.min(d).alias("shortest"), A.upper_median(d).alias("upper_median"), F.max(d).alias("longest")
-    )
-    return rounded(by)
+    samples = table(spark, sf_dir, "samples")
+    by = samples.groupBy("category").agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum(d), F.lit(0)) / 60000.0).alias("minutes"), F.min(d).alias("shortest"), F.max(d).alias("longest"))
+    middle = R.order_statistics(samples, ["category"], "durationMs", {"upper_median": R.upper_median()}).select("category", F.col("upper_median").cast("long").alias("upper_median"))
+    return rounded(by.join(middle, "category", "left"))
 
 
 @query("""select "runId", "modelId", "decoding", "sampleId", cast(sum("inferenceMs") as bigint) as "inferenceMs", cast(sum("loadMs") as bigint) as "loadMs", cast(sum("cpuMs") as bigint) as "cpuMs",
