@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -58,6 +58,15 @@ def is_protected(word: str) -> bool:
     return bool(re.search("[0-9]", word)) or lower in NEGATIONS or lower in DATE_WORDS or lower in UNIT_OF
 
 
+def letter_bits(folded: str) -> int:
+    """The letters that occur, one bit each (others than a to z share six more)."""
+    bits = 0
+    for c in folded:
+        at = ord(c) - 97
+        bits |= 1 << (at if 0 <= at < 26 else 26 + ord(c) % 6)
+    return bits
+
+
 def differs_only_by_plural_mark(a: str, b: str) -> bool:
     return any(long[:-1] == short and long[-1:] in ("s", "x") and long for long, short in ((a, b), (b, a)))
 
@@ -71,7 +80,7 @@ class Vocabulary:
 
     def __init__(self, terms: tuple[str, ...], preset: Preset):
         self.preset = preset
-        self.by_shape: dict[tuple[int, int, str], list[tuple[str, str, Counter]]] = defaultdict(list)
+        self.by_shape: dict[tuple[int, int, str], list[tuple[str, str, int]]] = defaultdict(list)
         self.surfaces: dict[str, set[str]] = defaultdict(set)
         self.exact: dict[int, set[str]] = defaultdict(set)
         for surface in terms:
@@ -81,7 +90,7 @@ class Vocabulary:
                 continue
             self.surfaces[folded].add(surface)
             for size in range(max(1, len(words) - 1), len(words) + 2):
-                self.by_shape[size, len(folded), self._first(folded)].append((surface, folded, Counter(folded)))
+                self.by_shape[size, len(folded), self._first(folded)].append((surface, folded, letter_bits(folded)))
                 self.exact[size].add(surface.lower())
         self.sizes = sorted(self.exact)
         self.known: dict[tuple[int, str], list[tuple[int, str]]] = {}
@@ -100,15 +109,14 @@ class Vocabulary:
 
     def _near(self, size: int, folded: str):
         p = self.preset
-        letters = None
+        letters = letter_bits(folded)
         for length in range(max(1, len(folded) - p.max_distance), len(folded) + p.max_distance + 1):
             most = p.allowed(length)
             if abs(length - len(folded)) > most:
                 continue
             for surface, term, term_letters in self.by_shape.get((size, length, self._first(folded)), ()):
-                letters = letters or Counter(folded)
-                # letters that the stretch lacks are edits
-                if (term_letters - letters).total() > most or differs_only_by_plural_mark(folded, term) or self.surfaces.get(folded, set()) - {surface}:
+                # each letter that only one of them has takes an edit of its own side
+                if (term_letters & ~letters).bit_count() > most or (letters & ~term_letters).bit_count() > most or differs_only_by_plural_mark(folded, term) or self.surfaces.get(folded, set()) - {surface}:
                     continue
                 distance = levenshtein(folded, term)
                 if distance <= most:
