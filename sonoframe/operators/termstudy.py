@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
+from sonoframe.operators import ranks as R
+from sonoframe.session import cut_lineage
 
 _NO_TERMS = "cast(array() as array<struct<text: string, kind: string>>)"
 
@@ -117,7 +120,7 @@ def bootstrap(runs: DataFrame, resamples: int = 5000, seed: int = 7, most_sample
 
     The same draws serve all configurations. What is resampled is a table of samples by configurations, two numbers each.
     As all draws are one generator's sequence they are made on the driver, where the table is brought after it was
-    counted: a set of more than ``most_samples`` is an error, not a sample of it.
+    counted: a set of more than ``most_samples`` is an error, not a sample of it; use ``spread_bootstrap`` for those.
     """
     key = [*A.CONFIG, "sampleId"]
     rated = A.latest_deliveries(runs.filter(A.first_repetition()), key, ["timestampMs", "runId", "ingestedAt"])
@@ -151,6 +154,61 @@ def bootstrap(runs: DataFrame, resamples: int = 5000, seed: int = 7, most_sample
     return spark.createDataFrame(out, shape)
 
 
+def _weights(sample: int, seed: int, resamples: int) -> np.ndarray:
+    """How often a sample is drawn in each resample: Poisson numbers of mean one, from a hash of sample, seed and resample."""
+    x = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((sample ^ seed * 0x632BE59BD9B4E019) & (1 << 64) - 1)
+    for by, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(by))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) * 2.0**-53, side="right").astype(np.float64)
+
+
+#: Cumulated probabilities of the Poisson distribution of mean one.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def spread_bootstrap(runs: DataFrame, resamples: int = 2000, seed: int = 7) -> DataFrame:
+    """``bootstrap`` for sets of any size: each resample counts a sample a Poisson number of times, so that the draws of a sample
+    are made where its rows are and only sums by configuration and resample are shuffled.
+
+    All configurations share a sample's draws. The intervals are those of ``bootstrap`` but for the draws, which are others. An
+    empty table gives an empty result.
+    """
+    key = [*A.CONFIG, "sampleId"]
+    rated = A.latest_deliveries(runs.filter(A.first_repetition()), key, ["timestampMs", "runId", "ingestedAt"])
+    table = rated.join(A.complete_samples(rated), "sampleId", "left_semi").select(*A.CONFIG, F.xxhash64("sampleId").alias("s"), A.word_errors().cast("double").alias("e"), F.col("referenceWords").cast("double").alias("w"))
+    rows = table.na.fill(0, ["e", "w"]).repartition("s").sortWithinPartitions("s")
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        last, drawn = None, None
+        for batch in batches:
+            for model, decoding, s, e, w in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if s != last:
+                    last, drawn = s, _weights(s, seed, resamples)
+                got = sums.get((model, decoding))
+                if got is None:
+                    got = sums[model, decoding] = np.zeros((2, resamples))
+                got += np.outer((e, w), drawn)
+        for (model, decoding), (e, w) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([model] * resamples, pa.string()), pa.array([decoding] * resamples, pa.string()), pa.array(np.arange(resamples)), pa.array(e), pa.array(w)], ["modelId", "decoding", "resample", "e", "w"])
+
+    ratio = lambda e, w: F.coalesce(F.try_divide(F.sum(e), F.sum(w)), F.lit(0.0))
+    drawn = rows.mapInArrow(run, "modelId string, decoding string, resample long, e double, w double").groupBy(*A.CONFIG, "resample").agg(ratio("e", "w").alias("rate"))
+    full = cut_lineage(table.groupBy(*A.CONFIG).agg(F.count(F.lit(1)).alias("samples"), ratio("e", "w").alias("wer")))  # a row a configuration
+    best = full.agg(F.min(F.struct("wer", *A.CONFIG)).alias("b")).select(*(F.col(f"b.{c}").alias(f"best_{c}") for c in A.CONFIG))
+    is_best = F.col("modelId").eqNullSafe(F.col("best_modelId")) & F.col("decoding").eqNullSafe(F.col("best_decoding"))
+    rates = cut_lineage(drawn.join(F.broadcast(best)))
+    of_best = rates.filter(is_best).select("resample", F.col("rate").alias("best_rate"))
+    both = rates.join(of_best, "resample").select(*A.CONFIG, "rate", (F.col("rate") - F.col("best_rate")).alias("diff"))
+    wanted = {"low": R.nearest_index(2.5), "high": R.nearest_index(97.5)}
+    own = R.order_statistics(both, A.CONFIG, "rate", wanted).drop("n")
+    apart = R.order_statistics(both, A.CONFIG, "diff", wanted).select(*A.CONFIG, F.col("low").alias("diff_low"), F.col("high").alias("diff_high"))
+    verdict = F.when(is_best, "-").when(F.col("diff_low") > 0, "clearly worse").otherwise("not distinguishable")
+    out = full.join(own, A.CONFIG).join(apart, A.CONFIG).join(F.broadcast(best))
+    return out.select(*A.CONFIG, "samples", "wer", "low", "high", "diff_low", "diff_high", verdict.alias("verdict"))
+
+
 def bootstrap_by_language(runs: DataFrame, languages: tuple[str, ...] = ("fr", "en"), resamples: int = 5000, seed: int = 7, most_rows: int = 2_000_000) -> DataFrame:
     """As ``bootstrap``, for each configuration and language on its own records; one generator serves all in their order.
 

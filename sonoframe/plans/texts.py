@@ -257,6 +257,16 @@ def agg14_bootstrap(spark, sf_dir):
     return K.bootstrap(runs_of(spark, sf_dir))
 
 
+@query("""with f as (select * from (select *, row_number() over (partition by "modelId", "decoding", "sampleId" order by "timestampMs" desc, "runId" desc, "ingestedAt" desc) as nth from runs where error is null and repetition = 1) where nth = 1),
+c as (select "sampleId" from f group by "sampleId" having count(*) = (select count(*) from (select distinct "modelId", "decoding" from f))), t as (select * from f where "sampleId" in (select "sampleId" from c))
+select "modelId", "decoding", count(*) as samples, round(coalesce(sum(substitutions + deletions + insertions)::double / nullif(sum("referenceWords"), 0)::double, 0), 9) as wer, true as within from t group by all""")
+def agg14_spread_bootstrap(spark, sf_dir):
+    """Rates with intervals whose draws are made where the rows are; the SQL has the rates, which lie within them."""
+    found = K.spread_bootstrap(aggregates.runs_of(spark, sf_dir))
+    inside = (F.col("low") <= F.col("wer")) & (F.col("wer") <= F.col("high")) & (F.col("diff_low") <= F.col("diff_high"))
+    return rounded(found.select(*A.CONFIG, "samples", "wer", inside.alias("within")), 9)
+
+
 @query()
 def agg15_bootstrap_by_language(spark, sf_dir):
     return K.bootstrap_by_language(runs_of(spark, sf_dir))
