@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import TypeVar
 
 import numpy as np
@@ -358,3 +359,14 @@ def encoder_for(data: bytes) -> Encoder:
 def ids_array(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))
+
+
+@lru_cache(maxsize=2)
+def token_bytes(data: bytes) -> list[bytes]:
+    """The bytes of each id of a vocabulary file."""
+    of = {c: bytes([i]) for i, c in enumerate(_byte_alphabet())}
+    ids = json.loads(data)["model"]["vocab"]
+    out = [b""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = b"".join(of[c] for c in token)
+    return out

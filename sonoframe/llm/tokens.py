@@ -59,3 +59,21 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens",
         return pa.array(encoder.sizes(numbers, per_text), pa.int64())
 
     return _map_texts(df, text, tokenizer_path, T.StructField(out, T.LongType(), True), count)
+
+
+def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", tokenizer_path: str = TOKENIZER) -> DataFrame:
+    """encoded with its ids replaced by the text that they stand for; null ids give null, an empty list an empty text.
+
+    Ids that aren't whole characters together, as cut lists may be, give replacement characters.
+    """
+    kept = [f for f in encoded.schema.fields if f.name != ids]
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
+
+    def run(batches):
+        pieces = bpe.token_bytes(vocabulary.value)
+        for batch in batches:
+            texts = [None if x is None else b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string())], [*(f.name for f in kept), out])
+
+    narrow = encoded.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{ids}`"))
+    return narrow.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType(), True)]))

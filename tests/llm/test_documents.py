@@ -39,6 +39,13 @@ def test_encode_table(spark):
     assert tokens.encode(df.limit(0)).collect() == []
 
 
+def test_ids_give_the_texts_back(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in tokens.decode(tokens.encode(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate([*ODD, None])}
+    assert tokens.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()[0].text is None
+
+
 def _pairs(docs, least=spans.MIN_SPAN):
     where = defaultdict(set)
     for d, t in docs:
