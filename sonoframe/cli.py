@@ -68,15 +68,11 @@ def chunking_study(spark, o):
 
 
 def tts_summary(spark, o):
-    rows = sources.tts_measures(spark, o.path)
-    warm = rows.filter("not cold").groupBy("voice", "sentence").agg(*(F.median(c).alias(c) for c in ("chars", "generationMs", "audioMs", "rtf")), F.count(F.lit(1)).alias("n"))
-    return warm.join(rows.groupBy("voice").agg(F.max("loadMs").alias("load_max"), F.max("peakMemoryMb").alias("peak_max")), "voice")
+    return sinks.measure_summary(sources.tts_measures(spark, o.path))
 
 
 def tts_overhead(spark, o):
-    warm = sources.tts_measures(spark, o.path).filter("not cold and mode is not null")
-    wide = warm.groupBy("voice", "sentence").pivot("mode", [o.whole, o.pieces]).agg(F.median("generationMs")).toDF("voice", "sentence", "whole", "pieces")
-    return wide.filter("whole > 0 and pieces is not null").withColumn("overhead_percent", (F.col("pieces") - F.col("whole")) * 100 / F.col("whole"))
+    return sinks.mode_overhead(sources.tts_measures(spark, o.path), o.whole, o.pieces)
 
 
 def plan_sentences(spark, o):

@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe.functions import native as N
 from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
 from sonoframe.operators import ranks as R
 from sonoframe.session import cut_lineage
+from sonoframe.text import postcorrect
 
 _NO_TERMS = "cast(array() as array<struct<text: string, kind: string>>)"
 
@@ -42,6 +44,40 @@ def key_term_summary(runs: DataFrame, samples: DataFrame) -> DataFrame:
     return outcomes.groupBy(*A.CONFIG, F.col("o.kind").alias("kind")).agg(F.sum("n").alias("occurrences"), F.sum(F.when(~F.col("o.found"), F.col("n")).otherwise(0)).alias("missed"))
 
 
+def near_terms(texts: DataFrame, terms: DataFrame, longest: int, preset: str = "strict") -> DataFrame:
+    """(stretch, term, distance): stretches of up to ``longest`` words of the texts (text), without blanks and accents, and the
+    terms (term) that are no further from them than the preset allows, but not equal.
+
+    A theta join without a cross join: the distinct stretches meet the terms of their first letter and about their length.
+    """
+    rules = postcorrect.PRESETS[preset]
+    plain = lambda c: F.transform(N.word_list(F.col(c)), N.fold_accents)
+    words = texts.select(plain("text").alias("w"))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w")))).alias("k")
+    placed = words.filter("size(w) > 0").select("w", sizes).select("w", "k", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("i"))
+    stretches = placed.select(F.array_join(F.slice("w", F.col("i"), F.col("k")), "").alias("stretch")).distinct().filter(F.length("stretch") >= rules.min_len)
+    known = terms.select(F.array_join(plain("term"), "").alias("term")).distinct().filter(F.length("term") >= rules.min_len)
+    most = rules.max_distance
+    block = lambda c, d: [F.substring(c, 1, 1).alias("a"), (F.length(c) + d).alias("n")]
+    near = known.select("term", F.explode(F.array(*map(F.lit, range(-most, most + 1)))).alias("d")).select("term", *block("term", F.col("d")))
+    pairs = stretches.select("stretch", *block("stretch", F.lit(0))).join(near, ["a", "n"]).filter("stretch != term")
+    distance = F.levenshtein("stretch", "term", most)
+    allowed = F.least(F.floor(F.length("term") * rules.ratio), F.lit(most))
+    return pairs.withColumn("distance", distance.cast("long")).filter((F.col("distance") >= 0) & (F.col("distance") <= allowed)).select("stretch", "term", "distance")
+
+
+def found_from_flags(scored: DataFrame, samples: DataFrame) -> DataFrame:
+    """(configuration, kind, occurrences, found), told from the records' flags alone: a flag's message begins with the kind of
+    the term that wasn't found. Counts first repetitions; kinds that no sample has are left out."""
+    first = scored.filter(A.first_repetition())
+    terms = with_terms(first.groupBy(*A.CONFIG, "sampleId").agg(F.count(F.lit(1)).alias("n")), samples).select(*A.CONFIG, "n", F.explode("keyTerms.kind").alias("kind"))
+    occurrences = terms.groupBy(*A.CONFIG, F.coalesce(F.when(F.col("kind") != "", F.col("kind")), F.lit("term")).alias("kind")).agg(F.sum("n").alias("occurrences"))
+    flags = first.select(*A.CONFIG, F.explode(F.filter("critical", lambda f: f["kind"] == "keyTerm")).alias("f"))
+    missed = flags.groupBy(*A.CONFIG, F.regexp_extract("f.message", "^expected (.*) term not found", 1).alias("kind")).agg(F.count(F.lit(1)).alias("missed"))
+    both = occurrences.join(missed, [*A.CONFIG, "kind"], "left")
+    return both.select(*A.CONFIG, "kind", "occurrences", (F.col("occurrences") - F.coalesce("missed", F.lit(0))).alias("found"))
+
+
 def word_changes(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Reference words that one run of a pair heard and the other didn't, by position; texts of unequal length are left out."""
     flat = with_terms(pairs, samples).select("*", *(F.col(f"{side}.{c}").alias(f"__{side}_{c}") for side in "bv" for c in ("reference", "text")))

@@ -165,6 +165,29 @@ def snk01_02_summary_csv(spark, sf_dir):
     return spark.createDataFrame([tuple(r) for r in rows[1:]], ", ".join(f"`{c}` string" for c in rows[0]))
 
 
+_MEASURES = """m as (select model_id as voice, unicode(sample_id[-1]) % 7 as sentence, decoding as mode, processing_ms as ms, audio_ms as audio, rtf, load_ms, cold_start as cold, peak_memory_mb as peak from transcribe_results)"""
+
+
+@query(f"""with {_MEASURES}, s as (select voice, sentence, count(*) as n, median(ms) as generation, median(audio) as audio, median(case when not isnan(rtf) then rtf end) as rtf from m where not cold group by all), v as (select voice, max(load_ms) as load_max, max(peak) as peak_max from m group by all),
+o as (select voice, sentence, median(case when mode = 'greedy search' then ms end) as whole, median(case when mode = 'beam search (5 beams)' then ms end) as pieces from m where not cold group by all)
+select 'summary' as part, voice, sentence::bigint as sentence, n, round(generation, 6) as a, round(audio, 6) as b, round(rtf, 6) as c, round(peak_max, 6) as d from s join v using (voice)
+union all select 'overhead', voice, sentence, null, round(whole, 6), round(pieces, 6), round((pieces - whole) * 100 / whole, 6), null from o where whole > 0 and pieces is not null""")
+def snk09_measure_tables(spark, sf_dir):
+    """Summary and overhead of written measurements, as their CSV files have them."""
+    folder = shared_folder(spark, "measured")
+    t = table(spark, sf_dir, "transcribe_results").select(
+        F.col("model_id").alias("voice"), (F.ascii(F.substring("sample_id", -1, 1)) % 7).cast("long").alias("sentence"), F.col("decoding").alias("mode"), F.col("processing_ms").alias("generationMs"),
+        F.col("audio_ms").alias("audioMs"), "rtf", F.col("load_ms").alias("loadMs"), F.col("cold_start").alias("cold"), F.col("peak_memory_mb").alias("peakMemoryMb"),
+    )
+    sinks.write_measures(t, folder, "greedy search", "beam search (5 beams)")
+    read = lambda name, shape: spark.read.schema(shape).option("header", True).csv(f"{folder}/{name}.csv")
+    summary = read("summary", "voice string, sentence long, n long, generation double, audio double, rtf double, load_max long, peak_max double")
+    overhead = read("overhead", "voice string, sentence long, whole double, pieces double, overhead_percent double")
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = summary.select(F.lit("summary").alias("part"), "voice", "sentence", "n", F.col("generation").alias("a"), F.col("audio").alias("b"), F.col("rtf").alias("c"), F.col("peak_max").alias("d"))
+    return rounded(parts.unionByName(overhead.select(F.lit("overhead").alias("part"), "voice", "sentence", none("long").alias("n"), F.col("whole").alias("a"), F.col("pieces").alias("b"), F.col("overhead_percent").alias("c"), none("double").alias("d"))))
+
+
 @query(f"""select {_RUN}, 2::int as "scoringVersion", text, wer from runs""")
 def snk07_rescored_copy(spark, sf_dir):
     """Rescored records beside the old ones."""

@@ -215,12 +215,11 @@ def txt26_27_agg16_key_terms(spark, sf_dir):
     return K.key_term_summary(runs_of(spark, sf_dir), table(spark, sf_dir, "samples"))
 
 
-@query("""with k as (select "modelId", "decoding", unnest(critical) as f from runs where error is null and repetition = 1)
-select "modelId", "decoding", split_part(f.message, ':', 1) as kind, count(*) as missed from k where f.kind = 'keyTerm' and f.message like 'keyTerm:%' group by all""")
-def agg17_missed_from_flags(spark, sf_dir):
-    flags = runs_of(spark, sf_dir).filter(A.first_repetition()).select(*A.CONFIG, F.explode("critical").alias("f"))
-    terms = flags.filter((F.col("f.kind") == "keyTerm") & F.col("f.message").startswith("keyTerm:"))
-    return terms.groupBy(*A.CONFIG, F.substring_index("f.message", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("missed"))
+@query(f"""with recursive {_RUN_WORDS}, ra as (select row_number() over () as r, * from runs where error is null and repetition = 1), {W.flags('select r, reference, text, "sampleId" from ra')} select "modelId", "decoding", kind, count(*) as occurrences, count(case when found then 1 end) as found from ra join fo using (r) group by all""")
+def agg17_found_from_flags(spark, sf_dir):
+    """Terms found and their occurrences by kind, from the messages of flags worked out anew."""
+    samples = table(spark, sf_dir, "samples")
+    return K.found_from_flags(K.rescored(aggregates.runs_of(spark, sf_dir), samples), samples)
 
 
 #: Words of pairs of runs that one heard and the other didn't, by position.
@@ -325,21 +324,17 @@ def txt40_45_post_corrected(spark, sf_dir):
     return changes.groupBy("c.from", "c.to", "c.distance").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CLEAN = "t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from transcribe_results where text is not null), v as (select distinct lower(t.text) as term from (select unnest(\"keyTerms\") as t from samples) where regexp_matches(lower(t.text), '^[a-z]{6,}$'))"
+_FOLD = "replace(replace(translate(lower({x}), 'àâäáãéèêëîïíôöóõùûüúçÿ', 'aaaaaeeeeiiioooouuuucy'), 'œ', 'oe'), 'æ', 'ae')"
+_WINDOWS = rf"""ww as (select distinct list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda y: {_FOLD.format(x="y")}) as w from transcribe_results where text is not null),
+wk as (select w, unnest([1, 2, 3]) as k from ww), wi as (select w, k, unnest(range(1, len(w) - k + 2)) as i from wk), wx as (select distinct array_to_string(w[i:i + k - 1], '') as x from wi),
+vt as (select distinct array_to_string(list_transform(regexp_extract_all(t.text, '[\p{{L}}\p{{N}}]+'), lambda y: {_FOLD.format(x="y")}), '') as term from (select unnest("keyTerms") as t from samples)), vw as (select term from vt where length(term) >= 6),
+cp as (select x, term from wx join vw on substr(x, 1, 1) = substr(term, 1, 1) and abs(length(x) - length(term)) <= 2 where x <> term and length(x) >= 6)"""
 
 
-@query(f"""with {_CLEAN} select w, term, cast(levenshtein(w, term) as bigint) as distance from t join v on substr(w, 1, 1) = substr(term, 1, 1) and abs(length(w) - length(term)) <= 2
-where length(w) >= 6 and levenshtein(w, term) <= least(floor(length(term) * 0.17::double), 2) and w <> term""")
+@query(f"with {_WINDOWS}, {W.distances('select x as a, term as b from cp')} select a as stretch, b as term, distance from nb where distance <= least(floor(length(b) * 0.17::double), 2)")
 def joi10_near_terms(spark, sf_dir):
-    """Words and terms within the allowed distance, blocked by first letter and length."""
-    w = _transcripts(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).distinct().filter("length(w) >= 6")
-    terms = table(spark, sf_dir, "samples").select(F.explode("keyTerms").alias("t")).select(F.lower("t.text").alias("term")).distinct().filter(F.col("term").rlike("^[a-z]{6,}$"))
-    block = lambda c, d: [F.substring(c, 1, 1).alias("a"), (F.length(c) + d).alias("n")]
-    near = terms.select("term", F.explode(F.array(*(F.lit(d) for d in range(-2, 3)))).alias("d")).select("term", *block("term", F.col("d")))
-    pairs = w.select("w", *block("w", F.lit(0))).join(near, ["a", "n"])
-    distance = F.levenshtein("w", "term", 2)
-    allowed = F.least(F.floor(F.length("term") * 0.17), F.lit(2))
-    return pairs.withColumn("distance", distance.cast("long")).filter((F.col("distance") >= 0) & (F.col("distance") <= allowed) & (F.col("w") != F.col("term"))).select("w", "term", "distance")
+    """Stretches of up to three words and terms within the allowed distance, blocked by first letter and length."""
+    return K.near_terms(_transcripts(spark, sf_dir).select("text").distinct(), table(spark, sf_dir, "samples").select(F.explode("keyTerms.text").alias("term")).distinct(), 3)
 
 
 @query("""select distinct t.text as term, cast(floor(length(t.text) * 0.17::double) as bigint) as by_length, least(cast(floor(length(t.text) * 0.17::double) as bigint), 2) as strict, least(cast(floor(length(t.text) * 0.22::double) as bigint), 2) as medium, least(cast(floor(length(t.text) * 0.3::double) as bigint), 3) as loose from (select unnest("keyTerms") as t from samples)""")

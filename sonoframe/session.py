@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,21 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path beside the checkpoints, where all executors can write and read."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs of this thread that ``cancel`` with the same tag ends."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
+    try:
+        yield
+    finally:
+        context.setInterruptOnCancel(False)
+        context.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Ends the running jobs of a tag; what they wrote so far is left to their committers."""
+    spark.sparkContext.cancelJobsWithTag(tag)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from sonoframe.audio import wav
 from sonoframe.operators import aggregates as A
+from sonoframe.operators import ranks as R
 from sonoframe.operators import termstudy
+from sonoframe.sources import write_text
 
 #: The summary's columns, the names they have in the file, and their decimals.
 SUMMARY = {
@@ -84,6 +86,36 @@ def write_run_folder(runs: DataFrame, folder: str, system: dict, config: dict) -
     return summary
 
 
+def measure_summary(measures: DataFrame) -> DataFrame:
+    """(voice, sentence, n, generation, audio, rtf, load_max, peak_max) of measurements: medians of the warm rows of each voice
+    and sentence, and the largest load time and memory of each voice."""
+    key, warm = ["voice", "sentence"], measures.filter("not cold")
+    of = {"generation": F.col("generationMs"), "audio": F.col("audioMs"), "rtf": A.number("rtf")}
+    ranked = R.order_statistics(R.measures_in_rows(warm, key, of), [*key, "measure"], "value", {"median": R.mid_median()})
+    most = measures.groupBy("voice").agg(F.max("loadMs").alias("load_max"), F.max("peakMemoryMb").alias("peak_max"))
+    counted = warm.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(R.measures_in_columns(ranked, key, {m: (m, "median") for m in of}), key, "left").join(most, "voice")
+
+
+def mode_overhead(measures: DataFrame, whole: str, pieces: str) -> DataFrame:
+    """(voice, sentence, whole, pieces, overhead_percent): medians of warm generation times in two modes, where both are known."""
+    key = ["voice", "sentence"]
+    medians = R.order_statistics(measures.filter("not cold").filter(F.col("mode").isin(whole, pieces)), [*key, "mode"], "generationMs", {"median": R.mid_median()})
+    wide = medians.groupBy(*key).pivot("mode", [whole, pieces]).agg(F.max("median")).toDF(*key, "whole", "pieces")
+    return wide.filter("whole > 0 and pieces is not null").withColumn("overhead_percent", (F.col("pieces") - F.col("whole")) * 100 / F.col("whole"))
+
+
+def write_measures(measures: DataFrame, folder: str, whole: str = "whole", pieces: str = "pieces") -> None:
+    """tts-measure.jsonl (a folder of parts), and summary and overhead as folders of CSV and, for reading, one text each."""
+    measures.write.mode("errorifexists").json(os.path.join(folder, "tts-measure.jsonl"))
+    tables = {"summary": measure_summary(measures), "overhead": mode_overhead(measures, whole, pieces)}
+    for name, df in tables.items():
+        df.write.mode("errorifexists").option("header", True).csv(os.path.join(folder, f"{name}.csv"))
+        rows = bounded_rows(df.orderBy("voice", "sentence"))
+        text = markdown_table(df.columns, [[f"{x:.3f}" if isinstance(x, float) else x for x in r] for r in rows])
+        write_text(measures.sparkSession, os.path.join(folder, f"{name}.md"), text)
+
+
 def write_rescored(runs: DataFrame, folder: str, version: int) -> str:
     """Rescored records beside the old ones, which are never overwritten while they are read."""
     path = os.path.join(folder, f"runs.scoring-v{version}.jsonl")

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sonoframe.operators import ranks, sequences, validation, voices
+from sonoframe import session
+from sonoframe.operators import ranks, sequences, termstudy, validation, voices
+from sonoframe.sources import dataset
 
 
 def _rows(seed: int, n: int = 400) -> list[tuple]:
@@ -173,3 +175,56 @@ def test_printed_results(spark):
     printed = "loading\n   text: Bonjour à tous \nwrote -> /x/y.wav in 2 s, RTF 0.125\n"
     r = spark.createDataFrame([(printed,), ("nothing",)], "s string").select(voices.scraped(F.col("s")).alias("r")).select("r.*").collect()
     assert tuple(r[0]) == ("Bonjour à tous", "/x/y.wav", 0.125) and tuple(r[1]) == (None, None, None)
+
+
+def test_spread_bootstrap_agrees_with_the_single_stream(spark):
+    rng = random.Random(11)
+    rows = [(m, "d", f"s{i}", 1, None, 7, f"r{m}", 0, rng.randrange(int(4 * k)), 0, 0, 10) for m, k in (("a", 1), ("b", 2)) for i in range(120)]
+    runs = spark.createDataFrame(rows, "modelId string, decoding string, sampleId string, repetition int, error string, timestampMs long, runId string, ingestedAt long, substitutions long, deletions long, insertions long, referenceWords long")
+    one, other = ({r.modelId: r for r in f(runs).collect()} for f in (lambda r: termstudy.bootstrap(r, 2000), termstudy.spread_bootstrap))
+    for m in "ab":
+        assert one[m].wer == pytest.approx(other[m].wer) and one[m].samples == other[m].samples and one[m].verdict == other[m].verdict
+        assert other[m].low == pytest.approx(one[m].low, abs=0.01) and other[m].high == pytest.approx(one[m].high, abs=0.01)
+    assert termstudy.spread_bootstrap(runs.limit(0)).collect() == []
+
+
+def test_near_terms_meet_stretches_of_several_words(spark):
+    texts = spark.createDataFrame([("une insufisance renale grave",), ("du potasium",), ("",), (None,)], "text string")
+    terms = spark.createDataFrame([("insuffisance rénale",), ("potassium",), ("kg",), (None,)], "term string")
+    assert {tuple(r) for r in termstudy.near_terms(texts, terms, 3).collect()} == {("insufisancerenale", "insuffisancerenale", 1), ("potasium", "potassium", 1)}
+
+
+def test_stored_files_stay_in_their_folder(tmp_path):
+    folder = tmp_path / "clips"
+    folder.mkdir()
+    (folder / "a.wav").write_bytes(b"x")
+    (tmp_path / "b.wav").write_bytes(b"y")
+    (folder / "link.wav").symlink_to(tmp_path / "b.wav")
+    assert dataset.read_stored(str(folder), "a.wav") == b"x"
+    for name in ("../b.wav", "link.wav", str(tmp_path / "b.wav"), "a.txt", "none.wav", ".."):
+        with pytest.raises(dataset.Refused):
+            dataset.read_stored(str(folder), name)
+
+
+def test_jobs_of_a_tag_can_be_cancelled(spark):
+    import threading
+    import time
+
+    seen = []
+
+    def work():
+        with session.cancellable(spark, "slow"):
+            try:
+                spark.range(10**12).select(F.sum(F.rand())).collect()
+            except Exception as e:
+                seen.append(str(e))
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    for _ in range(40):
+        time.sleep(0.5)
+        session.cancel(spark, "slow")
+        if not thread.is_alive():
+            break
+    thread.join(5)
+    assert len(seen) == 1 and not thread.is_alive()
