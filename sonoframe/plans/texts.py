@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from sonoframe.functions import native as N
 from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
+from sonoframe.operators import corrections as C
 from sonoframe.operators import termstudy as K
 from sonoframe.plans import aggregates
 from sonoframe.plans import twins as W
 from sonoframe.plans.aggregates import _PAIR_KEY, _PAIR_ORDER, rounded, two_runs
-from sonoframe.session import BROADCAST_LIMIT_BYTES, spread, table
+from sonoframe.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -308,19 +309,16 @@ def txt32_sentence_plans(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(plan).alias("place", "s")).select("doc_id", "place", "s.text", "s.spoken", "s.start", "s.end", "s.paragraph_end")
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The samples' key terms, one spelling each, as a vocabulary file would list them."""
-    terms = table(spark, sf_dir, "samples").select(F.explode("keyTerms").alias("t")).select(F.col("t.text").alias("term")).distinct()
-    by = terms.groupBy(F.lower("term").alias("k")).agg(F.min("term").alias("term"))
-    if 64 * by.count() > BROADCAST_LIMIT_BYTES // 4:
-        raise ValueError("the vocabulary is too large to be one list")
-    return sorted(r["term"] for r in by.collect())
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term): the samples' key terms, one spelling each, as a vocabulary file would list them."""
+    terms = table(spark, sf_dir, "samples").select(F.explode("keyTerms").alias("t")).select(F.col("t.text").alias("term"))
+    return terms.groupBy(F.lower("term").alias("k")).agg(F.min("term").alias("term")).select("term")
 
 
 @query()
 def txt40_45_post_corrected(spark, sf_dir):
-    corrected = T.post_correct("text", _vocabulary(spark, sf_dir))
-    changes = _transcripts(spark, sf_dir).select("text").distinct().select(F.explode(corrected["changes"]).alias("c"))
+    done = C.post_corrected(_transcripts(spark, sf_dir).select("text"), _vocabulary(spark, sf_dir))
+    changes = done.select(F.explode("changes").alias("c"))
     return changes.groupBy("c.from", "c.to", "c.distance").agg(F.count(F.lit(1)).alias("n"))
 
 

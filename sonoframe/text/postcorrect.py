@@ -128,11 +128,48 @@ def prepared(terms: tuple[str, ...], preset: Preset) -> Vocabulary:
     return Vocabulary(terms, preset)
 
 
+def _words(text: str) -> tuple[list[tuple[int, int, str, bool]], list[bool]]:
+    """Each word's place, folded form and protection, and whether what lies between it and the next joins them."""
+    words = [(m.start(), m.end(), fold(m.group()), is_protected(m.group())) for m in _WORD.finditer(text)]
+    return words, [_JOINING.fullmatch(text, a[1], b[0]) is not None for a, b in zip(words, words[1:])]
+
+
+def stretches(text: str, longest: int, preset: Preset) -> list[tuple[int, str, str]]:
+    """(words, folded, in lower case) of the stretches of up to ``longest`` words that may be a term or a misspelling of one."""
+    words, joins = _words(text)
+    found = {}
+    for i in range(len(words)):
+        folded = ""
+        for size in range(1, longest + 1):
+            last = i + size - 1
+            if last >= len(words) or words[last][3] or size > 1 and not joins[last - 1]:
+                break
+            folded += words[last][2]
+            if len(folded) >= preset.min_len:
+                found[size, folded, text[words[i][0] : words[last][1]].lower()] = None
+    return list(found)
+
+
+@dataclass(frozen=True)
+class Looked:
+    """A vocabulary as far as one text asks for it: sizes, terms in lower case, and near terms of stretches."""
+
+    preset: Preset
+    sizes: list[int]
+    exact: dict[int, set[str]]
+    known: dict[tuple[int, str], list[tuple[int, str]]]
+
+    def near(self, size: int, folded: str) -> list[tuple[int, str]]:
+        return self.known.get((size, folded), [])
+
+
 def correct(text: str, terms: list[str], preset: Preset = PRESETS["strict"]) -> tuple[str, list[dict]]:
     """The corrected text and its changes (from, to, distance). All between the changed stretches stays as it was."""
-    vocabulary = prepared(tuple(terms), preset)
-    words = [(m.start(), m.end(), fold(m.group()), is_protected(m.group())) for m in _WORD.finditer(text)]
-    joins = [_JOINING.fullmatch(text, a[1], b[0]) is not None for a, b in zip(words, words[1:])]
+    return correct_by(text, prepared(tuple(terms), preset))
+
+
+def correct_by(text: str, vocabulary: Vocabulary | Looked) -> tuple[str, list[dict]]:
+    words, joins = _words(text)
     pieces, changes, done, i = [], [], 0, 0
     while i < len(words):
         found: list[tuple[int, int, str]] = []
@@ -141,9 +178,9 @@ def correct(text: str, terms: list[str], preset: Preset = PRESETS["strict"]) ->
             if last >= len(words) or words[last][3] or not all(joins[i:last]) or any(w[3] for w in words[i:last]):
                 continue
             folded = "".join(w[2] for w in words[i : last + 1])
-            if len(folded) < preset.min_len:
+            if len(folded) < vocabulary.preset.min_len:
                 continue
-            if text[words[i][0] : words[last][1]].lower() in vocabulary.exact[size]:
+            if text[words[i][0] : words[last][1]].lower() in vocabulary.exact.get(size, ()):
                 found = []
                 break
             found += [(distance, size, surface) for distance, surface in vocabulary.near(size, folded)]

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonoframe import session
-from sonoframe.operators import ranks, sequences, termstudy, validation, voices
+from sonoframe.operators import corrections, ranks, sequences, termstudy, validation, voices
+from sonoframe.plans import goldens
 from sonoframe.sources import dataset
+from sonoframe.text import postcorrect
 
 
 def _rows(seed: int, n: int = 400) -> list[tuple]:
@@ -194,6 +196,21 @@ def test_near_terms_meet_stretches_of_several_words(spark):
     assert {tuple(r) for r in termstudy.near_terms(texts, terms, 3).collect()} == {("insufisancerenale", "insuffisancerenale", 1), ("potasium", "potassium", 1)}
 
 
+@pytest.mark.parametrize("preset", ["strict", "medium", "loose"])
+def test_corrections_by_join_and_by_list_agree(spark, preset):
+    terms = sorted({t for _, v, _ in goldens.CORRECTED for t in v} | {"pôtassium", "anti", "insuffisance", "8mg", "", "le"})
+    texts = [t for t, _, _ in goldens.CORRECTED] + ["potassiums potassium pottassium", "l'anti-inflamatoire, l'insuffisance renalle", "traction fraction", "x" * 3000, "sans le vin"]
+    df = spark.createDataFrame([(t, "clash") for t in [*texts, texts[0], None]], "text string, changes string")
+    known = spark.createDataFrame([(t,) for t in [*terms, terms[3], None]], "term string")
+    got = [{r.text: (r.corrected, [tuple(c) for c in r.changes]) for r in corrections.post_corrected(df, known, preset, most).collect()} for most in (1000, 0)]
+    assert got[0] == got[1] and set(got[0]) == set(texts)
+    for t in texts:
+        corrected, changes = postcorrect.correct(t, terms, postcorrect.PRESETS[preset])
+        assert got[0][t] == (corrected, [(c["from"], c["to"], c["distance"]) for c in changes])
+    assert corrections.joined_corrections(df, known.limit(0)).filter("corrected != text or size(changes) > 0").count() == 0
+    assert corrections.joined_corrections(df.limit(0), known).collect() == []
+
+
 def test_stored_files_stay_in_their_folder(tmp_path):
     folder = tmp_path / "clips"
     folder.mkdir()
