@@ -315,7 +315,7 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.groupBy(F.lower("term").alias("k")).agg(F.min("term").alias("term")).select("term")
 
 
-@query()
+@query(f"""with recursive {W.corrections("select text as t from transcribe_results", 'select min(term) as term from (select unnest("keyTerms").text as term from samples) group by lower(term)')} select "from", "to", distance, count(*) as n from ch group by all""")
 def txt40_45_post_corrected(spark, sf_dir):
     done = C.post_corrected(_transcripts(spark, sf_dir).select("text"), _vocabulary(spark, sf_dir))
     changes = done.select(F.explode("changes").alias("c"))

@@ -150,3 +150,28 @@ def endings(pairs: str) -> str:
     return f"""ew as (select distinct reference, text from ({pairs})), et as (select reference, text, unnest({last.format(c="reference", n=8)}) as x, 1 as side from ew union all select reference, text, unnest({last.format(c="text", n=16)}), 2 from ew),
 ec as (select reference, text, x, count(case when side = 1 then 1 end) as a, count(case when side = 2 then 1 end) as b from et group by all),
 en as (select reference, text, coalesce(2 * sum(least(a, b)) < sum(a), false) as lost from ew left join ec using (reference, text) group by all)"""
+
+
+_FOLDED = "replace(replace(translate(lower({x}), 'àâäáãéèêëîïíôöóõùûüúçÿ', 'aaaaaeeeeiiioooouuuucy'), 'œ', 'oe'), 'æ', 'ae')"
+_PROTECTED = f"(regexp_matches({{x}}, '[0-9]') or lower({{x}}) in {NEGATIONS} or lower({{x}}) in {DATE_WORDS} or ({UNIT})[lower({{x}})] is not null)"
+
+
+def corrections(texts: str, terms: str) -> str:
+    """Expressions up to ch (t, i, k, "from", "to", distance): the strict preset's changes of each text t of the query ``texts`` by
+    the terms (term) of the query ``terms``: which stretch of k words from the word i on becomes what."""
+    return rf"""ct as (select t, regexp_extract_all(t, '([\p{{L}}\p{{N}}]+)[^\p{{L}}\p{{N}}]*', 1) as w, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+([^\p{{L}}\p{{N}}]*)', 1) as g from (select distinct t from ({texts}) where t is not null)),
+cf as (select *, list_transform(w, lambda y: {_FOLDED.format(x="y")}) as f, list_transform(w, lambda y: {_PROTECTED.replace("{x}", "y")}) as p, list_transform(g, lambda y: regexp_full_match(y, '[ \-''’ ]+')) as j from ct),
+tt as (select distinct term, regexp_extract_all(term, '[\p{{L}}\p{{N}}]+') as w from ({terms}) where term is not null), tu as (select term, array_to_string(list_transform(w, lambda y: {_FOLDED.format(x="y")}), '') as f, len(w) as n from tt where len(w) > 0 and len(list_filter(w, lambda y: {_PROTECTED.replace("{x}", "y")})) = 0),
+tk as (select term, f, unnest(range(greatest(n - 1, 1), n + 2)) as k from tu where length(f) >= 6),
+ck as (select *, unnest(range(1, (select coalesce(max(k), 0) from tk) + 1)) as k from cf), ci as (select *, unnest(range(1, len(w) - k + 2)) as i from ck),
+cw as (select t, i, k, array_to_string(f[i:i + k - 1], '') as x, array_to_string(list_transform(range(i, i + k), lambda q: case when q < i + k - 1 then w[q] || g[q] else w[q] end), '') as slice from ci where not list_contains(p[i:i + k - 1], true) and (k = 1 or not list_contains(j[i:i + k - 2], false))),
+cv as (select * from cw where length(x) >= 6),
+ce as (select distinct t, i from cv join (select distinct k, lower(term) as l from tk) e on e.k = cv.k and e.l = lower(slice)),
+cp as (select distinct x, tk.f, tk.term, tk.k from (select distinct x, k from cv) c join tk on tk.k = c.k and substr(c.x, 1, 1) = substr(tk.f, 1, 1) and abs(length(c.x) - length(tk.f)) <= 2), {distances("select x as a, f as b from cp")},
+co as (select f, min(term) as low, max(term) as high from tu where length(f) >= 6 group by f),
+cn as (select x, cp.k, term, distance from cp join nb on a = x and b = cp.f left join co on co.f = x where distance <= least(floor(length(cp.f) * 0.17::double), 2) and not (x = cp.f || 's' or x = cp.f || 'x' or cp.f = x || 's' or cp.f = x || 'x') and (co.f is null or (low = term and high = term))),
+ca as (select t, i, cv.k, slice, term, distance, min(distance) over (partition by t, i) as least from cv join cn using (x, k) where (t, i) not in (select (t, i) from ce)),
+cb as (select t, i, min(k) as k, arg_min(slice, k) as slice, min(term) as term, min(distance) as distance from ca where distance = least group by t, i having count(distinct term) = 1),
+cr as (select t, 1::bigint as at, null::struct(i bigint, k bigint, slice varchar, term varchar, distance bigint) as b from (select distinct t from cb)
+  union all select cr.t, min(struct_pack(i := cb.i, k := cb.k, slice := cb.slice, term := cb.term, distance := cb.distance)).i + min(struct_pack(i := cb.i, k := cb.k, slice := cb.slice, term := cb.term, distance := cb.distance)).k, min(struct_pack(i := cb.i, k := cb.k, slice := cb.slice, term := cb.term, distance := cb.distance)) from cr join cb on cb.t = cr.t and cb.i >= cr.at group by cr.t, cr.at),
+ch as (select t, b.i as i, b.k as k, b.slice as "from", case when upper(b.slice[1]) = b.slice[1] and lower(b.slice[1]) <> b.slice[1] and lower(b.term[1]) = b.term[1] and upper(b.term[1]) <> b.term[1] then upper(b.term[1]) || b.term[2:] else b.term end as "to", b.distance as distance from cr where b is not null)"""
