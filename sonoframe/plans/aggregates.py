@@ -46,7 +46,8 @@ select "modelId", "decoding", {group} as "group",
 from runs group by "modelId", "decoding"{by}"""
 _UNSTABLE = """
 select "modelId", "decoding", {group} as "group", cast(count(case when low <> high then 1 end) as bigint) as unstable_samples from (
-  select "modelId", "decoding", category, "sampleId", min(case when error is null then text end) as low, max(case when error is null then text end) as high from runs group by all)
+  select "modelId", "decoding", category, "sampleId", min(case when error is null then text end) as low, max(case when error is null then text end) as high from runs
+  group by all)
 group by "modelId", "decoding"{by}"""
 _ALL, _EACH = {"group": "'ALL'", "by": ""}, {"group": "category", "by": ", category"}
 
@@ -75,7 +76,8 @@ def agg03_macro_rates(spark, sf_dir):
 
 
 @query("""select provider, count(*) as runs, count(distinct case when error is null then "sampleId" end) as samples, count(case when error is not null then 1 end) as failures,
-  count(case when wer >= 1 then 1 end) as runaway, count(case when "hasCritical" then 1 end) as flagged, cast(sum(len(critical)) as bigint) as flags from runs group by all""")
+  count(case when wer >= 1 then 1 end) as runaway, count(case when "hasCritical" then 1 end) as flagged, cast(sum(len(critical)) as bigint) as flags from runs
+  group by all""")
 def agg04_05_conditional_counts(spark, sf_dir):
     return runs_of(spark, sf_dir).groupBy("provider").agg(
         F.count(F.lit(1)).alias("runs"), F.count_distinct(A.when(A.succeeded(), "sampleId")).alias("samples"), F.count_if(~A.succeeded()).alias("failures"),
@@ -94,8 +96,10 @@ def agg07_unstable_samples(spark, sf_dir):
 
 
 @query("""with v as (select "modelId", "inferenceMs" as x from runs where error is null),
-a as (select "modelId", list_sort(list(x)) as s, quantile_disc(x, 0.95) as nearest_rank, round(quantile_cont(x, 0.95), 6) as linear, round(median(x), 6) as mid_median from v group by all)
-select "modelId", nearest_rank, linear, mid_median, s[len(s) // 2 + 1] as upper_median, s[cast(round_even(0.95::double * (len(s) - 1), 0) as bigint) + 1] as nearest_index from a""")
+a as (select "modelId", list_sort(list(x)) as s, quantile_disc(x, 0.95) as nearest_rank, round(quantile_cont(x, 0.95), 6) as linear, round(median(x), 6) as mid_median
+  from v group by all)
+select "modelId", nearest_rank, linear, mid_median, s[len(s) // 2 + 1] as upper_median, s[cast(round_even(0.95::double * (len(s) - 1), 0) as bigint) + 1] as nearest_index
+  from a""")
 def agg08_12_five_quantiles(spark, sf_dir):
     wanted = {"nearest_rank": R.nearest_rank(95), "linear": R.linear(95), "mid_median": R.mid_median(), "upper_median": R.upper_median(), "nearest_index": R.nearest_index(95)}
     found = R.order_statistics(runs_of(spark, sf_dir).filter(A.succeeded()), ["modelId"], "inferenceMs", wanted).drop("n")
@@ -104,28 +108,34 @@ def agg08_12_five_quantiles(spark, sf_dir):
 
 @query("""with s as (select "modelId", "decoding", "sampleId", count(*) as n, avg("inferenceMs") as m, stddev_pop("inferenceMs") as d from runs where error is null group by all),
 c as (select "modelId", "decoding", median(100 * d / m) as cv_median, max(100 * d / m) as cv_max from s where n >= 2 and m > 0 group by all),
-t as (select "modelId", "decoding", count(*) as n, median("inferenceMs") as ms_median, quantile_cont("inferenceMs", 0.95) as ms_p95, min("inferenceMs") as ms_min, max("inferenceMs") as ms_max,
+t as (select "modelId", "decoding", count(*) as n, median("inferenceMs") as ms_median, quantile_cont("inferenceMs", 0.95) as ms_p95, min("inferenceMs") as ms_min,
+  max("inferenceMs") as ms_max,
   median(case when not isnan(rtf) then rtf end) as rtf_median, median(case when "loadMs" > 0 then "loadMs" end) as load_median from runs where error is null group by all)
-select t."modelId", t."decoding", n, round(ms_median, 6) as ms_median, round(ms_p95, 6) as ms_p95, ms_min, ms_max, round(rtf_median, 6) as rtf_median, round(load_median, 6) as load_median,
+select t."modelId", t."decoding", n, round(ms_median, 6) as ms_median, round(ms_p95, 6) as ms_p95, ms_min, ms_max, round(rtf_median, 6) as rtf_median, round(load_median,
+  6) as load_median,
   round(cv_median, 6) as cv_median, round(cv_max, 6) as cv_max from t left join c on t."modelId" = c."modelId" and t."decoding" = c."decoding" """)
 def agg13_21_timing_study(spark, sf_dir):
     return rounded(A.timing_study(runs_of(spark, sf_dir)))
 
 
-@query("""select "modelId", "decoding", round(median(case when repetition = 1 then "inferenceMs" end), 6) as r1, round(median(case when repetition = 2 then "inferenceMs" end), 6) as r2,
+@query("""select "modelId", "decoding", round(median(case when repetition = 1 then "inferenceMs" end), 6) as r1, round(median(case when repetition = 2 then "inferenceMs" end), 6)
+  as r2,
   round(median(case when repetition = 3 then "inferenceMs" end), 6) as r3 from runs where error is null group by all""")
 def agg21_repetition_medians(spark, sf_dir):
     return rounded(A.repetition_medians(runs_of(spark, sf_dir), [1, 2, 3]).withColumnsRenamed({str(i): f"r{i}" for i in (1, 2, 3)}))
 
 
-@query("""select cast(segments as integer) as segments, coalesce(chunking, 'off') as chunking, count(*) as n from (select coalesce(segments, 1) as segments, chunking from runs) group by all""")
+@query("""select cast(segments as integer) as segments, coalesce(chunking, 'off') as chunking, count(*) as n from (select coalesce(segments, 1) as segments, chunking from runs)
+  group by all""")
 def agg23_value_counts(spark, sf_dir):
     return runs_of(spark, sf_dir).groupBy("segments", "chunking").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with s as (select provider_id, model_id, sample_id, count(*) as n, median(processing_ms) as ms, median(audio_ms) as audio from transcribe_results where not cold_start group by all),
+@query("""with s as (select provider_id, model_id, sample_id, count(*) as n, median(processing_ms) as ms, median(audio_ms) as audio from transcribe_results where not cold_start
+  group by all),
 v as (select provider_id, model_id, max(load_ms) as load_max, max(peak_memory_mb) as peak_max from transcribe_results group by all)
-select s.provider_id, s.model_id, sample_id, n, round(ms, 6) as ms, round(audio, 6) as audio, round(ms / nullif(audio, 0), 6) as rtf, load_max, round(peak_max, 6) as peak_max
+select s.provider_id, s.model_id, sample_id, n, round(ms, 6) as ms, round(audio, 6) as audio, round(ms / nullif(audio, 0), 6) as rtf, load_max, round(peak_max, 6)
+  as peak_max
 from s join v on s.provider_id = v.provider_id and s.model_id = v.model_id""")
 def agg24_synthesis_summary(spark, sf_dir):
     t = table(spark, sf_dir, "transcribe_results")
@@ -137,9 +147,11 @@ def agg24_synthesis_summary(spark, sf_dir):
     return rounded(warm.withColumn("rtf", F.try_divide("ms", "audio")).join(most, voice))
 
 
-@query("""with m as (select model_id, sample_id, median(case when decoding = 'greedy search' then processing_ms end) as whole, median(case when decoding like 'beam search%' then processing_ms end) as pieces
+@query("""with m as (select model_id, sample_id, median(case when decoding = 'greedy search' then processing_ms end) as whole, median(case
+  when decoding like 'beam search%' then processing_ms end) as pieces
   from transcribe_results where not cold_start group by all)
-select model_id, sample_id, round(whole, 6) as whole, round(pieces, 6) as pieces, round((pieces - whole) * 100 / whole, 6) as overhead_percent from m where whole > 0 and pieces is not null""")
+select model_id, sample_id, round(whole, 6) as whole, round(pieces, 6) as pieces, round((pieces - whole) * 100 / whole, 6) as overhead_percent from m where whole > 0
+  and pieces is not null""")
 def agg25_mode_overhead(spark, sf_dir):
     t = table(spark, sf_dir, "transcribe_results").filter("not cold_start")
     mode = F.when(F.col("decoding") == "greedy search", "whole").when(F.col("decoding").startswith("beam search"), "pieces")
@@ -158,7 +170,8 @@ def agg26_dataset_check(spark, sf_dir):
     return rounded(by.join(middle, "category", "left"))
 
 
-@query("""select "runId", "modelId", "decoding", "sampleId", cast(sum("inferenceMs") as bigint) as "inferenceMs", cast(sum("loadMs") as bigint) as "loadMs", cast(sum("cpuMs") as bigint) as "cpuMs",
+@query("""select "runId", "modelId", "decoding", "sampleId", cast(sum("inferenceMs") as bigint) as "inferenceMs", cast(sum("loadMs") as bigint) as "loadMs", cast(sum("cpuMs")
+  as bigint) as "cpuMs",
   bool_or("coldStart") as "coldStart", round(max("peakMemoryMb"), 6) as "peakMemoryMb", round(sum("inferenceMs")::double / nullif(max("audioMs"), 0)::double, 5) as rtf,
   coalesce(string_agg(trim(text, ' '), ' ' order by repetition, text) filter (trim(text, ' ') <> ''), '') as text from runs group by all""")
 def agg27_folded_pieces(spark, sf_dir):
@@ -175,7 +188,8 @@ def agg29_pooled_rate(spark, sf_dir):
     return rounded(A.pooled_rate(runs_of(spark, sf_dir).filter(A.succeeded()), ["modelId"]))
 
 
-@query("""select "modelId", "sampleId", count(case when regexp_matches(text, '[0-9]+ ?(mg|µg|%)') then 1 end) as heard, count(*) as repetitions from runs where error is null group by all""")
+@query("""select "modelId", "sampleId", count(case when regexp_matches(text, '[0-9]+ ?(mg|µg|%)') then 1 end) as heard, count(*) as repetitions from runs where error is null
+  group by all""")
 def agg30_keys_heard(spark, sf_dir):
     heard = F.count_if(F.col("text").rlike("[0-9]+ ?(mg|µg|%)"))
     return runs_of(spark, sf_dir).filter(A.succeeded()).groupBy("modelId", "sampleId").agg(heard.alias("heard"), F.count(F.lit(1)).alias("repetitions"))
@@ -189,13 +203,16 @@ def agg31_average_load(spark, sf_dir):
 
 @query(f"""with f as (select "sampleId", wer, "modelId", "decoding", "runId", text from runs where {_FIRST} and wer is not null),
 m as (select "sampleId", quantile_disc(wer, 0.5) as wer_median, count(*) as outputs from f group by all),
-b as (select "sampleId", wer as best_wer, "modelId" as best_model, text as best_text from (select *, row_number() over (partition by "sampleId" order by wer, "modelId", "decoding", "runId", text) as nth from f) where nth = 1)
-select m."sampleId", round(wer_median, 6) as wer_median, outputs, round(best_wer, 6) as best_wer, best_model, best_text from m join b on m."sampleId" = b."sampleId" where wer_median >= 0.25""")
+b as (select "sampleId", wer as best_wer, "modelId" as best_model, text as best_text from (select *, row_number() over (partition by "sampleId" order by wer, "modelId",
+  "decoding", "runId", text) as nth from f) where nth = 1)
+select m."sampleId", round(wer_median, 6) as wer_median, outputs, round(best_wer, 6) as best_wer, best_model, best_text from m join b on m."sampleId" = b."sampleId"
+  where wer_median >= 0.25""")
 def srt03_win03_hard_samples(spark, sf_dir):
     return rounded(A.hard_samples(runs_of(spark, sf_dir)))
 
 
-_PAIR = """l as (select * from (select *, row_number() over (partition by "modelId", "decoding", "sampleId", repetition order by "timestampMs" desc, "runId" desc, "ingestedAt" desc) as nth
+_PAIR = """l as (select * from (select *, row_number() over (partition by "modelId", "decoding", "sampleId", repetition order by "timestampMs" desc, "runId" desc, "ingestedAt" desc)
+  as nth
   from runs where error is null and "runId" like '%-{name}-%') where nth = 1)"""
 _PAIRS = "with " + _PAIR.format(name="control") + ", " + _PAIR.replace("l as", "r as").format(name="postcorrect")
 _ON = ' on l."modelId" = r."modelId" and l."decoding" = r."decoding" and l."sampleId" = r."sampleId" and l.repetition = r.repetition'

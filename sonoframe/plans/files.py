@@ -44,7 +44,8 @@ _RUN = '"runId", "modelId", "decoding", "sampleId", repetition'
 # ------------------------------------------------------------------ files that are read
 
 
-@query("""select distinct id, language, coalesce(domain, '-') as domain, category, "durationMs", reference, private, source.kind as kind, speaker.id as speaker, len("keyTerms")::int as terms from samples""")
+@query("""select distinct id, language, coalesce(domain, '-') as domain, category, "durationMs", reference, private, source.kind as kind, speaker.id as speaker,
+  len("keyTerms")::int as terms from samples""")
 def src01_sample_files(spark, sf_dir):
     """Samples as files of one object each, in a public and a private folder."""
     root = shared_folder(spark, "samples")
@@ -66,7 +67,8 @@ def src02_script_arrays(spark, sf_dir):
     return read.select("id", "language", "category", "text", F.size("keyTerms").alias("terms"))
 
 
-@query(f"""select {_RUN}, "timestampMs", coalesce("scoringVersion", 1)::int as "scoringVersion", coalesce(chunking, 'off') as chunking, coalesce(segments, 1)::int as segments, round(wer, 9) as wer, text, len(critical)::int as flags, error, round(case when not isnan(rtf) then rtf end, 9) as rtf from runs""")
+@query(f"""select {_RUN}, "timestampMs", coalesce("scoringVersion", 1)::int as "scoringVersion", coalesce(chunking, 'off') as chunking, coalesce(segments, 1)::int as segments,
+  round(wer, 9) as wer, text, len(critical)::int as flags, error, round(case when not isnan(rtf) then rtf end, 9) as rtf from runs""")
 def src04_run_lines(spark, sf_dir):
     """Run records as lines of JSON; columns that old runs lack have their defaults."""
     path = shared_folder(spark, "runs")
@@ -75,7 +77,8 @@ def src04_run_lines(spark, sf_dir):
     return rounded(read.select(*A.RUN_KEY, "timestampMs", "scoringVersion", "chunking", "segments", "wer", "text", F.size("critical").alias("flags"), "error", A.number("rtf").alias("rtf")), 9)
 
 
-@query("""select 'provider=' || provider_id as folder, model_id as voice, language as lang, decoding as mode, count(*) as n, cast(sum(processing_ms) as bigint) as generation_ms, count(case when cold_start then 1 end) as cold from transcribe_results group by all""")
+@query("""select 'provider=' || provider_id as folder, model_id as voice, language as lang, decoding as mode, count(*) as n, cast(sum(processing_ms) as bigint) as generation_ms,
+  count(case when cold_start then 1 end) as cold from transcribe_results group by all""")
 def src07_measurements(spark, sf_dir):
     """Measurements of many folders as lines of JSON."""
     root = shared_folder(spark, "measures")
@@ -112,7 +115,8 @@ def src09_10_term_lists(spark, sf_dir):
 _HEARD = "list_transform(embedding, lambda x: trunc(x * 32767::float + case when x < 0 then -0.5::float else 0.5::float end) / 32768.0::double)"
 
 
-@query(f"""with w as (select vec_id, {_HEARD} as s from embeddings) select vec_id, len(s)::int as n, len(s) * 1000 // 16000 as duration_ms, 44 + 2 * len(s) as bytes, round(list_sum(s), 9) as total, round(s[1], 9) as first, round(s[-1], 9) as last from w""")
+@query(f"""with w as (select vec_id, {_HEARD} as s from embeddings) select vec_id, len(s)::int as n, len(s) * 1000 // 16000 as duration_ms, 44 + 2 * len(s) as bytes,
+  round(list_sum(s), 9) as total, round(s[1], 9) as first, round(s[-1], 9) as last from w""")
 def src11_snk06_audio(spark, sf_dir):
     """Audio written as 16-bit files and decoded again."""
     folder = shared_folder(spark, "audio")
@@ -135,7 +139,9 @@ def src12_stored_clips(spark, sf_dir):
     return listed.select(F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("long").alias("vec_id"), F.col("sampleRate").alias("rate"), F.lit("clip").alias("kind"))
 
 
-@query("""select result_id, trim(regexp_extract(text, '^[^\n]*')) as text, '/out/' || sample_id || '.wav' as wav, round(case when rtf is not null and not isnan(rtf) then cast(printf('%.3f', rtf) as double) end, 3) as rtf from transcribe_results where text is not null and trim(regexp_extract(text, '^[^\n]*')) <> ''""")
+@query("""select result_id, trim(regexp_extract(text, '^[^\n]*')) as text, '/out/' || sample_id || '.wav' as wav, round(case when rtf is not null
+  and not isnan(rtf) then cast(printf('%.3f', rtf) as double) end, 3) as rtf from transcribe_results where text is not null and trim(regexp_extract(text,
+  '^[^\n]*')) <> ''""")
 def src16_printed_results(spark, sf_dir):
     """Text, file and real-time factor from what a command printed."""
     t = table(spark, sf_dir, "transcribe_results").filter("text is not null")
@@ -165,13 +171,18 @@ def snk01_02_summary_csv(spark, sf_dir):
     return spark.createDataFrame([tuple(r) for r in rows[1:]], ", ".join(f"`{c}` string" for c in rows[0]))
 
 
-_MEASURES = """m as (select model_id as voice, unicode(sample_id[-1]) % 7 as sentence, decoding as mode, processing_ms as ms, audio_ms as audio, rtf, load_ms, cold_start as cold, peak_memory_mb as peak from transcribe_results)"""
+_MEASURES = """m as (select model_id as voice, unicode(sample_id[-1]) % 7 as sentence, decoding as mode, processing_ms as ms, audio_ms as audio, rtf, load_ms, cold_start as cold,
+  peak_memory_mb as peak from transcribe_results)"""
 
 
-@query(f"""with {_MEASURES}, s as (select voice, sentence, count(*) as n, median(ms) as generation, median(audio) as audio, median(case when not isnan(rtf) then rtf end) as rtf from m where not cold group by all), v as (select voice, max(load_ms) as load_max, max(peak) as peak_max from m group by all),
-o as (select voice, sentence, median(case when mode = 'greedy search' then ms end) as whole, median(case when mode = 'beam search (5 beams)' then ms end) as pieces from m where not cold group by all)
-select 'summary' as part, voice, sentence::bigint as sentence, n, round(generation, 6) as a, round(audio, 6) as b, round(rtf, 6) as c, round(peak_max, 6) as d from s join v using (voice)
-union all select 'overhead', voice, sentence, null, round(whole, 6), round(pieces, 6), round((pieces - whole) * 100 / whole, 6), null from o where whole > 0 and pieces is not null""")
+@query(f"""with {_MEASURES}, s as (select voice, sentence, count(*) as n, median(ms) as generation, median(audio) as audio, median(case when not isnan(rtf) then rtf end) as rtf
+  from m where not cold group by all), v as (select voice, max(load_ms) as load_max, max(peak) as peak_max from m group by all),
+o as (select voice, sentence, median(case when mode = 'greedy search' then ms end) as whole, median(case when mode = 'beam search (5 beams)' then ms end) as pieces from m
+  where not cold group by all)
+select 'summary' as part, voice, sentence::bigint as sentence, n, round(generation, 6) as a, round(audio, 6) as b, round(rtf, 6) as c, round(peak_max, 6) as d from s
+  join v using (voice)
+union all select 'overhead', voice, sentence, null, round(whole, 6), round(pieces, 6), round((pieces - whole) * 100 / whole, 6), null from o where whole > 0
+  and pieces is not null""")
 def snk09_measure_tables(spark, sf_dir):
     """Summary and overhead of written measurements, as their CSV files have them."""
     folder = shared_folder(spark, "measured")
@@ -196,7 +207,8 @@ def snk07_rescored_copy(spark, sf_dir):
     return sources.runs(spark, path).select(*A.RUN_KEY, "scoringVersion", "text", "wer")
 
 
-@query("""select "modelId" as model, "decoding", "sampleId" as sample, f.expected as "from", f.found as "to", count(*) as n from (select "modelId", "decoding", "sampleId", unnest(critical) as f from runs where error is null) where f.found is not null group by all""")
+@query("""select "modelId" as model, "decoding", "sampleId" as sample, f.expected as "from", f.found as "to", count(*) as n from (select "modelId", "decoding", "sampleId",
+  unnest(critical) as f from runs where error is null) where f.found is not null group by all""")
 def snk08_change_log(spark, sf_dir):
     """A line a change, written and read; the changes are what the flags of a record expected and found."""
     path = shared_folder(spark, "changes")
@@ -219,7 +231,8 @@ def snk10_without_texts(spark, sf_dir):
 # ------------------------------------------------------------------ validation
 
 
-_AUDIO = """s as (select distinct id, "audioFile", "durationMs" from samples), a as (select sample_id || '.wav' as f, max(audio_ms) as ms, case when max(audio_ms) is null then 'no samples' end as error from transcribe_results group by all)"""
+_AUDIO = """s as (select distinct id, "audioFile", "durationMs" from samples), a as (select sample_id || '.wav' as f, max(audio_ms) as ms, case
+  when max(audio_ms) is null then 'no samples' end as error from transcribe_results group by all)"""
 
 
 def _audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +241,8 @@ def _audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select(F.concat("sample_id", F.lit(".wav")).alias("audioFile"), "durationMs", F.when(F.col("durationMs").isNull(), "no samples").alias("error"))
 
 
-@query(f"""with {_AUDIO} select id, case when f is null then 'audio file is missing: ' || "audioFile" else 'audio can''t be read: ' || error end as message from s left join a on f = "audioFile" where f is null or error is not null""")
+@query(f"""with {_AUDIO} select id, case when f is null then 'audio file is missing: ' || "audioFile" else 'audio can''t be read: ' || error end as message from s left
+  join a on f = "audioFile" where f is null or error is not null""")
 def val03_audio_issues(spark, sf_dir):
     samples = table(spark, sf_dir, "samples").select("id", "audioFile", "durationMs").distinct()
     return V.audio_issues(samples, _audio(spark, sf_dir))[1]
@@ -240,18 +254,24 @@ def val03_measured_durations(spark, sf_dir):
     return V.audio_issues(samples, _audio(spark, sf_dir))[0].select("id", "durationMs")
 
 
-@query("""with s as (select distinct * from samples) select id, case when trim(coalesce(id, '')) = '' or not regexp_full_match(id, '[a-z0-9_]+(-[a-z0-9_]+)*') or length(id) > 60 then 'id must be lower-case letters, digits, - and _'
-  when trim(coalesce(speaker.id, '')) = '' then 'speaker is missing' when trim(coalesce(speaker.profile, '')) = '' then 'speaker profile is missing' when trim(coalesce(source.license, '')) = '' then 'license is missing'
-  when trim(coalesce(reference, '')) = '' then 'reference is empty' when not private and source.kind = 'public-domain' and trim(coalesce(source.url, '')) = '' then 'a public recording needs its address'
-  when language is null or language not in ('fr', 'en') then 'unknown language' when domain is null or domain not in ('general', 'medical', 'legal', 'administrative', 'it', 'dictation', 'technical') then 'unknown domain'
+@query("""with s as (select distinct * from samples) select id, case when trim(coalesce(id, '')) = '' or not regexp_full_match(id, '[a-z0-9_]+(-[a-z0-9_]+)*')
+  or length(id) > 60 then 'id must be lower-case letters, digits, - and _'
+  when trim(coalesce(speaker.id, '')) = '' then 'speaker is missing' when trim(coalesce(speaker.profile, '')) = '' then 'speaker profile is missing'
+  when trim(coalesce(source.license, '')) = '' then 'license is missing'
+  when trim(coalesce(reference, '')) = '' then 'reference is empty' when not private and source.kind = 'public-domain' and trim(coalesce(source.url,
+  '')) = '' then 'a public recording needs its address'
+  when language is null or language not in ('fr', 'en') then 'unknown language' when domain is null or domain not in ('general', 'medical', 'legal', 'administrative',
+  'it', 'dictation', 'technical') then 'unknown domain'
   when "utteranceType" is null or "utteranceType" not in ('statement', 'question', 'command', 'paragraph', 'dictation') then 'unknown utterance type'
   when source.kind is null or source.kind not in ('own-recording', 'synthetic', 'public-domain', 'licensed', 'third-party-private') then 'unknown source kind'
-  when source.kind = 'third-party-private' and not private then 'third-party recording must be private' when source.kind = 'third-party-private' and committable then 'third-party recording must not be committable' end as message from s""")
+  when source.kind = 'third-party-private' and not private then 'third-party recording must be private' when source.kind = 'third-party-private'
+  and committable then 'third-party recording must not be committable' end as message from s""")
 def val04_import_checks(spark, sf_dir):
     return V.first_broken_rule(table(spark, sf_dir, "samples").distinct())
 
 
-@query("""select doc_id, case when strlen(coalesce(text, '')) not between 44 and 209715200 then 'size is outside the accepted range' when substr(text, 1, 4) = 'RIFF' and substr(text, 9, 4) = 'WAVE' then null else 'not a WAV file' end as verdict from documents""")
+@query("""select doc_id, case when strlen(coalesce(text, '')) not between 44 and 209715200 then 'size is outside the accepted range' when substr(text, 1, 4) = 'RIFF'
+  and substr(text, 9, 4) = 'WAVE' then null else 'not a WAV file' end as verdict from documents""")
 def val08_clip_uploads(spark, sf_dir):
     """What becomes of the documents if they are sent as clips."""
     content = F.coalesce("text", F.lit("")).cast("binary")
@@ -262,8 +282,10 @@ def val08_clip_uploads(spark, sf_dir):
 
 
 @query(r"""with v as (select distinct model_id || ':' || (threads - 2) as voice, model_id as name from transcribe_results union select distinct id, family from models)
-select voice, case when regexp_full_match(voice, '.*:[0-9]+') then regexp_extract(voice, '^(.*):([0-9]+)$', 1) end as model, case when regexp_full_match(voice, '.*:[0-9]+') then cast(regexp_extract(voice, '^(.*):([0-9]+)$', 2) as integer) end as speaker,
-  case when name[1] in ('a', 'b') then 'en' when name[1] = 'f' then 'fr' end as language, case name[2] when 'f' then 'female' when 'm' then 'male' else 'unknown' end as gender from v""")
+select voice, case when regexp_full_match(voice, '.*:[0-9]+') then regexp_extract(voice, '^(.*):([0-9]+)$', 1) end as model, case when regexp_full_match(voice,
+  '.*:[0-9]+') then cast(regexp_extract(voice, '^(.*):([0-9]+)$', 2) as integer) end as speaker,
+  case when name[1] in ('a', 'b') then 'en' when name[1] = 'f' then 'fr' end as language, case name[2] when 'f' then 'female' when 'm' then 'male' else 'unknown' end
+  as gender from v""")
 def prj04_voices(spark, sf_dir):
     """Voice ids, some without a speaker or with a negative one, and what the letters of their names tell."""
     named = table(spark, sf_dir, "transcribe_results").select(F.concat_ws(":", "model_id", F.col("threads") - 2).alias("voice"), F.col("model_id").alias("name"))
@@ -272,9 +294,13 @@ def prj04_voices(spark, sf_dir):
     return v.select("voice", id["model"].alias("model"), id["speaker"].alias("speaker"), O.language_of(F.col("name")).alias("language"), O.gender_of(F.col("name")).alias("gender"))
 
 
-@query("""with q as (select distinct model_id as model, threads as speaker from transcribe_results union select id, 3 from models), v as (select distinct model_id as model, threads as speaker from transcribe_results where cold_start and threads <> 4),
-f as (select model, min(speaker) as first, max(speaker) + 1 as speakers from v group by model), m as (select q.model, q.speaker, case when v.speaker is not null then q.speaker when d.family in ('brume', 'tarn') and q.speaker < f.speakers then f.first end as listed, f.speakers from q left join v using (model, speaker) left join f on f.model = q.model left join models d on d.id = q.model)
-select model, speaker, listed, case when speakers is null then 'unknown model ' || model when listed is null then 'voice ' || model || ' has no speaker ' || speaker end as error from m""")
+@query("""with q as (select distinct model_id as model, threads as speaker from transcribe_results union select id, 3 from models), v as (select distinct model_id as model, threads
+  as speaker from transcribe_results where cold_start and threads <> 4),
+f as (select model, min(speaker) as first, max(speaker) + 1 as speakers from v group by model), m as (select q.model, q.speaker, case
+  when v.speaker is not null then q.speaker when d.family in ('brume', 'tarn') and q.speaker < f.speakers then f.first end as listed, f.speakers from q left
+  join v using (model, speaker) left join f on f.model = q.model left join models d on d.id = q.model)
+select model, speaker, listed, case when speakers is null then 'unknown model ' || model when listed is null then 'voice ' || model || ' has no speaker ' || speaker end
+  as error from m""")
 def joi12_selected_voices(spark, sf_dir):
     """The voice of the speaker asked for, or the first listed one of a model that takes any speaker."""
     t = table(spark, sf_dir, "transcribe_results")
@@ -286,7 +312,8 @@ def joi12_selected_voices(spark, sf_dir):
     return O.selected(asked, voices).select("model", "speaker", "listed", "error")
 
 
-@query("""with c as (select distinct language, unnest(string_split(reference, '')) as symbol from samples) select language, symbol || ' ' || unicode(symbol) as line from c where symbol <> ''""")
+@query("""with c as (select distinct language, unnest(string_split(reference, '')) as symbol from samples) select language, symbol || ' ' || unicode(symbol) as line from c
+  where symbol <> ''""")
 def txt68_voice_tokens(spark, sf_dir):
     """The token files of two voices, a line a symbol, from their JSON."""
     symbols = table(spark, sf_dir, "samples").select("language", F.explode(F.split("reference", "")).alias("s")).filter("s != ''").distinct()
@@ -295,7 +322,8 @@ def txt68_voice_tokens(spark, sf_dir):
     return configs.select("language", F.explode(O.token_lines(json)).alias("line"))
 
 
-@query("""select id as model, 'vits' as model_type, 'piper' as comment, family as language, languages[1] as voice, 1::int as has_espeak, greatest(len(languages) - 1, 1)::int as n_speakers, floor("sizeMb")::int as sample_rate from models""")
+@query("""select id as model, 'vits' as model_type, 'piper' as comment, family as language, languages[1] as voice, 1::int as has_espeak, greatest(len(languages) - 1, 1)::int
+  as n_speakers, floor("sizeMb")::int as sample_rate from models""")
 def src17_txt68_voice_metadata(spark, sf_dir):
     """Metadata of voices from their nested JSON."""
     config = F.to_json(F.struct(F.struct(F.col("family").alias("name_english")).alias("language"), F.struct(F.col("languages")[0].alias("voice")).alias("espeak"), (F.size("languages") - 1).alias("num_speakers"), F.struct(F.floor("sizeMb").alias("sample_rate")).alias("audio")))
@@ -310,7 +338,9 @@ _MONTHS = {
 
 
 @query(r"""with w as (select language, unnest(regexp_extract_all(lower(text), '\p{L}+')) as word from transcribe_results where text is not null),
-m as (select language, word, case language when 'fr' then list_position(['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre', 'novembre', 'décembre'], word) else list_position(['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december'], word) end as month from w)
+m as (select language, word, case language when 'fr' then list_position(['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre',
+  'novembre', 'décembre'], word) else list_position(['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november',
+  'december'], word) end as month from w)
 select language, word, month::int as month, count(*) as n from m where month > 0 group by all""")
 def dat02_months(spark, sf_dir):
     """The months that the texts name, by their number."""
@@ -338,7 +368,9 @@ def _streamed(spark: SparkSession, result: DataFrame, mode: str = "complete") ->
     return spark.table(name)
 
 
-@query("""select "modelId", "decoding", count(*) as runs, count(case when error is not null then 1 end) as failures, cast(sum(case when error is null and repetition = 1 then substitutions + deletions + insertions end) as bigint) as word_errors, cast(sum(case when error is null and repetition = 1 then "referenceWords" end) as bigint) as words from runs group by all""")
+@query("""select "modelId", "decoding", count(*) as runs, count(case when error is not null then 1 end) as failures, cast(sum(case when error is null
+  and repetition = 1 then substitutions + deletions + insertions end) as bigint) as word_errors, cast(sum(case when error is null
+  and repetition = 1 then "referenceWords" end) as bigint) as words from runs group by all""")
 def str01_running_rates(spark, sf_dir):
     """Rates of each configuration from a stream of written records."""
     folder = shared_folder(spark, "arriving")
@@ -353,7 +385,8 @@ def str02_streamed_windows(spark, sf_dir):
     return counted.select(F.unix_millis("window.start").alias("start"), "user_id", "n")
 
 
-@query("""with e as (select user_id, epoch_us(ts) // 1000 as ms from events), g as (select *, case when ms - lag(ms) over w < 3600000 then 0 else 1 end as fresh from e window w as (partition by user_id order by ms)), n as (select *, sum(fresh) over (partition by user_id order by ms rows unbounded preceding) as island from g)
+@query("""with e as (select user_id, epoch_us(ts) // 1000 as ms from events), g as (select *, case when ms - lag(ms) over w < 3600000 then 0 else 1 end as fresh from e window w
+  as (partition by user_id order by ms)), n as (select *, sum(fresh) over (partition by user_id order by ms rows unbounded preceding) as island from g)
 select user_id, min(ms) as "start", max(ms) + 3600000 as "end", count(*) as n from n group by user_id, island""")
 def str04_streamed_sessions(spark, sf_dir):
     stream = spark.readStream.schema("event_id long, user_id long, at timestamp").parquet(_events_folder(spark, sf_dir))
