@@ -6,9 +6,8 @@ Only a text that doesn't close with a sentence's end can have been cut. For each
    each text has bands for growing beginnings (LEVELS words), and an open text asks in those of the longest beginnings that
    it holds whole. An open text too short for shingles has one band: all its words but the last;
 2. a pair is verified (at least 0.8 of the words stand in the other's beginning) and its end aligned. The near-copy then
-   says whether the text stops inside a word, inside a sentence, or where a sentence ends. Texts are first held against a few
-   representatives of each of their bands; those that none of them verifies are held against every text of their bands, in
-   blocks, so that each open text of a band is verified or has met all of its members;
+   says whether the text stops inside a word, inside a sentence, or where a sentence ends. Each open text is held against every
+   text of its bands, in blocks, and each pair votes once;
 3. a text that no near-copy calls cut is scored by closing-word terminality: log-odds that the last words end a sentence,
    from how often they do so in the whole corpus, less what speaks for a cut there: a last word that is rare beside the words
    it begins, a closing that no finished text has, a length at which many different closings of the source stop. Near-copies
@@ -19,6 +18,7 @@ A short text's band holds all its near-copies by definition; their votes are cou
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -36,6 +36,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 FIRST_LEVEL, HASHES, ASKED_LEVELS = 8, 4, 2
 #: Texts of a band that a task holds at once, on either side of the comparison.
 BLOCK = 1024
+#: Near-copies from which a text's votes are worked out in arrays, of so many words at once (pairs of a block from the square of
+#: it); all ways give the same.
+MANY, AT_ONCE = 8, 1 << 18
 #: Words at the end that are aligned.
 TAIL = 12
 #: A word is a fragment if, ends of open texts left out, it is met at most so often for each word that it begins.
@@ -160,7 +163,7 @@ def _slack(n: int) -> int:
     return max(2, n // 8)
 
 
-def possible_pairs(asking: list[int], answering: list[int], codes: list[np.ndarray]) -> Iterator[tuple[int, list[int]]]:
+def possible_pairs(asking: list[int], answering: list[int], codes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """Each of the asking texts with the answering ones that closing_vote may verify, by numbers of their words.
 
     Of the answering text's beginning those words are counted that stand in the asking one. They are at least as many as the
@@ -189,7 +192,8 @@ def possible_pairs(asking: list[int], answering: list[int], codes: list[np.ndarr
         known[codes[a][:-1]] = 1
         common = np.add.reduceat(known[part], starts, dtype=np.int64)
         known[codes[a][:-1]] = 0
-        yield a, [b for b in names[:some][common >= SIMILARITY * (n - 1)].tolist() if b != a]
+        found = names[:some][common >= SIMILARITY * (n - 1)]
+        yield a, found[found != a]
 
 
 def closing_vote(words: list[str], other: list[str], ends: str, dots: bool) -> int | None:
@@ -250,6 +254,68 @@ def _said(at: int, last: str, other: list[str], ends: str, dots: bool) -> int |
     return 1 if "1" in ends[at + 1 :] else None
 
 
+class _Block:
+    """The texts of a block in arrays, for closing_vote's answers on many near-copies of a text at once."""
+
+    def __init__(self, known: list[str], codes: list[np.ndarray], ends: tuple[str, ...], dots: tuple[bool, ...]):
+        self.known, self.codes = known, codes  # words by number are in order, so that those that begin alike are neighbours
+        self.lengths = np.array([len(x) for x in codes])
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.concatenate(codes)
+        self.ends = np.frombuffer("".join(ends).encode(), dtype=np.uint8) == ord("1")
+        self.final = np.array([x.rfind("1") for x in ends])
+        self.dots = np.array(dots, dtype=bool)
+
+    def votes(self, a: int, words: list[str], copies: np.ndarray) -> tuple[int, int]:
+        """How many of the copies say that the text is cut, and that it is complete."""
+        step = max(1, AT_ONCE // (len(words) + _slack(len(words))))
+        parts = [self._votes(self.codes[a], words[-1], copies[i : i + step]) for i in range(0, len(copies), step)]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+
+    def _votes(self, own: np.ndarray, last: str, copies: np.ndarray) -> tuple[int, int]:
+        n, slack = len(own), _slack(len(own))
+        copies = copies[self.lengths[copies] >= n - 1]
+        if n < 2 or not len(copies):
+            return 0, 0
+        begins, upto = int(own[-1]), bisect_left(self.known, last + chr(0x10FFFF))
+        width = np.arange(n + slack)[:, None]  # a column for each copy
+        place = self.first[copies] + width
+        beginning = np.where(width < self.lengths[copies], self.flat[np.minimum(place, len(self.flat) - 1)], -1)
+        # words in common, each as often as both have it
+        kinds, own_counts = np.unique(own[:-1], return_counts=True)
+        at = np.minimum(np.searchsorted(kinds, beginning), len(kinds) - 1)
+        held = np.nonzero(kinds[at] == beginning)
+        counts = np.bincount(at[held] * len(copies) + held[1], minlength=len(kinds) * len(copies)).reshape(len(kinds), -1)
+        low = max(0, n - min(n, TAIL) - slack)
+        part = beginning[low:]
+        near = (np.minimum(counts, own_counts[:, None]).sum(axis=0) >= SIMILARITY * (n - 1)) & ((part >= begins) & (part < upto)).any(axis=0)
+        copies, beginning, part = copies[near], beginning[:, near], part[:, near]
+        if not len(copies):
+            return 0, 0
+        tail = own[-TAIL:]
+        row = np.zeros((len(part) + 1, len(copies)), dtype=np.int32)
+        rise = np.arange(len(part) + 1, dtype=np.int32)[:, None]
+        for i, w in enumerate(tail[:-1], 1):
+            best = np.empty_like(row)
+            best[0] = i
+            np.minimum(row[:-1] + (part != w), row[1:] + 1, out=best[1:])
+            row = np.minimum.accumulate(best - rise, axis=0) + rise
+        reached = (part >= begins) & (part < upto)
+        if last.isdigit():
+            before = np.vstack([beginning[low - 1 : low] if low else np.full((1, len(copies)), -1), part[:-1]])
+            reached &= (part == begins) | (before == tail[-2])
+        cost = row[:-1] + (part != begins)
+        where = low + np.arange(len(part), dtype=np.int64)[:, None]
+        order = np.where(reached, (cost.astype(np.int64) << 48) + (np.abs(where + 1 - n) << 24) + where, np.iinfo(np.int64).max).min(axis=0)
+        sure = (order >> 48) <= 1 + (1 - SIMILARITY) * len(tail)
+        copies, at = copies[sure], (order & (1 << 24) - 1)[sure]
+        other = self.flat[self.first[copies] + at] != begins
+        ended, closing = self.ends[self.first[copies] + at], at == self.lengths[copies] - 1
+        cut = other | ~ended & ~closing & (self.final[copies] > at)
+        complete = ~other & (ended | closing & self.dots[copies])
+        return int(cut.sum()), int(complete.sum())
+
+
 def _where_few(rows: DataFrame, width: int) -> DataFrame:
     """Rows of about ``width`` bytes that others are filtered by: broadcast where they were counted to be few, so that what they
     leave out is never shuffled."""
@@ -260,61 +326,47 @@ def _where_few(rows: DataFrame, width: int) -> DataFrame:
 _VOTES = pa.schema([("tid", pa.int64()), ("cut", pa.int64()), ("complete", pa.int64())])
 
 
-def _vote_batch(tids: list[int], votes: list[int]) -> pa.RecordBatch:
-    said = np.array(votes, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(said), pa.array(1 - said)], schema=_VOTES)
-
-
-def _representative_votes(feats: DataFrame, banded: DataFrame, asked: DataFrame) -> DataFrame:
-    """(tid, cut, complete): votes of the representatives of the bands that an open text asks in.
-
-    Four finished texts stand for a band, the outermost by two orders of their ids, which are hashes; smaller bands have all
-    of theirs. Only numbers are aggregated, and a pair that meets in several bands is made once.
-    """
-    other = F.lit(0x5DEECE66D1CE4E5B)
-    leaders = banded.filter("closed").join(_where_few(asked.select("band").distinct(), 16), "band", "left_semi").groupBy("band").agg(
-        F.min("tid").alias("a"), F.max("tid").alias("b"), F.min(F.col("tid").bitwiseXOR(other)).alias("c"), F.max(F.col("tid").bitwiseXOR(other)).alias("d")
-    )
-    named = leaders.select("band", F.explode(F.array_distinct(F.array("a", "b", F.col("c").bitwiseXOR(other), F.col("d").bitwiseXOR(other)))).alias("copy"))
-    pairs = asked.join(named, "band").select("tid", "copy").distinct()
-    mine = feats.filter("not closed").select("tid", "words")
-    theirs = feats.filter("closed").select(F.col("tid").alias("copy"), F.col("words").alias("other"), "ends", "dots")
-    met = pairs.join(mine, "tid").join(theirs, "copy").select("tid", "words", "copy", "other", "ends", "dots")
-
-    def run(batches):
-        for batch in batches:
-            tids, votes, held, copy = [], [], [], None
-            for tid, words, who, other, ends, dots in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if who != copy:
-                    copy, held = who, other.split(" ")
-                vote = closing_vote(words.split(" "), held, ends, dots)
-                if vote is not None:
-                    tids.append(tid)
-                    votes.append(vote)
-            yield _vote_batch(tids, votes)
-
-    return met.mapInArrow(run, "tid long, cut long, complete long").groupBy("tid").agg(F.sum("cut").alias("cut"), F.sum("complete").alias("complete"))
-
-
 def block_votes(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """(tid, copy, vote) of a block's asking texts; rows are (asks, answers, tid, words, ends, dots)."""
+    """(tid, cut, complete) of a block's asking texts; rows are (asks, answers, tid, words, ends, dots), where asks and answers are
+    the text's bands lower than the block's, null if it doesn't ask or answer. A pair that has one of these in common votes there."""
     asks, answers, tids, words, ends, dots = zip(*rows)
-    words = [w.split(" ") for w in words]
-    numbers: dict[str, int] = {}
-    codes = [np.array([numbers.setdefault(w, len(numbers)) for w in x], dtype=np.int64) for x in words]
+    asking, answering = [i for i, x in enumerate(asks) if x is not None], [i for i, x in enumerate(answers) if x is not None]
     out = []
-    for a, copies in possible_pairs([i for i, x in enumerate(asks) if x], [i for i, x in enumerate(answers) if x], codes):
-        for b in copies:
-            vote = closing_vote(words[a], words[b], ends[b], dots[b])
-            if vote is not None and tids[a] != tids[b]:
-                out.append((tids[a], tids[b], vote))
+    if len(asking) * len(answering) < MANY * MANY:
+        for a in asking:
+            copies = [b for b in answering if b != a and set(asks[a]).isdisjoint(answers[b])]
+            mine = words[a].split(" ")
+            votes = [closing_vote(mine, words[b].split(" "), ends[b], dots[b]) for b in copies]
+            out.append((tids[a], votes.count(1), votes.count(0)))
+        return [x for x in out if x[1] or x[2]]
+    words = [w.split(" ") for w in words]
+    known = sorted({w for x in words for w in x})
+    numbers = {w: i for i, w in enumerate(known)}
+    codes = [np.array([numbers[w] for w in x], dtype=np.int64) for x in words]
+    block = _Block(known, codes, ends, dots)
+    holders: dict[int, np.ndarray] = {}
+    for b in answering:
+        for x in answers[b]:
+            holders.setdefault(x, np.zeros(len(rows), dtype=bool))[b] = True
+    for a, copies in possible_pairs(asking, answering, codes):
+        for x in asks[a]:
+            if x in holders:
+                copies = copies[~holders[x][copies]]
+        if len(copies) < MANY:
+            votes = [closing_vote(words[a], words[b], ends[b], dots[b]) for b in copies.tolist()]
+            cut, complete = votes.count(1), votes.count(0)
+        else:
+            cut, complete = block.votes(a, words[a], copies)
+        if cut or complete:
+            out.append((tids[a], cut, complete))
     return out
 
 
 def _block_votes(feats: DataFrame, banded: DataFrame, asked: DataFrame) -> DataFrame:
     """(tid, cut, complete): votes of every text of the bands in which the texts of ``asked`` ask.
 
-    A band is cut into blocks of BLOCK texts that ask or answer, and all pairs of blocks are gone through.
+    A band is cut into blocks of BLOCK texts that ask or answer, and all pairs of blocks are gone through. A pair that meets in
+    several bands votes in one of them, so that only sums are shuffled on.
     """
     asking = _where_few(asked.groupBy("band").agg(F.count(F.lit(1)).alias("open")), 24)
     banded = cut_lineage(banded.select("band", "tid").join(asking, "band", "left_semi"))
@@ -322,11 +374,17 @@ def _block_votes(feats: DataFrame, banded: DataFrame, asked: DataFrame) -> DataF
     sizes = asking.join(members.filter("texts > 1"), "band").select("band", F.ceil(F.col("texts") / BLOCK).alias("columns"), F.ceil(F.col("open") / BLOCK).alias("lines"))
     row = lambda c, of: F.pmod(F.xxhash64("tid", F.lit(c)), of)
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    asks = asked.join(sizes, "band").withColumn("line", row(1, "lines")).select("band", "tid", "line", upto("columns").alias("column"), F.lit(True).alias("asks"), F.lit(False).alias("answers"))
-    gives = banded.select("band", "tid").join(sizes, "band").withColumn("column", row(2, "columns")).select("band", "tid", upto("lines").alias("line"), "column", F.lit(False).alias("asks"), F.lit(True).alias("answers"))
+    asks = asked.join(sizes, "band").withColumn("line", row(1, "lines")).select("band", "tid", "line", upto("columns").alias("column"), F.lit(True).alias("asking"), F.lit(False).alias("answering"))
+    gives = banded.select("band", "tid").join(sizes, "band").withColumn("column", row(2, "columns")).select("band", "tid", upto("lines").alias("line"), "column", F.lit(False).alias("asking"), F.lit(True).alias("answering"))
     block = ["band", "line", "column"]
-    placed = asks.unionByName(gives).groupBy(*block, "tid").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
-    blocks = placed.join(feats.select("tid", "words", "ends", "dots"), "tid").select(*block, "asks", "answers", "tid", "words", "ends", "dots")
+    placed = asks.unionByName(gives).groupBy(*block, "tid").agg(F.max("asking").alias("asking"), F.max("answering").alias("answering"))
+    # who asks in a band asks besides in those of one level before or after it
+    level = F.floor((F.array_position("answers", F.col("band")) - 1) / HASHES).cast("int")
+    near = F.slice("answers", F.greatest(level - ASKED_LEVELS + 1, F.lit(0)) * HASHES + 1, (2 * ASKED_LEVELS - 1) * HASHES)
+    lower = lambda bands: F.filter(bands, lambda x: x < F.col("band"))
+    blocks = placed.join(feats.select("tid", "words", "ends", "dots", "asks", "answers"), "tid").select(
+        *block, F.when(F.col("asking"), lower(F.col("asks"))).alias("asks"), F.when(F.col("answering"), lower(near)).alias("answers"), "tid", "words", "ends", "dots"
+    )
 
     def run(batches):
         def rows():
@@ -342,10 +400,10 @@ def _block_votes(feats: DataFrame, banded: DataFrame, asked: DataFrame) -> DataF
         yield batch_of(votes)
 
     def batch_of(votes):
-        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in votes], pa.int64()) for i in range(3)], ["tid", "copy", "vote"])
+        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in votes], pa.int64()) for i in range(3)], schema=_VOTES)
 
-    said = blocks.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "tid long, copy long, vote long").distinct()
-    return said.groupBy("tid").agg(F.sum("vote").alias("cut"), F.sum(1 - F.col("vote")).alias("complete"))
+    said = blocks.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "tid long, cut long, complete long")
+    return said.groupBy("tid").agg(F.sum("cut").alias("cut"), F.sum("complete").alias("complete"))
 
 
 def _short_votes(feats: DataFrame) -> DataFrame:
@@ -378,9 +436,7 @@ def _votes(feats: DataFrame) -> DataFrame:
     """(tid, cut, complete): the near-copies' votes on the texts without a sentence's end."""
     banded = feats.select("tid", "closed", F.explode(F.array_distinct("answers")).alias("band"))
     asked = feats.filter("not closed").select("tid", F.explode(F.array_distinct("asks")).alias("band"))
-    first = cut_lineage(_representative_votes(feats, banded, asked))
-    rest = _block_votes(feats, banded, cut_lineage(asked.join(first, "tid", "left_anti")))
-    return first.unionByName(rest).unionByName(_short_votes(feats))
+    return _block_votes(feats, banded, asked).unionByName(_short_votes(feats))
 
 
 def _number(c: Column) -> Column:

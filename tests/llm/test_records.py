@@ -99,6 +99,44 @@ def test_blocks_give_all_pairs_of_a_band(spark, monkeypatch):
         assert {r.tid: (r.cut, r.complete) for r in truncation._block_votes(feats, banded, asked).collect()} == expected
 
 
+def test_every_text_of_the_bands_votes(spark):
+    """Not only a few that stand for a band: each near-copy that shares one, once, however many bands it shares."""
+    opening = "le docteur demande au bureau un rendez vous et le patient de"
+    said = [f"{opening} {x} arrive avec {y}" for x in ("paris", "lyon", "lille", "nice", "brest") for y in ("elle", "moi", "lui")]
+    feats = _features(spark, [x + ". Merci." for x in said] + [x + " hier. Oui." for x in said] + said[:4] + [f"{opening} ly", f"{opening} li"])
+    rows = feats.collect()
+    expected = {}
+    bands = {r.tid: (set(r.asks), set(r.answers)) for r in rows}
+    for (a, b), vote in _brute(rows).items():
+        if bands[a][0] & bands[b][1]:
+            cut, complete = expected.get(a, (0, 0))
+            expected[a] = (cut + vote, complete + 1 - vote)
+    assert len(expected) == 6 and max(sum(x) for x in expected.values()) > 4
+    assert {r.tid: (r.cut, r.complete) for r in truncation._votes(feats).collect()} == expected
+
+
+def test_votes_in_arrays_are_those_of_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = "a ab abc le les 1 12 123 de dem demain été x xy".split()
+    seen = set()
+    for n in (2, 3, 9, 14, 40):
+        base = rng.choice(vocabulary, n + 12)
+        rows = []
+        for tid in range(60):
+            words = np.where(rng.random(n + 12) < 0.1, rng.choice(vocabulary, n + 12), base)[rng.integers(0, 2) : rng.integers(n + 1, n + 13) - (tid % 3 == 0)]
+            rows.append(([] if tid % 3 == 0 else None, [], tid, " ".join(words), "".join(rng.choice(["0", "0", "0", "1"], len(words))), bool(tid % 2)))
+        pairs = truncation.block_votes(rows)
+        for many, at_once in ((1, 1 << 18), (1, 100), (10_000, 1)):
+            monkeypatch.setattr(truncation, "MANY", many)
+            monkeypatch.setattr(truncation, "AT_ONCE", at_once)
+            assert sorted(truncation.block_votes(rows)) == sorted(pairs)
+        split = {r[2]: (r[3].split(" "), r[4], r[5]) for r in rows}
+        votes = {t: [truncation.closing_vote(split[t][0], *split[u]) for u in split if u != t] for t in split if t % 3 == 0}
+        assert {t: (cut, complete) for t, cut, complete in pairs} == {t: (v.count(1), v.count(0)) for t, v in votes.items() if v.count(1) + v.count(0)}
+        seen |= {x for v in votes.values() for x in v}
+    assert seen == {0, 1, None}
+
+
 def test_short_texts_count_their_near_copies(spark):
     feats = _features(spark, ["ouvre la", "ouvre la porte.", "ouvre la porte du bas. Oui.", "ouvre le", "ouvre", "ouvre la por", "Ouvre la porte", "va vite…", "va vi", "non. va"])
     rows = feats.collect()
