@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonoframe.llm import lookalikes, quantiles, repetition, truncation
+from sonoframe.llm import lookalikes, quantiles, queries, repetition, truncation
 
 SAME = [
     ("été", "été"), ("ab c", "a​b c"), ("ａｂ１", "ab1"), ("ﬁn", "fin"), ("pаssе", "passe"), ("ⅼе", "le"),
@@ -216,6 +216,17 @@ def test_thresholds_follow_the_group(spark):
     assert without_days == {k: r.suspicious for k, r in got.items()}
 
 
+def test_cases_are_found_without_thresholds(spark, monkeypatch):
+    """Thresholds say who is suspicious; the fixed share of the cases needs none, so none is worked out for it."""
+    texts = ["la " * 12, "la " * 11, "so it goes on so it goes on " + " ".join(f"w{i}" for i in range(14)), "so it goes on so it goes on " + " ".join(f"w{i}" for i in range(4)), "", None]
+    df = _records(spark, texts).withColumn("day", F.lit(None).cast("date"))
+    monkeypatch.setattr(queries, "_records", lambda spark, sf_dir: df.unionByName(df))
+    planned = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    found = queries.p3_found(spark, "")
+    assert sorted(r.record_key for r in found.collect()) == ["0", "3"] and found.columns == ["origin", "record_key"]
+    assert "kll" not in planned(found) and "kll" in planned(queries.p3_shares(spark, ""))
+
+
 def test_long_texts_are_counted_alike(monkeypatch):
     words = [w for i in range(60) for w in f"w{i % 7} x{i % 5} y{i % 3} la la".split()]
     short = repetition.repeated_words(words)
