@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions import native as N
 from sonoframe.functions import text as T
 from sonoframe.operators import aggregates as A
+from sonoframe.operators import draws as D
 from sonoframe.operators import ranks as R
 from sonoframe.session import cut_lineage
 from sonoframe.text import postcorrect
@@ -245,26 +249,81 @@ def spread_bootstrap(runs: DataFrame, resamples: int = 2000, seed: int = 7) -> D
     return out.select(*A.CONFIG, "samples", "wer", "low", "high", "diff_low", "diff_high", verdict.alias("verdict"))
 
 
-def bootstrap_by_language(runs: DataFrame, languages: tuple[str, ...] = ("fr", "en"), resamples: int = 5000, seed: int = 7, most_rows: int = 2_000_000) -> DataFrame:
+def _in_blocks(rows: DataFrame, key: list[str], numbers: list[str]) -> DataFrame:
+    """(key..., part, nth, n, sums of the numbers, the first two as packed values): rows in their order, a row for each stretch of
+    a key; null numbers are 0."""
+
+    def run(batches):
+        part, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.stack([batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in key])
+            cuts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            values = [batch.column(c).fill_null(0).to_numpy() for c in numbers]
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                out.append({c: batch.column(c)[a].as_py() for c in key} | {"part": part, "nth": nth, "n": b - a} | {c: int(v[a:b].sum()) for c, v in zip(numbers, values)} | {f"{c}s": v[a:b].tobytes() for c, v in zip(numbers[:2], values)})
+                nth += 1
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    packed = [f"{c}s" for c in numbers[:2]]
+    arrow = pa.schema([(c, pa.string()) for c in key] + [(c, pa.int64()) for c in ("part", "nth", "n", *numbers)] + [(c, pa.binary()) for c in packed])
+    shape = ", ".join([*(f"{c} string" for c in key), *(f"{c} long" for c in ("part", "nth", "n", *numbers)), *(f"{c} binary" for c in packed)])
+    return rows.mapInArrow(run, shape)
+
+
+def bootstrap_by_language(runs: DataFrame, languages: tuple[str, ...] = ("fr", "en"), resamples: int = 5000, seed: int = 7) -> DataFrame:
     """As ``bootstrap``, for each configuration and language on its own records; one generator serves all in their order.
 
-    The records' two numbers are brought to the driver after they were counted; more than ``most_rows`` are an error.
+    The draws are that one sequence, but made in pieces by many tasks (``draws``). A task holds two numbers for each record of one
+    configuration and language; the driver has a row for each of these and bounded counts.
     """
+    spark, key = runs.sparkSession, [*A.CONFIG, "language"]
+    order = [*key, "runId", "sampleId", "timestampMs", "e", "w"]
     rated = runs.filter(A.first_repetition() & F.col("language").isin(*languages))
-    if (size := rated.count()) > most_rows:
-        raise ValueError(f"{size} records; the bootstrap is for evaluation sets of at most {most_rows}")
-    order = [*A.CONFIG, "language", "runId", "sampleId", "timestampMs"]
-    narrow = rated.select(*order, A.word_errors().alias("e"), F.col("referenceWords").alias("w"), F.col("hasCritical").cast("int").alias("c"))
-    groups: dict[tuple, list] = {}
-    for r in narrow.orderBy(*order, "e", "w").toLocalIterator():
-        groups.setdefault((r["modelId"], r["decoding"], r["language"]), []).append((r["e"] or 0, r["w"] or 0, r["c"] or 0))
-    draws, out = Draws(seed), []
-    for model, decoding in sorted({k[:2] for k in groups}):
-        for language in languages:
-            if (model, decoding, language) not in groups:
-                continue
-            e, w, critical = np.array(groups[model, decoding, language], dtype=float).T
-            sums = [(e[p].sum(axis=1), w[p].sum(axis=1)) for p in draws.resampled(len(e), resamples)]
-            rates = np.sort(np.concatenate([np.divide(x, y, out=np.zeros_like(x), where=y > 0) for x, y in sums]))
-            out.append((model, decoding, language, len(e), float(e.sum() / w.sum()) if w.sum() else 0.0, _interval(rates, 2.5), _interval(rates, 97.5), int(critical.sum())))
-    return runs.sparkSession.createDataFrame(out, "modelId string, decoding string, language string, samples long, wer double, low double, high double, critical_samples long")
+    numbers = {"e": A.word_errors(), "w": F.col("referenceWords"), "c": F.col("hasCritical").cast("int")}
+    narrow = rated.select(*order[:-2], *(c.cast("long").alias(n) for n, c in numbers.items()))
+    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order).select(*key, "e", "w", "c")
+    blocks = cut_lineage(_in_blocks(ordered, key, ["e", "w", "c"]))
+    groups = blocks.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("n", "e", "w", "c"))).collect()
+    groups.sort(key=lambda r: ([(r[c] is not None, r[c] or "") for c in A.CONFIG], languages.index(r["language"])))
+    shape = "modelId string, decoding string, language string, samples long, wer double, low double, high double, critical_samples long"
+    if not groups:
+        return spark.createDataFrame([], shape)
+
+    plan = D.Plan(seed, [r["n"] for r in groups], resamples)
+    sizes, length = plan.sizes, plan.block
+    most = max(-(-plan.total // (8 * spark.sparkContext.defaultParallelism)), 1 << 22)  # raw numbers of a task
+    asked = [(i, *x) for i, x in enumerate(plan.expected(-(-most // length)))]
+
+    def count(batches):
+        for batch in batches:
+            rows = [(g, first, D.counted(seed, sizes[g], first, last, length)) for g, first, last in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["g", "first", "counts"])
+
+    apart = lambda df, n: df.repartitionById(n, F.col("id").cast("int"))
+    for r in apart(spark.createDataFrame(asked, "id long, g long, first long, last long"), len(asked)).mapInArrow(count, "g long, first long, counts array<long>").collect():
+        plan.add(r["g"], r["first"], r["counts"])
+    pieces = [(i, p.group, p.start, p.end, p.first, *(groups[p.group][c] for c in key)) for i, p in enumerate(plan.pieces(-(-most // length)))]
+
+    def draw(batches):
+        rows = (r for b in batches for r in b.to_pylist())
+        for (g, start, end, first), own in groupby(rows, lambda r: (r["g"], r["start"], r["end"], r["first"])):
+            held = [(r["es"], r["ws"]) for r in own]
+            columns = [np.frombuffer(b"".join(x), dtype=np.int64) for x in zip(*held)]
+            begin, found = D.sums(seed, start, end, first, columns, resamples)
+            size = found.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(size, g), np.arange(begin, begin + size), *found)], ["g", "resample", "e", "w"])
+
+    named = spark.createDataFrame(pieces, "id long, g long, start long, end long, first long, " + ", ".join(f"__{c} string" for c in key))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key))
+    given = blocks.join(F.broadcast(named), same).select("id", "g", "start", "end", "first", "part", "nth", "es", "ws")
+    drawn = apart(given, len(pieces)).sortWithinPartitions("id", "part", "nth").mapInArrow(draw, "g long, resample long, e long, w long")
+    summed = drawn.groupBy("g", "resample").agg(F.sum("e").alias("e"), F.sum("w").alias("w"))
+    rate = F.when(F.col("w") > 0, F.col("e").cast("double") / F.col("w").cast("double")).otherwise(F.lit(0.0))
+    rates = summed.groupBy("g").agg(F.sort_array(F.collect_list(rate)).alias("rates"))  # as many as there are resamples
+    at = {c: F.element_at("rates", round(percent / 100 * (resamples - 1)) + 1).alias(c) for c, percent in (("low", 2.5), ("high", 97.5))}
+    bounds = {r["g"]: (r["low"], r["high"]) for r in rates.select("g", *at.values()).collect()}
+    out = [(*(r[c] for c in key), r["n"], r["e"] / r["w"] if r["w"] else 0.0, *bounds[g], r["c"]) for g, r in enumerate(groups)]
+    return spark.createDataFrame(out, shape)

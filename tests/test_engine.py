@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from sonoframe import schemas, sources, streaming
 from sonoframe.audio import wav
-from sonoframe.operators import replica_diff, sequences, termstudy
+from sonoframe.operators import draws, replica_diff, sequences, termstudy
 from sonoframe.operators import aggregates as A
 from sonoframe.plans import provider
 from sonoframe.sources import dataset, sinks
@@ -178,6 +178,33 @@ def test_bootstrap(spark):
     assert got["bad"].low == rates[round(0.025 * 199)] and got["bad"].high == rates[round(0.975 * 199)]
 
 
+def test_pieces_of_draws_are_pythons_own(monkeypatch):
+    monkeypatch.setattr(draws, "NEAR", 700)  # else so early places aren't jumped to
+    sizes, rng = [95, 3, 64, 1, 777], random.Random(7)
+    columns = [[np.arange(n) % 9, np.arange(n) * 3 % 50] for n in sizes]
+    want = [[tuple(int(c[p].sum()) for c in own) for _ in range(100) for p in [[rng.choice(range(n)) for _ in range(n)]]] for n, own in zip(sizes, columns)]
+    plan = draws.Plan(7, sizes, 100)
+    plan.block = 5_000
+    for g, first, last in plan.expected(3)[1:]:  # what wasn't counted is counted later
+        plan.add(g, first, draws.counted(7, sizes[g], first, last, plan.block))
+    got, pieces = [np.zeros((100, 2), dtype=int) for _ in sizes], plan.pieces(2)
+    for p in pieces:
+        first, found = draws.sums(7, p.start, p.end, p.first, columns[p.group], 100)
+        got[p.group][first : first + found.shape[1]] += found.T
+    assert len(pieces) > 10 and [[tuple(r) for r in g.tolist()] for g in got] == want
+
+
+def test_bootstrap_by_language_of_many_records(spark):
+    n = 2_000_001  # more was an error
+    numbers = "id % 7 as substitutions, 0L as deletions, 0L as insertions, id % 11 as referenceWords, id % 5 = 0 as hasCritical"
+    names = "'m' as modelId, 'd' as decoding, 'fr' as language, 'r' as runId, 0L as timestampMs, 1 as repetition, cast(null as string) as error"
+    runs = spark.range(n).selectExpr(*names.split(", "), *numbers.split(", "), "lpad(id, 9, '0') as sampleId")
+    row = termstudy.bootstrap_by_language(runs, resamples=5).first()
+    e, w = np.arange(n) % 7, np.arange(n) % 11
+    rates = sorted(float(e[p].sum() / w[p].sum()) for block in termstudy.Draws(7).resampled(n, 5) for p in block)
+    assert tuple(row) == ("m", "d", "fr", n, float(e.sum() / w.sum()), rates[0], rates[4], 400_001)
+
+
 def test_as_of_segments(spark):
     starts = spark.createDataFrame([(1, 0, 0), (1, 1250, 1), (1, 3100, 2)], "k int, ms long, segment int")
     asked = spark.createDataFrame([(1, t) for t in (500, 1100, 1250, 2800, 99_999, -5)], "k int, ms long")
