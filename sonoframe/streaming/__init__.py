@@ -49,3 +49,18 @@ def run_available(result: DataFrame, name: str, checkpoint: str, mode: str = "co
     query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def closing(events: DataFrame, at: str, after: str) -> DataFrame:
+    """One event of nulls that lies so far behind the last one of a batch table that its arrival closes all windows before it:
+    ``after`` is a window's length or a session's gap. An empty table gives none."""
+    late = F.max(at) + F.expr(f"interval {LATENESS}") + 2 * F.expr(f"interval {after}")
+    others = [F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c != at]
+    return events.agg(late.alias(at)).filter(F.col(at).isNotNull()).select(at, *others).select(*events.columns)
+
+
+def write_available(result: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Works through all that is there into files of that folder, rows as they become final, and ends: for results of any size."""
+    query = result.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

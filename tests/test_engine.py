@@ -124,6 +124,19 @@ def test_streaming(spark, tmp_path):
     assert (row.runs, row.word_errors, row.words) == (3, 3, 6)
 
 
+def _events(spark, path, *rows):
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(path / "events.parquet"))
+    return str(path)
+
+
+def test_streamed_windows_come_from_files(spark, tmp_path):
+    at = _events(spark, tmp_path, (1, 1, "2024-01-01 00:01:00"), (2, 1, "2024-01-01 00:09:59"), (3, None, "2024-01-01 00:10:00"), (4, 1, "2023-01-01 00:00:00"), (5, 2, "2024-01-05 00:00:00"))
+    got = __spark_entry__.queries()["str02_streamed_windows"](spark, at)
+    assert got.inputFiles()  # a table in memory, which the driver holds as a whole, has none
+    start = 1_704_067_200_000
+    assert {tuple(r) for r in got.collect()} == {(start, 1, 2), (start + 600_000, None, 1), (start - 365 * 86_400_000, 1, 1), (start + 4 * 86_400_000, 2, 1)}
+
+
 def test_provider(spark):
     registry = provider.Registry()
     with pytest.raises(KeyError):
