@@ -399,8 +399,9 @@ def str02_streamed_windows(spark, sf_dir):
   as (partition by user_id order by ms)), n as (select *, sum(fresh) over (partition by user_id order by ms rows unbounded preceding) as island from g)
 select user_id, min(ms) as "start", max(ms) + 3600000 as "end", count(*) as n from n group by user_id, island""")
 def str04_streamed_sessions(spark, sf_dir):
-    stream = spark.readStream.schema("event_id long, user_id long, at timestamp").parquet(_events_folder(spark, sf_dir))
-    counted = _streamed(spark, streaming.sessions(stream, "at", "1 hour", "user_id"))
+    folder = _events_folder(spark, sf_dir)
+    stream = spark.readStream.schema("event_id long, user_id long, at timestamp").parquet(folder)
+    counted = _streamed_files(spark, streaming.sessions(stream, "at", "1 hour", "user_id"), folder, "1 hour")
     return counted.select("user_id", F.unix_millis("session_window.start").alias("start"), F.unix_millis("session_window.end").alias("end"), "n")
 
 

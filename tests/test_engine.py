@@ -137,6 +137,15 @@ def test_streamed_windows_come_from_files(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {(start, 1, 2), (start + 600_000, None, 1), (start - 365 * 86_400_000, 1, 1), (start + 4 * 86_400_000, 2, 1)}
 
 
+def test_streamed_sessions_come_from_files(spark, tmp_path):
+    at = _events(spark, tmp_path, (1, 1, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:59:59"), (3, 1, "2024-01-01 02:00:00"), (4, None, "2024-01-01 00:00:00"), (5, 2, "2023-01-01 00:00:00"))
+    got = __spark_entry__.queries()["str04_streamed_sessions"](spark, at)
+    assert got.inputFiles()
+    start, hour = 1_704_067_200_000, 3_600_000
+    late = start + 2 * hour
+    assert {tuple(r) for r in got.collect()} == {(1, start, late - 1000, 2), (1, late, late + hour, 1), (None, start, start + hour, 1), (2, start - 365 * 24 * hour, start - (365 * 24 - 1) * hour, 1)}
+
+
 def test_provider(spark):
     registry = provider.Registry()
     with pytest.raises(KeyError):
